@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
+from tidemark.llm import decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
 from tidemark.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
@@ -20,6 +24,14 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(docs, quality_knn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
@@ -42,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality_knn, op6_secret_scan, op7_simhash, op8_quality_rules, op9_mixing, op10_pii)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_quality_knn, op4_lm_score, op5_line_dedup, op6_secret_scan, op7_simhash, op8_quality_rules, op9_mixing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
