@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.runtime import ship_package
+
 #: Java regex of a word: a run of anything but ASCII white space.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def text_bytes(docs: DataFrame, *keys: str) -> DataFrame:
     """The key columns and the whole text as UTF-8 bytes (null: empty), for Arrow functions."""
+    ship_package(docs.sparkSession)
     return docs.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import materialize
+from tidemark.runtime import ship_package
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -203,6 +204,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     back as they are. Other columns are kept; a column named like an added one is replaced. An empty
     table gives no rows.
     """
+    ship_package(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     gone = removals(docs, min_words, near_words).select("row_key", "line", (F.col("reason") == "near").alias("near")).distinct()
     gone = gone.groupBy("row_key").agg(F.collect_list("line").alias("gone"), F.sum(F.col("near").cast("int")).cast("int").alias("near"))

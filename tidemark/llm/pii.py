@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import ship_package
+
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the anchors find; they follow the listed kinds in the span list.
 MORE_KINDS = ("account", "login_url")
@@ -139,6 +141,7 @@ def find(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     names = ["doc_id", *[f"n_{k}" for k in (*KINDS, *MORE_KINDS)], "base_sha256", "spans"]
+    ship_package(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
