@@ -2,10 +2,642 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import fixed as K
+from tidemark.functions import gate
+from tidemark.functions import text as T
+from tidemark.functions.attributes import tag_column
+from tidemark.functions.encode import LexicalEncoder, embed_column
+from tidemark.operators import analytics, maintain, ranking, revisions, search
+from tidemark.operators import vectors as V
+from tidemark.operators.filters import matches, matches_strictly
+from tidemark.plans import tables
+from tidemark.plans.tables import NOW, SINCE, UNTIL, events, events_sql, read
+from tidemark.streaming.ingest import ingest_batch
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+K_BEST = 10
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- vectors ----------------------------------------------------------------------------------------
+_COS = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], (SELECT v FROM q)) AS c FROM embeddings)"
+_TOPK = _COS + " SELECT vec_id, round(c, 6) AS cosine FROM s ORDER BY c DESC, vec_id LIMIT 10"
+
+
+def _q0(spark: SparkSession, sf_dir: str) -> list[float]:
+    return tables.query_vectors(spark, sf_dir, [0])[0][1]
+
+
+def _shown(best: DataFrame) -> DataFrame:
+    return best.select(F.col("row_id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(_TOPK)
+def vec_topk(spark, sf_dir):
+    return _shown(V.top_k(V.scored(tables.vectors(spark, sf_dir), _q0(spark, sf_dir)), "cosine", K_BEST))
+
+
+@query(_COS + " SELECT vec_id, round(c, 6) AS cosine FROM s WHERE c >= 0.2 ORDER BY c DESC, vec_id LIMIT 10")
+def vec_topk_floor(spark, sf_dir):
+    rows = V.scored(tables.vectors(spark, sf_dir), _q0(spark, sf_dir)).where(F.col("cosine") >= 0.2)
+    return _shown(V.top_k(rows, "cosine", K_BEST))
+
+
+@query(_COS + " SELECT vec_id, round(c, 6) AS cosine FROM s WHERE label IN (1, 3) ORDER BY c DESC, vec_id LIMIT 10")
+def vec_topk_filtered(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir).where(F.col("label").isin(1, 3))
+    return _shown(V.top_k(V.scored(rows, _q0(spark, sf_dir)), "cosine", K_BEST))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) AS n FROM s)
+    SELECT qid, vec_id, round(c, 6) AS cosine, CAST(n AS INT) AS rank FROM r WHERE n <= 10""")
+def vec_topk_batch(spark, sf_dir):
+    best = V.batch_top_k(tables.vectors(spark, sf_dir), tables.query_vectors(spark, sf_dir, list(range(20))), K_BEST, "vec_id")
+    return best.select("qid", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(_COS + " SELECT count(*) FILTER (c >= 0.2) AS n_above_floor, least(count(*) FILTER (c >= 0.2), 10) AS returned, count(*) FILTER (c >= 0.2) > 10 AS truncated FROM s")
+def vec_count_above_floor(spark, sf_dir):
+    return V.floor_counts(V.scored(tables.vectors(spark, sf_dir), _q0(spark, sf_dir)), "cosine", 0.2, K_BEST)
+
+
+@query(_COS + " SELECT vec_id, round(0.6 * c + 0.4 * sign(c) * pow(abs(c), 13), 6) AS score FROM s")
+def vec_legacy_score(spark, sf_dir):
+    rows = V.scored(tables.vectors(spark, sf_dir), _q0(spark, sf_dir))
+    return rows.select("vec_id", F.round(V.legacy_score(F.col("cosine")), 6).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, 1.0 AS unit_norm FROM embeddings")
+def vec_unit_rows(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir).withColumn("unit", V.unit(F.col("embedding")))
+    return rows.select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(V.norm(F.col("unit")), 5).alias("unit_norm"))
+
+
+@query(_TOPK)
+def vec_screen_topk(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir)
+    basis = V.screen_basis(rows, 24)
+    return _shown(V.screened_top_k(V.with_screen(rows, basis), _q0(spark, sf_dir), basis, K_BEST))
+
+
+@query(_TOPK)
+def vec_quantised_topk(spark, sf_dir):
+    return _shown(V.quantised_top_k(tables.vectors(spark, sf_dir), _q0(spark, sf_dir), K_BEST))
+
+
+@query(_TOPK)
+def vec_cells_full_beam(spark, sf_dir):
+    celled, centres = V.cells(tables.vectors(spark, sf_dir))
+    return _shown(V.routed_top_k(celled, centres, _q0(spark, sf_dir), K_BEST, share=1.0))
+
+
+@query()
+def vec_cells_routed(spark, sf_dir):
+    celled, centres = V.cells(tables.vectors(spark, sf_dir))
+    return _shown(V.routed_top_k(celled, centres, _q0(spark, sf_dir), K_BEST))
+
+
+@query()
+def vec_nn_coverage(spark, sf_dir):
+    celled, centres = V.cells(tables.vectors(spark, sf_dir))
+    return V.nn_coverage(celled, centres, 0.25)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings")
+def vec_recluster(spark, sf_dir):
+    celled, _ = V.cells(tables.vectors(spark, sf_dir))
+    return V.recluster(celled, 8).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("n_ids"))
+
+
+# -- chains -----------------------------------------------------------------------------------------
+def _with(body: str, **view) -> str:
+    return f"WITH {events_sql(**view)} {body}"
+
+
+@query(_with("SELECT event_id, user_id, entity, revision FROM facts"))
+def facts_revision(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", "user_id", "entity", "revision")
+
+
+@query(_with(", l AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY user_id, entity ORDER BY revision) AS ok FROM facts) SELECT user_id, entity, count(*) AS n, bool_and(coalesce(ok, true)) AS concordant FROM l GROUP BY user_id, entity", backfilled=True))
+def facts_concordance(spark, sf_dir):
+    parts = F.split("group_key", "\u001f")
+    return revisions.concordance(events(spark, sf_dir, backfilled=True)).select(parts[0].alias("user_id"), parts[2].alias("entity"), "n", "concordant")
+
+
+def _superseded(order: str) -> str:
+    return _with(f"SELECT event_id, CASE WHEN entity IS NULL THEN NULL ELSE lead(ts) OVER (PARTITION BY user_id, entity ORDER BY {order}) IS NOT NULL END AS superseded, CASE WHEN entity IS NOT NULL THEN lead(ts) OVER (PARTITION BY user_id, entity ORDER BY {order}) END AS superseded_at FROM facts", backfilled=True, untagged="view")
+
+
+@query(_superseded("revision, ts"))
+def supersede_by_revision(spark, sf_dir):
+    return revisions.supersession(events(spark, sf_dir, backfilled=True, untagged="view")).select("event_id", "superseded", "superseded_at")
+
+
+@query(_superseded("ts, revision"))
+def supersede_by_time(spark, sf_dir):
+    return revisions.supersession(events(spark, sf_dir, backfilled=True, untagged="view"), "time").select("event_id", "superseded", "superseded_at")
+
+
+@query(_superseded("revision, ts"))
+def supersede_by_window(spark, sf_dir):
+    return revisions.supersession_by_window(events(spark, sf_dir, backfilled=True, untagged="view")).select("event_id", "superseded", "superseded_at")
+
+
+_CURRENT = "SELECT user_id, entity, arg_max(event_id, (ts, revision)) AS event_id, max(ts) AS ts FROM facts {where} GROUP BY user_id, entity"
+
+
+@query(_with(_CURRENT.format(where="")))
+def current_value(spark, sf_dir):
+    return revisions.current_value(events(spark, sf_dir), ["user_id", "entity", "event_id", "ts"]).drop("group_key")
+
+
+@query(_with(_CURRENT.format(where=f"WHERE ts <= {UNTIL}")))
+def current_value_as_of(spark, sf_dir):
+    return revisions.current_value(events(spark, sf_dir), ["user_id", "entity", "event_id", "ts"], UNTIL).drop("group_key")
+
+
+_PLACE = ", o AS (SELECT *, row_number() OVER (PARTITION BY user_id, entity ORDER BY ts DESC) AS n, count(*) OVER (PARTITION BY user_id, entity) AS c FROM facts) SELECT event_id, user_id, entity, ts FROM o WHERE n = {place}"
+
+
+@query(_with(_PLACE.format(place="least(2, c)"), backfilled=True))
+def previous_value(spark, sf_dir):
+    return revisions.member(events(spark, sf_dir, backfilled=True), "previous").select("event_id", "user_id", "entity", "ts")
+
+
+@query(_with(_PLACE.format(place="c"), backfilled=True))
+def oldest_value(spark, sf_dir):
+    return revisions.member(events(spark, sf_dir, backfilled=True), "oldest").select("event_id", "user_id", "entity", "ts")
+
+
+_HISTORY = ", o AS (SELECT *, row_number() OVER (PARTITION BY user_id, entity ORDER BY ts DESC) AS n FROM facts), k AS (SELECT *, count(*) OVER (PARTITION BY user_id, entity) AS c FROM o {where}) SELECT event_id, CAST(c - n + 1 AS INT) AS position, n > 1 AS superseded FROM k"
+
+
+@query(_with(_HISTORY.format(where=""), backfilled=True))
+def chain_history(spark, sf_dir):
+    return revisions.history(events(spark, sf_dir, backfilled=True)).select("event_id", "position", "superseded")
+
+
+@query(_with(_HISTORY.format(where="WHERE n <= 3"), backfilled=True))
+def chain_history_tail(spark, sf_dir):
+    return revisions.history(events(spark, sf_dir, backfilled=True), 3).select("event_id", "position", "superseded")
+
+
+@query(_with("SELECT user_id, entity, max(revision) AS max_revision, max(ts) AS max_ts, bool_or(declared) AS declared FROM facts WHERE entity IS NOT NULL GROUP BY user_id, entity", untagged="view"))
+def group_declared(spark, sf_dir):
+    parts = F.split("group_key", "\u001f")
+    found = revisions.group_extremes(events(spark, sf_dir, untagged="view"))
+    return found.select(parts[0].alias("user_id"), parts[2].alias("entity"), "max_revision", "max_ts", "declared")
+
+
+@query(_with("SELECT event_id, ts, revision, entity FROM facts WHERE user_id = '7' ORDER BY event_id"))
+def scan_user(spark, sf_dir):
+    return events(spark, sf_dir).where("user_id = '7'").select("event_id", "ts", "revision", "entity")
+
+
+# -- log analytics ----------------------------------------------------------------------------------
+_CHANGES = f"SELECT event_id, text, ts, revision, entity FROM facts WHERE ts > {SINCE} AND ts <= {UNTIL} ORDER BY ts, event_id"
+
+
+@query(_with(_CHANGES))
+def changes_window(spark, sf_dir):
+    return analytics.changes(events(spark, sf_dir), SINCE, UNTIL).select("event_id", "text", "ts", "revision", "entity")
+
+
+@query(_with(_CHANGES + " LIMIT 25"))
+def changes_limit(spark, sf_dir):
+    return analytics.changes(events(spark, sf_dir), SINCE, UNTIL, 25).select("event_id", "text", "ts", "revision", "entity")
+
+
+_VOLATILITY = """, i AS (SELECT user_id, entity, ts, ts - lag(ts) OVER (PARTITION BY user_id, entity ORDER BY ts) AS gap FROM facts WHERE entity IS NOT NULL),
+    v AS (SELECT user_id, entity, count(*) AS n_revisions, min(ts) AS first_ts, max(ts) AS last_ts, avg(gap) AS mean_interval, median(gap) AS median_interval, sum(gap) AS gap_sum, count(gap) AS gap_count, {now} - max(ts) AS age FROM i GROUP BY user_id, entity HAVING count(*) >= {least})"""
+_SHOW_VOLATILITY = " SELECT user_id, entity, n_revisions, first_ts, last_ts, round(mean_interval, 3) AS mean_interval, round(median_interval, 3) AS median_interval, round(age, 3) AS age FROM v"
+
+
+def _volatility(spark, sf_dir, least):
+    found = analytics.volatility(events(spark, sf_dir, untagged="view"), NOW, least)
+    show = lambda c: F.round(c, 3).alias(c)
+    return found.select(F.split("group_key", "\u001f")[0].alias("user_id"), "entity", "n_revisions", "first_ts", "last_ts", show("mean_interval"), show("median_interval"), show("age"))
+
+
+@query(_with(_VOLATILITY.format(now=NOW, least=2) + _SHOW_VOLATILITY, untagged="view"))
+def volatility(spark, sf_dir):
+    return _volatility(spark, sf_dir, 2)
+
+
+@query(_with(_VOLATILITY.format(now=NOW, least=5) + _SHOW_VOLATILITY, untagged="view"))
+def volatility_min5(spark, sf_dir):
+    return _volatility(spark, sf_dir, 5)
+
+
+_STALE = _VOLATILITY.format(now=NOW, least=2) + """, p AS (SELECT entity, sum(gap_count) / sum(gap_sum) AS prior FROM v GROUP BY entity),
+    s AS (SELECT v.*, (gap_count * (gap_count / gap_sum) + prior) / (gap_count + 1) AS rate FROM v JOIN p USING (entity))"""
+
+
+@query(_with(_STALE + " SELECT user_id, entity, round(rate * 86400, 6) AS rate_per_day, CAST(NULL AS DOUBLE) AS p_superseded FROM s", untagged="view"))
+def staleness_rate(spark, sf_dir):
+    found = analytics.staleness(events(spark, sf_dir, untagged="view"), NOW)
+    return found.select(F.split("group_key", "\u001f")[0].alias("user_id"), "entity", F.round(F.col("rate") * 86400, 6).alias("rate_per_day"), "p_superseded")
+
+
+@query(_with(_STALE + " SELECT user_id, entity, round(1 - exp(-rate * greatest(0, age)), 6) AS p_superseded FROM s", untagged="view"))
+def staleness_prob(spark, sf_dir):
+    found = analytics.staleness(events(spark, sf_dir, untagged="view"), NOW, assume_memoryless=True)
+    return found.select(F.split("group_key", "\u001f")[0].alias("user_id"), "entity", F.round("p_superseded", 6).alias("p_superseded"))
+
+
+@query(_with(_STALE + " SELECT CASE WHEN gap_count <= 1 THEN 'prior' WHEN gap_count <= 3 THEN 'weak' ELSE 'observed' END AS confidence, count(*) AS n FROM s GROUP BY 1", untagged="view"))
+def staleness_confidence(spark, sf_dir):
+    return analytics.staleness(events(spark, sf_dir, untagged="view"), NOW).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+@query(_with(f""", s AS (SELECT event_id, lead(ts) OVER (PARTITION BY user_id, entity ORDER BY revision, ts) AS until FROM facts), d AS (SELECT event_id, until, greatest(({NOW} - until) / 86400, 0) AS days FROM s)
+    SELECT event_id, CASE WHEN until IS NULL THEN '' ELSE 'SUPERSEDED - replaced ' || CASE WHEN days < 1 THEN 'today' WHEN days < 45 THEN CAST(CAST(round(days) AS INT) AS VARCHAR) || ' days ago' ELSE CAST(CAST(round(days / 30.44) AS INT) AS VARCHAR) || ' months ago' END || '; this was true when written, not now' END AS label FROM d"""))
+def staleness_label(spark, sf_dir):
+    rows = revisions.supersession_by_window(events(spark, sf_dir))
+    return rows.select("event_id", T.staleness_label(F.col("superseded"), F.col("superseded_at"), F.lit(NOW)).alias("label"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def inspect_sources(spark, sf_dir):
+    return analytics.inspect_sources(read(spark, sf_dir, "documents"))
+
+
+@query("SELECT 'k' AS key, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 2")
+def inspect_metadata(spark, sf_dir):
+    return analytics.inspect_metadata(events(spark, sf_dir))
+
+
+@query(_with("SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_documents, count(DISTINCT CASE WHEN entity IS NOT NULL THEN user_id || '|' || entity END) AS n_groups, count(DISTINCT entity) AS n_entities, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM facts", untagged="view"))
+def store_stats(spark, sf_dir):
+    return analytics.stats(events(spark, sf_dir, untagged="view"))
+
+
+# -- maintenance ------------------------------------------------------------------------------------
+_VERSIONS = ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id, entity ORDER BY ts DESC, revision DESC) AS version, count(*) OVER (PARTITION BY user_id, entity) AS c FROM facts WHERE entity IS NOT NULL)"
+
+
+@query(_with(_VERSIONS + " SELECT event_id FROM n WHERE version > 1 AND c >= 2", untagged="view"))
+def retain_keep1(spark, sf_dir):
+    return maintain.forget_superseded(events(spark, sf_dir, untagged="view")).select("event_id")
+
+
+@query(_with(_VERSIONS + " SELECT event_id FROM n WHERE version > 3 AND c >= 5", untagged="view"))
+def retain_keep3(spark, sf_dir):
+    return maintain.forget_superseded(events(spark, sf_dir, untagged="view"), 3, 5).select("event_id")
+
+
+@query(_with(_VERSIONS + f" SELECT event_id FROM n WHERE version > 1 AND c >= 2 AND ts < {SINCE}", untagged="view"))
+def retain_age(spark, sf_dir):
+    return maintain.forget_superseded(events(spark, sf_dir, untagged="view"), older_than=SINCE).select("event_id")
+
+
+@query("WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents WHERE text IS NOT NULL AND length(regexp_replace(text, '\\s', '', 'g')) > 0) SELECT 'doc_' || doc_id AS document FROM d WHERE n > 1")
+def retain_versions(spark, sf_dir):
+    dropped = maintain.forget_superseded(tables.document_chunks(spark, sf_dir))
+    return dropped.select(F.get_json_object("metadata", "$.parent_id").alias("document")).distinct()
+
+
+_OLD = f"{NOW} - ts > 20 * 86400"
+
+
+@query(_with(_VERSIONS + f" SELECT event_id FROM facts WHERE {_OLD} AND event_id NOT IN (SELECT event_id FROM n WHERE version = 1)"))
+def prune_age(spark, sf_dir):
+    return maintain.prune(events(spark, sf_dir), NOW, 20).select("event_id")
+
+
+@query(_with(f"SELECT event_id FROM facts WHERE {_OLD}"))
+def prune_age_unprotected(spark, sf_dir):
+    return maintain.prune(events(spark, sf_dir), NOW, 20, protect=False).select("event_id")
+
+
+@query(_with(", b AS (SELECT event_id, coalesce(sum(strlen(text)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM facts) SELECT event_id FROM b WHERE before < 20000"))
+def prune_bytes(spark, sf_dir):
+    return maintain.prune(events(spark, sf_dir), NOW, free_bytes=20000, protect=False).select("event_id")
+
+
+@query(_with("SELECT event_id FROM facts WHERE NOT (text LIKE '%click:1%' AND json_extract_string(metadata, '$.k') = '7')"))
+def delete_criteria(spark, sf_dir):
+    return maintain.delete(events(spark, sf_dir), text_contains="CLICK:1", where={"k": 7}).select("event_id")
+
+
+@query(_with("SELECT event_id FROM facts WHERE json_extract_string(metadata, '$.k') IN ('3', '4')"))
+def filter_metadata(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rows.where(matches(F.col("metadata"), {"k": [3, "4"]})).select("event_id")
+
+
+@query(_with("SELECT event_id FROM facts WHERE json_extract_string(metadata, '$.k') = '5'"))
+def export_strict(spark, sf_dir):
+    return maintain.export(events(spark, sf_dir), where={"k": 5})[0].select("event_id")
+
+
+@query(_with("SELECT event_id FROM facts WHERE json_extract_string(metadata, '$.k') <> '5'"))
+def export_purge(spark, sf_dir):
+    return maintain.export(events(spark, sf_dir), where={"k": 5})[1].select("event_id")
+
+
+@query(_with("SELECT json_extract_string(metadata, '$.k') AS part, count(*) AS n FROM facts GROUP BY 1"))
+def split_by_key_counts(spark, sf_dir):
+    return maintain.split_by_key(events(spark, sf_dir), "k").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(_with(f"SELECT event_id FROM facts WHERE ts >= {SINCE} AND ts <= {UNTIL}"))
+def split_by_date(spark, sf_dir):
+    return maintain.split_by_date(events(spark, sf_dir), SINCE, UNTIL).select("event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(source, 'src1')")
+def split_by_source(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").withColumn("metadata", F.lit("{}"))
+    return maintain.split_by_source(rows, "src1").select("doc_id")
+
+
+def _halves(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("text", F.concat("entity", F.lit(":"), (F.col("event_id") % 400).cast("string")))
+    return rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 OR event_id % 10 = 0")
+
+
+_HALVES = events_sql() + ", t AS (SELECT *, entity || ':' || (event_id % 400) AS words FROM facts), a AS (SELECT * FROM t WHERE event_id % 2 = 0), b AS (SELECT * FROM t WHERE event_id % 2 = 1 OR event_id % 10 = 0)"
+
+
+@query(f"WITH {_HALVES} SELECT event_id, (SELECT max(event_id) + 1 FROM a) + event_id AS row_id, 'other' AS origin FROM b")
+def merge_all(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    rows = maintain.merge(a, b, "other", reconcile=False)
+    return rows.select("event_id", "row_id", F.get_json_object("metadata", "$.source_vault").alias("origin"))
+
+
+@query(f"WITH {_HALVES}, n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, entity, lower(words) ORDER BY row_id) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.entity = b.entity AND lower(a.words) = lower(b.words))) SELECT event_id FROM n WHERE n = 1")
+def merge_dedup(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    return maintain.merge(a, b, "other", deduplicate=True, reconcile=False).select("event_id")
+
+
+@query()
+def merge_reconcile(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    return maintain.merge(a, b, "other").select("event_id", "user_id", "entity", "revision")
+
+
+@query(_with("SELECT event_id FROM facts WHERE event_id % 3 <> 0"))
+def unmerge_complement(spark, sf_dir):
+    origin = F.when(F.col("event_id") % 3 == 0, F.lit('{"source_vault": "stores/other"}')).otherwise(F.lit("{}"))
+    return maintain.unmerge(events(spark, sf_dir).withColumn("metadata", origin), "other")[1].select("event_id")
+
+
+@query(_with("SELECT event_id, CASE WHEN event_id = 42 THEN 'patched' ELSE text END AS text, CASE WHEN event_id = 42 THEN revision + 1 ELSE revision END AS revision FROM facts"))
+def update_row(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    target = rows.where("event_id = 42").select("doc_id").first().doc_id
+    return maintain.update(rows, target, text="patched").select("event_id", "text", "revision")
+
+
+@query("SELECT 'doc_0' AS doc_id, coalesce((SELECT array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') FROM documents WHERE doc_id = 0), '') AS text")
+def get_document(spark, sf_dir):
+    return maintain.get(tables.document_chunks(spark, sf_dir), "doc_0").select("doc_id", "text")
+
+
+# -- composite queries ------------------------------------------------------------------------------
+@query("""WITH s AS (SELECT vec_id, vec_id % 2 AS store, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings)
+    SELECT vec_id, CAST(store AS VARCHAR) AS store, round(c, 6) AS cosine FROM s ORDER BY c DESC, store, vec_id LIMIT 10""")
+def federated_topk(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir)
+    best = search.federated({str(k): rows.where(F.col("vec_id") % 2 == k) for k in (0, 1)}, _q0(spark, sf_dir), K_BEST)
+    return best.select("vec_id", "store", F.round("cosine", 6).alias("cosine"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS sub, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (0, 1, 2)) q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY c DESC, vec_id) AS depth FROM s), k AS (SELECT * FROM r WHERE depth <= 10),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id % 10 ORDER BY depth, c DESC, sub) AS n FROM k)
+    SELECT sub, vec_id, CAST(depth AS INT) AS depth FROM o WHERE n = 1 ORDER BY depth, c DESC, sub LIMIT 10""")
+def interleave_rounds(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir)
+    hits = V.batch_top_k(rows, tables.query_vectors(spark, sf_dir, [0, 1, 2]), K_BEST, "vec_id").withColumnsRenamed({"qid": "sub", "cosine": "score", "rank": "depth"})
+    hits = hits.join(rows.select("vec_id", F.concat_ws("/", "label", F.col("vec_id") % 10).alias("text")), "vec_id")
+    return search.interleave(hits, K_BEST).select("sub", "vec_id", "depth")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS sub, max(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 40) q WHERE e.vec_id >= 40 GROUP BY 1)
+    SELECT sub FROM s WHERE c < 0.4""")
+def unanswered_clauses(spark, sf_dir):
+    rows, asked = tables.vectors(spark, sf_dir), list(range(40))
+    hits = V.batch_top_k(rows.where("vec_id >= 40"), tables.query_vectors(spark, sf_dir, asked), K_BEST, "vec_id", floor=0.4)
+    return search.unanswered(rows.where("vec_id < 40").select(F.col("vec_id").alias("sub")), hits.withColumnRenamed("qid", "sub"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM conversations),
+    b AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM w)
+    SELECT conv_id, turn, CAST(n_words AS INT) AS n_words, CAST(words_before AS BIGINT) AS words_before FROM b WHERE words_before = 0 OR words_before + n_words <= 500""")
+def context_budget(spark, sf_dir):
+    return search.context_budget(read(spark, sf_dir, "conversations"), 500, ["turn"], ["conv_id"]).select("conv_id", "turn", "n_words", F.col("words_before").cast("long").alias("words_before"))
+
+
+@query()
+def search_hits(spark, sf_dir):
+    return search.search(tables.facts_vec(spark, sf_dir), "what is my current label_3?", _q0(spark, sf_dir), K_BEST)
+
+
+@query()
+def search_previous(spark, sf_dir):
+    return search.search(tables.facts_vec(spark, sf_dir), "what was it", _q0(spark, sf_dir), K_BEST, direction="previous")
+
+
+@query()
+def question_history(spark, sf_dir):
+    return search.history(tables.facts_vec(spark, sf_dir), "what has it been", _q0(spark, sf_dir)).select("row_id", "entity", "ts", "revision", "position", "superseded")
+
+
+def _encoded(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    none = F.lit(None).cast("string")
+    return turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat_ws("_", F.lit("doc"), "conv_id", "turn").alias("doc_id"), "text", F.lit("document").alias("source"), F.lit("{}").alias("metadata"), F.col("turn").cast("double").alias("ts"),
+        none.alias("user_id"), none.alias("project"), none.alias("entity"), none.alias("group_key"), F.lit(False).alias("declared"), F.lit(1).alias("revision"), embed_column(F.col("text"), LexicalEncoder(64)).alias("embedding"),
+    )
+
+
+@query()
+def search_decomposed(spark, sf_dir):
+    return search.search_decomposed(_encoded(spark, sf_dir), "what is the thing, and how does it work?", LexicalEncoder(64), 5)
+
+
+@query()
+def search_multihop(spark, sf_dir):
+    return search.multihop(_encoded(spark, sf_dir), "what is the thing", LexicalEncoder(64), 4)
+
+
+# -- ranking ----------------------------------------------------------------------------------------
+_RANK = "WITH s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings)"
+
+
+def _scored_facts(spark, sf_dir):
+    return V.scored(tables.facts_vec(spark, sf_dir), _q0(spark, sf_dir))
+
+
+@query(_RANK + " SELECT vec_id, round(c + CASE WHEN label IN (2, 4) THEN 0.25 ELSE 0 END, 6) AS score FROM s")
+def intent_boost(spark, sf_dir):
+    rows = _scored_facts(spark, sf_dir)
+    return rows.select(F.col("row_id").alias("vec_id"), F.round(F.col("cosine") + ranking.intent_boost(F.col("entity"), ["label_2", "label_4"]), 6).alias("score"))
+
+
+@query(_RANK + " SELECT vec_id FROM s WHERE label = 2 AND c >= (SELECT max(c) FROM s WHERE label = 2) - 0.06")
+def relevance_floor(spark, sf_dir):
+    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "label_2")
+    return rows.where("in_group").select(F.col("row_id").alias("vec_id"))
+
+
+@query(_RANK + ", g AS (SELECT *, label = 2 AND c >= (SELECT max(c) FROM s WHERE label = 2) - 0.3 AS m FROM s), w AS (SELECT max(vec_id) FILTER (m) AS win, max(c) FILTER (m) AS top FROM g) SELECT vec_id, round(CASE WHEN vec_id = win THEN c + least(greatest(top - c + 1e-6, 0), 0.6) ELSE c END, 6) AS score FROM g, w")
+def revision_lead(spark, sf_dir):
+    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "label_2", 0.3).withColumn("final", F.col("cosine"))
+    winner = rows.where("in_group").agg(F.max_by("row_id", F.struct("ts", "revision")).alias("w")).first().w
+    led = ranking.lead(rows, F.col("row_id") == winner, F.col("in_group"))
+    return led.select(F.col("row_id").alias("vec_id"), F.round("final", 6).alias("score"))
+
+
+@query(_RANK + ", t AS (SELECT * FROM s ORDER BY c DESC, vec_id LIMIT 4), l AS (SELECT vec_id AS lid, label AS ll, c AS lc FROM t ORDER BY c DESC, vec_id LIMIT 1) SELECT vec_id FROM t, l WHERE c >= lc - 0.16 AND label = ll AND list_dot_product((SELECT embedding::DOUBLE[] FROM embeddings e WHERE e.vec_id = t.vec_id), (SELECT embedding::DOUBLE[] FROM embeddings e WHERE e.vec_id = lid)) >= 0.6")
+def cosine_window(spark, sf_dir):
+    kept = ranking.cosine_window(_scored_facts(spark, sf_dir))
+    return spark.createDataFrame([(r["row_id"],) for r in kept], "vec_id long")
+
+
+# -- text -------------------------------------------------------------------------------------------
+@query("SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS fingerprint FROM documents")
+def doc_fingerprint(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.doc_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, 'doc_' || substr(md5(text), 1, 10) AS fact_id FROM documents")
+def doc_id(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.doc_id(F.col("text")).alias("fact_id"))
+
+
+@query("SELECT doc_id, round(coalesce((length(t) - length(regexp_replace(t, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FA1F}]', '', 'g'))) / nullif(length(t), 0), 0), 6) AS share FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS t FROM documents)")
+def dense_script_share(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(T.dense_share(F.col("text")), 6).alias("share"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS rows FROM documents), s AS (SELECT doc_id, rows, unnest(generate_series(0, len(rows) - 1, 40)) AS head FROM l),
+    w AS (SELECT doc_id, head + 1 AS start_line, least(head + 50, len(rows)) AS end_line, array_to_string(rows[head + 1 : head + 50], chr(10)) AS text FROM s)
+    SELECT doc_id, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, md5(text) AS digest FROM w WHERE regexp_matches(text, '\\S')""")
+def line_windows(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.inline(T.line_windows(F.col("text"))))
+    return rows.select("doc_id", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, substr(regexp_replace(regexp_replace(replace(replace(lower(trim(source || ' ' || lang)), 'favourite', 'favorite'), 'neighbourhood', 'neighborhood'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS entity FROM documents")
+def entity_norm_ascii(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_entity_ascii(F.concat_ws(" ", "source", "lang")).alias("entity"))
+
+
+def _sql_text(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_STRUCTURE_SQL = " ".join(f"WHEN regexp_matches({'text' if n in K.CASED_SHAPES.split() else 'lower(text)'}, '{_sql_text(p)}') THEN '{n}'" for n, p in K.STRUCTURE if n != "phone_number")
+
+
+@query(f"SELECT doc_id, CASE {_STRUCTURE_SQL} END AS class FROM documents")
+def structural_class(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.structural_class(F.col("text"), ("phone_number",)).alias("class"))
+
+
+def _says_sql(cues: tuple[str, ...]) -> str:
+    words = "|".join(c for c in cues if " " not in c)
+    phrases = " OR ".join(f"contains(lower(text), '{c}')" for c in cues if " " in c)
+    return f"regexp_matches(lower(text), '(^|[^a-z])({words})($|[^a-z])') OR {phrases}"
+
+
+@query(f"SELECT conv_id, turn, {_says_sql(K.TIME_CUES)} AS temporal_cue, {_says_sql(K.CHANGE_MARKERS)} AS revision_marker FROM conversations")
+def temporal_cue(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.temporal_cue(F.col("text")).alias("temporal_cue"), T.revision_marker(F.col("text")).alias("revision_marker"))
+
+
+_PAST = f"regexp_matches(lower(text), '{K.PAST_FRAME}')"
+_DIRECTION_SQL = f"""CASE WHEN NOT (regexp_matches(lower(text), '{K.ANTERIOR_STRONG}') OR ({_PAST} AND regexp_matches(lower(text), '{K.ANTERIOR_WEAK}'))) THEN 'current'
+    WHEN regexp_matches(lower(text), '{K.IMMEDIATE}') THEN 'previous' WHEN regexp_matches(lower(text), '{K.INITIAL_STRONG}') OR ({_PAST} AND regexp_matches(lower(text), '{K.INITIAL_WEAK}')) THEN 'oldest' ELSE 'historical' END"""
+#: Questions about every part, in four wordings, so that each direction occurs.
+_ASKED = ("what is my {x}?", "what was my original {x}?", "what was my {x} just before this one?", "what did my {x} use to be?")
+_ASKED_SQL = "SELECT p_partkey AS id, CASE p_partkey % 4 " + " ".join(f"WHEN {k} THEN '{q.split('{x}')[0]}' || lower(p_name) || '{q.split('{x}')[1]}'" for k, q in enumerate(_ASKED)) + " END AS text FROM part"
+
+
+@query(f"WITH t AS ({_ASKED_SQL}) SELECT id, {_DIRECTION_SQL} AS direction FROM t")
+def query_direction(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    text = F.lit(None).cast("string")
+    for k, asked in enumerate(_ASKED):
+        head, tail = asked.split("{x}")
+        text = F.when(kind == k, F.concat(F.lit(head), F.lower("p_name"), F.lit(tail))).otherwise(text)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.query_direction(text).alias("direction"))
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '{K.PRONOUN_LED}') AND NOT regexp_matches(lower(text), '{K.OWN}') AS pronoun_led FROM conversations")
+def pronoun_led(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.pronoun_led(F.col("text")).alias("pronoun_led"))
+
+
+@query()
+def gate_features(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in gate.features(F.col("text")).items()])
+
+
+@query()
+def gate_decision(spark, sf_dir):
+    return gate.decide(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "reason", F.round("prob", 6).alias("prob"), "should_store")
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    return tables.document_chunks(spark, sf_dir).select("doc_id", "text")
+
+
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) BETWEEN 1 AND 500")
+def join_chunks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(T.word_count(F.col("text")).between(1, 500))
+    return docs.select("doc_id", T.join_column(T.chunk_column(F.col("text"))).alias("text"))
+
+
+@query()
+def detect_entity(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tag_column(F.col("text")).alias("entity"))
+
+
+@query()
+def lexical_encode(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", embed_column(F.col("text"), LexicalEncoder(64)).alias("embedding"))
+
+
+@query()
+def ingest_conversations(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat_ws("_", F.lit("doc"), "conv_id", "turn").alias("doc_id"), "text", F.lit("chat").alias("source"), F.lit("{}").alias("metadata"), F.col("turn").cast("double").alias("ts"), F.col("conv_id").cast("string").alias("user_id"), none.alias("project"), none.alias("entity"))
+    return ingest_batch(rows).select("row_id", "entity", "revision")
 
 
-def oracle_sql() -> dict:
-    return {}
