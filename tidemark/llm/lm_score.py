@@ -157,7 +157,7 @@ def _requests(blocks: DataFrame, bits: dict[int, int]) -> DataFrame:
                     counts = block.counts(kind)[order].astype("<u4")
                     bucket = (keys >> np.uint64(64 - bits[kind])).astype(np.int64) if bits[kind] else np.zeros(len(keys), np.int64)
                     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    ends = [*cuts[1:].tolist(), len(keys)]
+                    ends = [*cuts[1:].tolist(), len(keys)] if len(keys) else []
                     found = [(kind, int(bucket[a]), name, keys[a:b].astype("<u8").tobytes(), _pack(counts[a:b])) for a, b in zip(cuts.tolist(), ends, strict=True)]
                     for at in range(0, len(found), 64):
                         columns = list(zip(*found[at : at + 64], strict=True))
