@@ -1,13 +1,15 @@
 """Live ingest: tagging, pronouns that inherit the attribute before them, and revision counters.
 
-Two stateful steps share the work so that each keeps little: one keyed by user remembers the last
-attribute, one keyed by group remembers the highest revision. The same folds run on whole tables
-(:func:`ingest_batch`), where the table's order is one session. Late rows are accepted as they come;
-their order is repaired when chains are read.
+A user is part of every group key, so one stateful step keyed by user holds all that is needed: the
+user's last attribute and the highest revision of each of the user's groups. The same fold runs on
+whole tables (:func:`ingest_batch`), where the table's order is one session. Late rows are accepted as
+they come; their order is repaired when chains are read.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,6 @@ from tidemark.schema import with_group_key
 
 _IN = ["row_id", "doc_id", "text", "source", "metadata", "ts", "user_id", "project", "entity"]
 TAGGED = "row_id long, doc_id string, text string, source string, metadata string, ts double, user_id string, project string, entity string, declared boolean"
-NUMBERED = TAGGED + ", group_key string, revision int"
 
 
 def tag(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None]:
@@ -58,22 +59,18 @@ def ingest_stream(rows: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in TAGGED.split(", ")]
 
     def by_user(key, parts, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("row_id", kind="stable")
-        done, last = tag(rows, last)
-        state.update((last,))
-        yield done[names]
-
-    def by_group(key, parts, state):
-        top = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("row_id", kind="stable")
-        if key[0]:
-            rows = rows.assign(revision=range(top + 1, top + 1 + len(rows)))
-            state.update((top + len(rows),))
-        else:
-            rows = rows.assign(revision=1)
-        yield rows.astype({"revision": "int32"})
-
-    tagged = rows.select(*_IN).groupBy("user_id").applyInPandasWithState(by_user, TAGGED, "last string", "append", GroupStateTimeout.NoTimeout)
-    keyed = with_group_key(tagged).withColumn("group_key", F.coalesce("group_key", F.lit("")))
-    return keyed.groupBy("group_key").applyInPandasWithState(by_group, NUMBERED, "top int", "append", GroupStateTimeout.NoTimeout)
+        last, tops = json.loads(state.get[0]) if state.exists else (None, {})
+        done, last = tag(pd.concat(list(parts)).sort_values("row_id", kind="stable"), last)
+        revisions = []
+        for project, entity in zip(done["project"], done["entity"], strict=True):
+            if not isinstance(entity, str):
+                revisions.append(1)
+                continue
+            group = json.dumps([project if isinstance(project, str) else None, entity])
+            tops[group] = tops.get(group, 0) + 1
+            revisions.append(tops[group])
+        state.update((json.dumps([last, tops]),))
+        yield done[names].assign(revision=pd.Series(revisions, index=done.index).astype("int32"))
+
+    numbered = rows.select(*_IN).groupBy("user_id").applyInPandasWithState(by_user, TAGGED + ", revision int", "held string", "append", GroupStateTimeout.NoTimeout)
+    return with_group_key(numbered)
