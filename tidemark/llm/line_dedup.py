@@ -131,7 +131,7 @@ def _candidate_texts(rows: DataFrame) -> DataFrame:
 
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
-    """``(key, whole, h, place)``: the hashed variants of each line, ``whole`` where the key is of the line itself."""
+    """``(key, whole, h)``: the hashed variants of each line, ``whole`` where the key is of the line itself."""
 
     def run(batches):
         for batch in batches:
@@ -142,11 +142,9 @@ def _neighbourhoods(lines: DataFrame) -> DataFrame:
                 heads.append(np.full(len(found), k))
                 whole.append(np.arange(len(found)) == 0)
             at = pa.array(np.concatenate(heads))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(whole)), batch.column(0).take(at), batch.column(2).take(at)], ["key", "whole", "h", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(whole)), batch.column(0).take(at)], ["key", "whole", "h"])
 
-    place = "struct<ord:bigint,row_key:bigint,line:int>"
-    rows = lines.select("h", "norm", F.struct("ord", "row_key", "line").alias("place"))
-    return rows.mapInArrow(run, f"key long, whole boolean, h long, place {place}")
+    return lines.select("h", "norm").mapInArrow(run, "key long, whole boolean, h long")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -157,17 +155,20 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     sigs = materialize(signatures(rows, min_words, near_words), "signatures")
     place = F.struct("ord", "row_key", "line")
     classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves")), "classes")
-    # a half is shared if two different lines have it
-    halves = classes.where(F.size("halves") > 0).select("h", "first", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("h", "first").distinct()
-    by_row = wanted.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
+    # a half is shared if two different lines have it; sums of bare hashes are all that is shuffled here
+    halves = classes.where(F.size("halves") > 0).select("h", F.explode(F.array_distinct("halves")).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("half")
+    wanted = halves.join(shared, "half", "left_semi").select("h").distinct()
+    by_row = classes.select("h", "first").join(wanted, "h", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
     lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines")
-    cloud = materialize(_neighbourhoods(lines), "neighbourhoods")
+    # so too for the variants: the few keys that two lines share are found first, then who has them
+    cloud = _neighbourhoods(lines)
+    common = cloud.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
+    cloud = materialize(cloud.join(common, "key", "left_semi").join(lines.select("h", place.alias("place")), "h"), "met")
     one = F.struct("place", "h")
-    keys = cloud.groupBy("key").agg(F.min(F.when(F.col("whole"), one)).alias("line_itself"), F.min(F.when(~F.col("whole"), one)).alias("least"), F.max("h").alias("top"), F.min("h").alias("low")).where("top <> low")
+    keys = cloud.groupBy("key").agg(F.min(F.when(F.col("whole"), one)).alias("line_itself"), F.min(F.when(~F.col("whole"), one)).alias("least"))
     partner = F.when(~F.col("whole") & F.col("line_itself").isNotNull(), F.col("line_itself")).otherwise(F.col("least"))
-    met = cloud.join(keys.select("key", "line_itself", "least"), "key").select("h", "place", partner.alias("partner"))
+    met = cloud.join(keys, "key").select("h", "place", partner.alias("partner"))
     met = met.where(F.col("partner.place") < F.col("place")).select("h", F.col("partner.h").alias("other")).distinct()
     near = materialize(_verified(met, lines), "near")
     flagged = sigs.select("row_key", "ord", "line", "h").join(classes.select("h", "first"), "h").join(near, "h", "left")
