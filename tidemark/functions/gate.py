@@ -21,11 +21,15 @@ def _count_in(words: Column, listed: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(names)))
 
 
-def features(text: Column) -> dict[str, Column]:
-    """The 23 surface features by name; an empty text has zeros."""
+def prepared(text: Column) -> tuple[Column, Column, Column]:
+    """What all features share: the stripped text, the same in lower case, and its words."""
     t = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    words = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    return t, F.lower(t), F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0))
+
+
+def features(text: Column, parts: tuple[Column, Column, Column] | None = None) -> dict[str, Column]:
+    """The 23 surface features by name; an empty text has zeros. ``parts``: the columns of :func:`prepared`, if they exist."""
+    t, low, words = parts or prepared(text)
     n = F.greatest(F.size(words), F.lit(1))
     tokens = F.regexp_count(t, F.lit(r"(?U)\S+"))
     first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
@@ -63,11 +67,9 @@ def features(text: Column) -> dict[str, Column]:
     return {name: F.when(t == "", F.lit(0.0)).otherwise(value.cast("double")) for name, value in out.items()}
 
 
-def rule(text: Column) -> Column:
+def rule(text: Column, parts: tuple[Column, Column, Column] | None = None) -> Column:
     """The rule that decides before the head does, or null."""
-    t = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    words = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    t, low, words = parts or prepared(text)
     first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
     short = (F.size(words).between(3, K.SHORT_FACT_WORDS)) & ~t.contains("?") & ~first.rlike(_any(K.OPEN_ACK)) & ~first.rlike(_any(K.OPEN_REQUEST)) & ~low.contains("please")
     return (
@@ -88,7 +90,12 @@ def logit(values: dict[str, Column]) -> Column:
 
 def decide(rows: DataFrame, text: str = "text", threshold: float = K.GATE_THRESHOLD) -> DataFrame:
     """Adds ``reason``, ``prob`` and ``should_store``."""
-    prob = 1 / (1 + F.exp(-logit(features(F.col(text)))))
-    return rows.withColumn("__rule", rule(F.col(text))).withColumn("prob", prob).withColumn(
-        "should_store", F.when(F.col("__rule").isNull(), F.col("prob") >= threshold).otherwise(F.col("__rule").isin("explicit_memory_directive", "short_self_declarative_fact"))
-    ).withColumn("reason", F.coalesce("__rule", F.lit("learned_head"))).drop("__rule")
+    t, low, words = prepared(F.col(text))
+    # the shared parts and the features are columns of their own, so that each is worked out once a row
+    rows = rows.withColumns({"__t": t, "__low": low, "__words": words})
+    parts = (F.col("__t"), F.col("__low"), F.col("__words"))
+    rows = rows.withColumn("__f", F.struct(*[c.alias(n) for n, c in features(F.col(text), parts).items()])).withColumn("__rule", rule(F.col(text), parts))
+    rows = rows.withColumn("prob", 1 / (1 + F.exp(-logit({n: F.col(f"__f.{n}") for n, *_ in K.GATE}))))
+    kept = F.col("__rule").isin("explicit_memory_directive", "short_self_declarative_fact")
+    rows = rows.withColumn("should_store", F.when(F.col("__rule").isNull(), F.col("prob") >= threshold).otherwise(kept))
+    return rows.withColumn("reason", F.coalesce("__rule", F.lit("learned_head"))).drop("__t", "__low", "__words", "__f", "__rule")

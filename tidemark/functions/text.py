@@ -124,8 +124,8 @@ def split_lines_by_words(lines: list[str], most: int = K.MAX_WORDS) -> list[list
 
 
 def dense(text: str) -> bool:
-    seen = sum(not c.isspace() for c in text)
-    return bool(seen) and len(_DENSE_PY.findall(text)) / seen >= K.DENSE_SHARE
+    found = 0 if text.isascii() else len(_DENSE_PY.findall(text))
+    return found > 0 and found / sum(map(len, text.split())) >= K.DENSE_SHARE
 
 
 def _pieces(text: str, most: int) -> list[str]:
