@@ -57,3 +57,16 @@ def test_writes(spark, tmp_path):
     (tmp_path / "code").mkdir()
     (tmp_path / "code" / "x.py").write_text("print(1)\n")
     assert a.ingest_directory(f"file://{tmp_path}/code") == 1 and a.ingest_directory(f"file://{tmp_path}/code") == 1
+
+
+def test_commands(spark, tmp_path):
+    from tidemark.__main__ import run
+
+    path = f"file://{tmp_path}/cli"
+    assert run(spark, [path, "add", "my pet is a dog", "--user", "u", "--time", "2024-01-01"]).startswith("doc_")
+    run(spark, [path, "add", "my pet is a cat", "--user", "u", "--time", "1704240000"])
+    assert run(spark, [path, "search", "what is my pet?", "--top-k", "1"]).first().text.endswith("cat")
+    assert run(spark, [path, "search", "what is my pet?", "--top-k", "1", "--as-of", "2024-01-02"]).first().text.endswith("dog")
+    assert run(spark, [path, "changes", "2024-01-01"]).count() == 1 and run(spark, [path, "history", "what is my pet?"]).count() == 2 and run(spark, [path, "stats"]).first().n_rows == 2
+    with pytest.raises(SystemExit):
+        run(spark, [path, "changes", "not a time"])

@@ -168,3 +168,9 @@ def winning_row(group: DataFrame, historical: bool, mode: str) -> int:
 
 def similarity(facts: DataFrame, leader: list[float], column: str = "embedding") -> DataFrame:
     return facts.withColumn("to_leader", dot(F.col(column), F.array(*[F.lit(float(x)) for x in leader])))
+
+
+def temporal_prior(rows: DataFrame, weight: float, historical: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Adds ``prior``: up to ``weight`` for the latest of the candidates by (revision, ts), or for the earliest. Off by default in :func:`rank`."""
+    place = F.percent_rank().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("revision", "ts"))
+    return rows.withColumn("prior", weight * ((1 - place) if historical else place))

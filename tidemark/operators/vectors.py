@@ -8,6 +8,7 @@ rows are shuffled. Ties go to the lower ``row_id`` everywhere.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -217,3 +218,28 @@ def nn_coverage(celled: DataFrame, centres: np.ndarray, share: float, sample: in
     beams = celled.sparkSession.createDataFrame([(q, beam(centres, v, share)) for q, v in picked], "qid long, beam array<int>")
     held = near.join(celled.select(key, "cell"), key).join(F.broadcast(beams), "qid")
     return held.agg(F.avg(F.array_contains("beam", F.col("cell")).cast("double")).alias("coverage"), F.count("*").alias("pairs"))
+
+
+def half_precision(column: Column) -> Column:
+    """The vector as it reads back from half-precision storage."""
+
+    @F.pandas_udf("array<float>")
+    def through(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: np.asarray(v, np.float16).astype(np.float32).tolist(), na_action="ignore")
+
+    return through(column)
+
+
+def page_scores(scored_rows: DataFrame, page_rows: int = 50, pool: str = "max", power: float = 8.0, key: str = "row_id") -> DataFrame:
+    """``(page, page_score)`` of pages of ``page_rows`` neighbouring rows: their best cosine, or the power mean of those above zero."""
+    page = F.floor(F.col(key) / page_rows).alias("page")
+    best = F.max("cosine") if pool == "max" else F.pow(F.avg(F.pow(F.greatest(F.col("cosine"), F.lit(0.0)), F.lit(power))), F.lit(1 / power))
+    return scored_rows.groupBy(page).agg(best.alias("page_score"))
+
+
+def paged_top_k(facts: DataFrame, query, k: int, pages: int, page_rows: int = 50, pool: str = "max", key: str = "row_id", column: str = "embedding") -> DataFrame:
+    """Top-k over the rows of the ``pages`` best pages. With the pool ``max`` and at least k pages it is exact but for ties."""
+    rows = scored(facts, query, column)
+    best = page_scores(rows, page_rows, pool, key=key).orderBy(F.col("page_score").desc(), "page").limit(pages)
+    inside = rows.withColumn("page", F.floor(F.col(key) / page_rows)).join(F.broadcast(best.select("page")), "page", "left_semi")
+    return top_k(inside, "cosine", k, key).select(key, "cosine")

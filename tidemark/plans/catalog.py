@@ -115,6 +115,17 @@ def vec_cells_full_beam(spark, sf_dir):
     return _shown(V.routed_top_k(celled, centres, _q0(spark, sf_dir), K_BEST, share=1.0))
 
 
+@query(_TOPK)
+def vec_pages_topk(spark, sf_dir):
+    return _shown(V.paged_top_k(tables.vectors(spark, sf_dir), _q0(spark, sf_dir), K_BEST, pages=K_BEST))
+
+
+@query()
+def vec_half_precision_topk(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir).withColumn("embedding", V.half_precision(F.col("embedding")))
+    return _shown(V.top_k(V.scored(rows, _q0(spark, sf_dir)), "cosine", K_BEST))
+
+
 @query()
 def vec_cells_routed(spark, sf_dir):
     celled, centres = V.cells(tables.vectors(spark, sf_dir))
@@ -219,6 +230,11 @@ def scan_user(spark, sf_dir):
     return events(spark, sf_dir).where("user_id = '7'").select("event_id", "ts", "revision", "entity")
 
 
+@query(_with("SELECT event_id, round(0.1 * percent_rank() OVER (PARTITION BY user_id ORDER BY revision, ts), 6) AS prior FROM facts"))
+def temporal_prior(spark, sf_dir):
+    return ranking.temporal_prior(events(spark, sf_dir), 0.1, by=["user_id"]).select("event_id", F.round("prior", 6).alias("prior"))
+
+
 # -- log analytics ----------------------------------------------------------------------------------
 _CHANGES = f"SELECT event_id, text, ts, revision, entity FROM facts WHERE ts > {SINCE} AND ts <= {UNTIL} ORDER BY ts, event_id"
 
@@ -600,10 +616,31 @@ def pronoun_led(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.pronoun_led(F.col("text")).alias("pronoun_led"))
 
 
-@query()
+def _flag_sql(name: str, test: str) -> str:
+    return f"CAST(CASE WHEN {test} THEN 1 ELSE 0 END AS DOUBLE) AS {name}"
+
+
+def _gate_sql() -> str:
+    listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words.split() if "'" not in w) + ")"
+    count = lambda words: f"len(list_filter(w, lambda x: x IN {listed(words)}))"
+    said = lambda phrase: f"len(regexp_extract_all(low, '{_sql_text(phrase)}'))"
+    found = lambda name, pattern, fold="": _flag_sql(name, f"regexp_matches(t, '{fold}{_sql_text(pattern)}')")
+    columns = [
+        "round(ln(1 + length(t)) / 5, 6) AS log_chars", "round(ln(1 + n_tokens) / 5, 6) AS log_tokens", "round(length(regexp_replace(t, '\\s', '', 'g')) / greatest(n_tokens, 1) / 10, 6) AS avg_token_len",
+        _flag_sql("has_question_mark", "contains(t, '?')"), _flag_sql("ends_question", "suffix(t, '?')"), _flag_sql("opens_interrogative", f"w[1] IN {listed(K.OPEN_QUESTION)}"), _flag_sql("request_cue", f"w[1] IN {listed(K.OPEN_REQUEST)} OR contains(low, 'please')"),
+        f"round(({count(K.SECOND_WORDS)} + {said("you're")} + {said('youre')}) / n, 6) AS second_person_ratio", f"round(({count(K.FIRST_WORDS)} + {said("i'm")} + {said("i've")} + {said("i'll")}) / n, 6) AS first_person_ratio",
+        f"round({count('my our mine ours')} / n, 6) AS possessive_my_ratio", found("self_predicate", K.SELF_PREDICATE, "(?i)"), "round(len(regexp_extract_all(t, '\\d')) / greatest(length(t), 1), 6) AS digit_ratio",
+        found("has_long_number", K.LONG_NUMBER), found("has_email", K.GATE_EMAIL), _flag_sql("has_url_or_ip", f"regexp_matches(t, '{K.GATE_URL}') OR regexp_matches(t, '{K.IP}')"), _flag_sql("has_year_or_date", f"regexp_matches(t, '{K.YEAR}') OR regexp_matches(t, '{K.NUMERIC_DATE}')"),
+        found("has_clock_time", K.CLOCK, "(?i)"), _flag_sql("has_month_or_weekday", f"{count(K.CALENDAR)} > 0"), found("has_currency", K.CURRENCY, "(?i)"), found("has_measure_unit", K.UNIT, "(?i)"), _flag_sql("ack_opener", f"w[1] IN {listed(K.OPEN_ACK)}"), _flag_sql("exclamation", "contains(t, '!')"),
+    ]
+    return f"""WITH s AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations), l AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '\\S+')) AS n_tokens FROM s),
+        v AS (SELECT *, regexp_extract_all(low, '\\p{{L}}+') AS w, greatest(len(regexp_extract_all(low, '\\p{{L}}+')), 1) AS n FROM l) SELECT conv_id, turn, {', '.join(columns)} FROM v"""
+
+
+@query(_gate_sql())
 def gate_features(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in gate.features(F.col("text")).items()])
+    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in gate.features(F.col("text")).items() if n != "proper_noun_ratio"])
 
 
 @query()
