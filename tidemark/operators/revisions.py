@@ -33,11 +33,15 @@ def supersession(facts: DataFrame, order: str = "revision", key: str = _KEY) ->
     have null in both.
     """
     pair = ("revision", "ts") if order == "revision" else ("ts", "revision")
-    steps = facts.where(F.col(key).isNotNull()).select(key, *pair).distinct()
-    steps = steps.withColumn("__next", F.lead("ts").over(Window.partitionBy(key).orderBy(*pair))).withColumnRenamed(key, "__key")
-    same = (F.col("__key") == F.col(key)) & (facts["revision"] == steps["revision"]) & (facts["ts"] == steps["ts"])
-    joined = facts.join(steps, same, "left").drop(steps["revision"]).drop(steps["ts"])
-    return joined.withColumn("superseded", F.when(F.col(key).isNotNull(), F.col("__next").isNotNull())).withColumnRenamed("__next", "superseded_at").drop("__key")
+    here = F.struct(*pair)
+    down = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in pair])
+    # newest first: the row before is the successor, unless it has the same pair and so the same successor
+    rows = facts.withColumn("__up", F.lag(here).over(down))
+    step = F.when(F.col("__up").isNull() | (F.col("__up") != here), F.struct(F.col("__up.ts").alias("at")))
+    after = F.last(step, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = F.col(key).isNotNull()
+    rows = rows.withColumn("superseded_at", F.when(chained, after["at"])).withColumn("superseded", F.when(chained, F.col("superseded_at").isNotNull()))
+    return rows.drop("__up")
 
 
 def supersession_by_window(facts: DataFrame, order: str = "revision", key: str = _KEY) -> DataFrame:

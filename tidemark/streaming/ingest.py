@@ -24,9 +24,9 @@ _IN = ["row_id", "doc_id", "text", "source", "metadata", "ts", "user_id", "proje
 TAGGED = "row_id long, doc_id string, text string, source string, metadata string, ts double, user_id string, project string, entity string, declared boolean"
 
 
-def tag(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None]:
+def tag(rows: pd.DataFrame, last: str | None, personal: frozenset[str] = frozenset(K.PERSONAL_SOURCES.split())) -> tuple[pd.DataFrame, str | None]:
     """Tags one user's rows in order. A row that names its attribute keeps it and is declared; others of a personal source are tagged."""
-    personal, entities, declared = set(K.PERSONAL_SOURCES.split()), [], []
+    entities, declared = [], []
     for r in rows.itertuples(index=False):
         given = A.normalize_entity(r.entity) if isinstance(r.entity, str) else ""
         name = given or None
@@ -40,12 +40,13 @@ def tag(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None]
     return rows.assign(entity=pd.Series(entities, index=rows.index, dtype=object), declared=declared), last
 
 
-def ingest_batch(rows: DataFrame) -> DataFrame:
+def ingest_batch(rows: DataFrame, personal_sources: str = K.PERSONAL_SOURCES) -> DataFrame:
     """Tags and numbers a whole table: one session a user, revisions by arrival within a group."""
     ship_package(rows.sparkSession)
+    personal = frozenset(personal_sources.split())
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        done, _ = tag(part.sort_values("row_id", kind="stable"), None)
+        done, _ = tag(part.sort_values("row_id", kind="stable"), None, personal)
         return done[[c.split()[0] for c in TAGGED.split(", ")]]
 
     tagged = with_group_key(rows.select(*_IN).groupBy("user_id").applyInPandas(fold, TAGGED))
@@ -53,14 +54,15 @@ def ingest_batch(rows: DataFrame) -> DataFrame:
     return tagged.withColumn("revision", F.when(F.col("group_key").isNull(), F.lit(1)).otherwise(counted).cast("int"))
 
 
-def ingest_stream(rows: DataFrame) -> DataFrame:
+def ingest_stream(rows: DataFrame, personal_sources: str = K.PERSONAL_SOURCES) -> DataFrame:
     """The same over a stream of rows with the columns of a fact before tagging."""
     ship_package(rows.sparkSession)
+    personal = frozenset(personal_sources.split())
     names = [c.split()[0] for c in TAGGED.split(", ")]
 
     def by_user(key, parts, state):
         last, tops = json.loads(state.get[0]) if state.exists else (None, {})
-        done, last = tag(pd.concat(list(parts)).sort_values("row_id", kind="stable"), last)
+        done, last = tag(pd.concat(list(parts)).sort_values("row_id", kind="stable"), last, personal)
         revisions = []
         for project, entity in zip(done["project"], done["entity"], strict=True):
             if not isinstance(entity, str):
