@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_fold, materialize, text_bytes
 
-BLOCK_TOKENS = 1 << 21
-BUCKET_ENTRIES = 1 << 21
+BLOCK_TOKENS = 1 << 20
+BUCKET_ENTRIES = 1 << 20
 ALPHA = 0.1
 TRUST, HALF = 0.4, 2.0
 END = b""  # the end of a text, as a word that no text holds
@@ -217,7 +217,7 @@ _EMPTY = pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("hel
 
 def _bits(entries: int) -> int:
     """Leading hash bits that cut so many entries into buckets of about ``BUCKET_ENTRIES``."""
-    return max(4, (max(entries, 1) // BUCKET_ENTRIES).bit_length() + 1)
+    return max(4, (max(entries, 1) // BUCKET_ENTRIES).bit_length())
 
 
 def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
