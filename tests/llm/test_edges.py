@@ -1,9 +1,11 @@
 """Every operator on null columns, empty and very long texts, repeated rows, empty tables and clashing column names."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
+from tidemark.llm import common, decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ("fp", "rep", "root", "size", "rate", "rank", "bin", "h", "ord", "row_key", "gone", "near", "rest", "c0", "label", "score", "held_out", "taken", "tag", "extra", "block", "pieces", "whole", "candidate", "__key", "__learn", "content_share", "kept", "n_lines")
@@ -75,3 +77,9 @@ def test_url_edges(spark):
     assert (got[5].host, got[5].path, got[5].rule) == ("a.com", "", None)
     assert (got[6].host, got[6].path) == ("y:", "//z/q") and got[None].verdict == "block" and got[7].host == ""
     assert url_filter.judge(pages.where(F.lit(False)), rules, model).collect() == []
+
+
+def test_scratch_is_cleared(spark, docs):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    common.materialize(docs.limit(1), "kept")
+    assert any(n.startswith("tidemark-") for n in os.listdir(folder)) and common.clear_scratch(spark) > 0 and common.clear_scratch(spark) == 0

@@ -28,12 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders that :func:`materialize` has made, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
+
+    The folder stays until :func:`clear_scratch`, as results may still read it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    df.write.parquet(f"{folder}/{tag}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what the operators of this application have written to the shared folder; call it once results are stored."""
+    folders = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(folders)
 
 
 def text_bytes(docs: DataFrame, *keys: str) -> DataFrame:
