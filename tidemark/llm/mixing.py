@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tag"))
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = materialize(targets(totals, weights, max_repeat, share).coalesce(1), "targets")
+    goal = materialize(targets(totals, weights, max_repeat, share), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("rate", F.least(rate, F.lit(float(max_repeat)))).withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
     u = (F.shiftrightunsigned("tag", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
         bins = open_.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("room").alias("room"))
         run_up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         edge = bins.withColumn("below", F.coalesce(F.sum("bin_size").over(run_up), F.lit(0))).where("below < room and below + bin_size >= room").select("source", "bin", "below")
-        edges = materialize(edge.coalesce(1), f"edges{turn}")
+        edges = materialize(edge, f"edges{turn}")
         at_edge = F.col("o.source").eqNullSafe(F.col("e.source"))
         placed = open_.alias("o").join(edges.alias("e"), at_edge, "left").select("o.*", F.col("e.bin").alias("edge_bin"), F.col("e.below"))
         inside = placed.where("edge_bin is null or bin < edge_bin").select("source", "doc_id", "tag", "size")
