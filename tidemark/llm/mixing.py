@@ -8,8 +8,9 @@ to the source's remaining words; a document too long for what is left is passed
 end one that crosses the edge is taken if that comes nearer.
 
 No source is ever gathered in one task. Ranks are summed into ``BINS`` bins of a source with
-map-side sums, the bin that holds the edge is found from those sums, and only its documents are
-ordered. Repeated rounds fill what an overlong document at the edge left open.
+map-side sums, the bin that holds the edge is found from those sums and cut into ``BINS`` bins again,
+and only the documents of the one that holds the edge are ordered. Repeated rounds fill what an overlong document at the edge left open. A round ends in one cut
+a source, so documents are never joined with documents.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD_RE, materialize
 
-BINS = 4096
+#: Bins of a level; two levels cut a source's ranks into BINS ** 2.
+BINS = 256
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], max_repeat: float, share: float = 1.0) -> DataFrame:
@@ -50,7 +52,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...], max_repeat: float, sh
     return one.select("source", "source_size", F.when(F.col("level_all").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("level_all") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: int = 3, seed: int = 17, rounds: int = 4, share: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeat: int = 3, seed: int = 17, rounds: int = 3, share: float = 1.0) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken, copies``.
 
     ``size`` counts words of the whole text (null: 0); ``taken`` is ``copies * size``, copies at most
@@ -62,46 +64,56 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = materialize(targets(totals, weights, max_repeat, share), "targets")
+    small = _small(goal)  # no table with a row a source is larger than this one
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("rate", F.least(rate, F.lit(float(max_repeat)))).withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
     u = (F.shiftrightunsigned("tag", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    at_source = F.col("s.source").eqNullSafe(F.col("g.source"))
-    ranked = sized.alias("s").join(goal.alias("g"), at_source).select("s.doc_id", "s.source", "s.size", "s.tag", "g.source_size", "g.target", "g.sure", "g.p")
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     # rank in [0, 1): odds / (1 + odds) keeps the order of the odds; documents without a chance come last
-    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
-    state = materialize(ranked.withColumn("extra", F.lit(0).cast("long")), "ranked")
-    key = F.col("source")
+    rank = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
+    ranked = _by_source(sized, goal, small).withColumn("rank", rank).select("doc_id", "source", "size", "tag", "source_size", "target", "sure", "rank")
+    state = materialize(ranked, "ranked").withColumn("extra", F.lit(0).cast("long"))
+    code = F.least(F.floor(F.col("rank") * BINS * BINS), F.lit(BINS * BINS - 1)).cast("int")
+    place = F.struct("rank", "doc_id", "tag", "size")
     for turn in range(rounds):
-        room = state.groupBy("source").agg((F.first("target") - F.first("sure") * F.first("source_size") - F.sum(F.col("extra") * F.col("size"))).alias("room"), (F.first("sure") < max_repeat).alias("may"))
-        room = room.where("may and room > 0").select("source", "room")
-        at_room = F.col("s.source").eqNullSafe(F.col("r.source"))
-        # an overlong document would stop the round at once, so only those that fit take part after the first
         last = turn == rounds - 1
-        fits = (F.col("s.extra") == 0) & (F.col("s.size") > 0) & (F.lit(turn == 0) | (F.col("s.size") < (2 if last else 1) * F.col("r.room")))
-        open_ = state.alias("s").join(F.broadcast(room).alias("r") if _small(room) else room.alias("r"), at_room).where(fits).select("s.*", "r.room")
-        open_ = open_.withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
-        bins = open_.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("room").alias("room"))
-        run_up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        edge = bins.withColumn("below", F.coalesce(F.sum("bin_size").over(run_up), F.lit(0))).where("below < room and below + bin_size >= room").select("source", "bin", "below")
-        edges = materialize(edge, f"edges{turn}")
-        at_edge = F.col("o.source").eqNullSafe(F.col("e.source"))
-        placed = open_.alias("o").join(edges.alias("e"), at_edge, "left").select("o.*", F.col("e.bin").alias("edge_bin"), F.col("e.below"))
-        inside = placed.where("edge_bin is null or bin < edge_bin").select("source", "doc_id", "tag", "size")
-        order = Window.partitionBy("source").orderBy("rank", "doc_id", "tag", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        at = placed.where("bin = edge_bin").withColumn("to", F.col("below") + F.sum("size").over(order))
+        left = F.first("target") - F.first("sure") * F.first("source_size") - F.sum(F.col("extra") * F.col("size"))
+        room = state.groupBy("source").agg(left.alias("room"), (F.first("sure") < max_repeat).alias("may")).where("may and room > 0").select("source", "room")
+        room = materialize(room, f"room{turn}")
+        # an overlong document would stop the round at once, so only those that fit take part after the first
+        fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.lit(turn == 0) | (F.col("size") < (2 if last else 1) * F.col("room")))
+        open_ = _by_source(state, room, small).where(fits).withColumn("code", code)
+        coarse = materialize(_edge(open_.withColumn("bin", F.floor(F.col("code") / BINS)).withColumn("base", F.lit(0).cast("long"))), f"coarse{turn}")
+        fine = _by_source(open_, coarse.withColumnRenamed("edge", "outer"), small).where(F.floor(F.col("code") / BINS) == F.col("outer"))
+        edge = materialize(_edge(fine.withColumn("bin", F.col("code")).withColumn("base", F.col("below"))), f"edge{turn}")
+        order = Window.partitionBy("source").orderBy(place).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = _by_source(open_, edge, small).where("code = edge").withColumn("to", F.col("below") + F.sum("size").over(order))
         # in the last round the document that crosses the edge is taken where that leaves the smaller error
         nearer = (F.col("to") - F.col("size") < F.col("room")) & (2 * F.col("to") - F.col("size") < 2 * F.col("room"))
-        taken = at.where((F.col("to") <= F.col("room")) | (F.lit(last) & nearer))
-        chosen = inside.unionByName(taken.select("source", "doc_id", "tag", "size")).select("doc_id", "tag", F.lit(1).alias("hit")).distinct()
-        chosen = materialize(chosen, f"chosen{turn}")
-        same = F.col("s.tag").eqNullSafe(F.col("c.tag")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
-        state = state.alias("s").join(chosen.alias("c"), same, "left").select(*[F.col(f"s.{c}") for c in state.columns if c != "extra"], F.greatest("s.extra", F.coalesce("c.hit", F.lit(0)).cast("long")).alias("extra"))
-        state = materialize(state, f"state{turn}")
+        taken = inside.where((F.col("to") <= F.col("room")) | (F.lit(last) & nearer))
+        # what is taken is a stretch from the front, so one cut a source tells it: no join of documents
+        cut = materialize(taken.groupBy("source").agg(F.max(place).alias("upto")), f"cut{turn}")
+        cuts = _by_source(_by_source(room, edge, small, "left"), cut, small, "left")
+        hit = F.col("room").isNotNull() & fits & (F.col("edge").isNull() | (code < F.col("edge")) | ((code == F.col("edge")) & F.coalesce(place <= F.col("upto"), F.lit(False))))
+        state = _by_source(state, cuts.drop("below"), small, "left").withColumn("extra", F.greatest("extra", F.coalesce(hit, F.lit(False)).cast("long"))).drop("room", "edge", "upto")
     copies = F.col("sure") + F.col("extra")
     return state.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
+def _edge(rows: DataFrame) -> DataFrame:
+    """``(source, edge, below)``: the bin in which the running size, from ``base`` on, reaches the room, and what lies below it."""
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("room").alias("room"), F.first("base").alias("base"))
+    run_up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("below", F.col("base") + F.coalesce(F.sum("in_bin").over(run_up), F.lit(0)))
+    return bins.where("below < room and below + in_bin >= room").select("source", F.col("bin").cast("int").alias("edge"), "below")
+
+
+def _by_source(rows: DataFrame, table: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Joins a table with one row a source, null matching null; it is broadcast if it is within the bound."""
+    side = table.withColumnRenamed("source", "__source")
+    return rows.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
+
+
 def _small(df: DataFrame, rows: int = 10_000) -> bool:
     """Whether a per-source table is within the bound up to which it is broadcast."""
     return df.limit(rows + 1).count() <= rows
