@@ -30,7 +30,7 @@ def events(spark: SparkSession, sf_dir: str, backfilled: bool = False, untagged:
     entity = F.col("event_type") if untagged is None else F.when(F.col("event_type") != untagged, F.col("event_type"))
     facts = with_group_key(rows.select(
         (arrival() if backfilled else F.col("event_id")).alias("row_id"), doc_id(text).alias("doc_id"), text.alias("text"), F.lit("api").alias("source"), F.col("props").alias("metadata"),
-        epoch_seconds(F.col("ts")).alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("project"), entity.alias("entity"), (F.col("event_type") == "purchase").alias("declared"), "event_id", "value",
+        epoch_seconds(rows, "ts").alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.lit(None).cast("string").alias("project"), entity.alias("entity"), (F.col("event_type") == "purchase").alias("declared"), "event_id", "value",
     ))
     counted = F.row_number().over(Window.partitionBy("group_key").orderBy("row_id"))
     return facts.withColumn("revision", F.when(F.col("group_key").isNull(), F.lit(1)).otherwise(counted).cast("int"))

@@ -36,6 +36,8 @@ def with_group_key(facts: DataFrame) -> DataFrame:
     return facts.withColumn("group_key", group_key(F.col("user_id"), F.col("project"), F.col("entity")))
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970 as a double, to the microsecond, of a timestamp with or without zone."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+def epoch_seconds(rows: DataFrame, name: str) -> Column:
+    """Seconds since 1970 as a double, to the microsecond. A time without zone is taken as UTC, whatever the session's zone."""
+    if dict(rows.dtypes)[name] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name)) / F.lit(1e6)
+    return F.unix_micros(F.col(name)) / F.lit(1e6)
