@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tidemark.functions import attributes as A
 from tidemark.functions import fixed as K
 from tidemark.functions.text import revision_marker
 from tidemark.operators.vectors import dot
+from tidemark.runtime import ship_package
 
 MAX_BOOST = K.INTENT_BOOST + K.GROUP_HOIST + K.REVISION_LEAD
 
@@ -40,16 +42,35 @@ def entity_names(facts: DataFrame) -> list[str]:
     return sorted(r[0] for r in facts.where(F.col("entity").isNotNull() & (F.col("entity") != "")).select("entity").distinct().collect())
 
 
-def owner_names(facts: DataFrame) -> frozenset[str]:
-    """Tokens of the names that the store's ``name`` rows state."""
-    texts = facts.where(F.col("entity") == "name").select("text").distinct().limit(1000).collect()
-    return frozenset().union(*[A.self_name_tokens(r.text) for r in texts])
+def question_words(question: str) -> frozenset[str]:
+    """The words of a question that may be a name."""
+    return frozenset(A.re.findall("[a-zÀ-ɏ]{3,}", A.fold(question).lower()))
+
+
+def owner_names(facts: DataFrame, question: str) -> frozenset[str]:
+    """The words of the question that are tokens of a name which the store's ``name`` rows state.
+
+    All ``name`` rows are read where they lie; what reaches the driver is bounded by the question.
+    """
+    words = question_words(question)
+    if not words:
+        return frozenset()
+    ship_package(facts.sparkSession)
+
+    def run(batches):
+        met = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                met |= words & A.self_name_tokens(text)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], ["word"])
+
+    texts = facts.where((F.col("entity") == "name") & F.col("text").isNotNull()).select("text")
+    return frozenset(r.word for r in texts.mapInArrow(run, "word string").distinct().collect())
 
 
 def intents_of(question: str, names: list[str], owners: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
     """The attribute that a question is about and the stored names that match it: the first guess the store knows, else the first."""
-    words = set(A.re.findall("[a-zÀ-ɏ]{3,}", A.fold(question).lower()))
-    guesses = A.query_intents(question, bool(words & owners))
+    guesses = A.query_intents(question, bool(question_words(question) & owners))
     for guess in guesses:
         if known := A.matching_names(guess, names):
             return guess, known

@@ -35,7 +35,7 @@ def search(facts: DataFrame, question: str, query, k: int = 3, min_score: float
         return facts.where(F.lit(False)).select(*[F.lit(None).cast("double").alias(c) if c in ("score", "cosine", "superseded_at") else F.lit(None).cast("boolean").alias(c) if c == "superseded" else F.col(c) for c in HIT])
     names = ranking.entity_names(facts)
     rows = candidates(facts, unit, min_score, as_of, where, score_mode)
-    ranked = ranking.rank(rows, question, names, direction, ranking.owner_names(facts) if "name" in names else frozenset(), settings)
+    ranked = ranking.rank(rows, question, names, direction, ranking.owner_names(facts, question) if "name" in names else frozenset(), settings)
     best = top_k(ranked.withColumnRenamed("final", "score"), "score", k)
     # k rows: their chains are found by a broadcast of k keys
     chains = facts.join(F.broadcast(best.where(F.col("group_key").isNotNull()).select("group_key").distinct()), "group_key", "left_semi")
