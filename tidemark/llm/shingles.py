@@ -5,9 +5,10 @@ collapse first. Each distinct set then emits ``BANDS`` keys, each of ``ROWS`` mi
 sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, which at 0.8 leaves out
 1.3e-7 of the pairs and above it fewer. Every pair that meets is verified on the whole sets.
 
-Within a key all are compared with the least first. Only keys whose members are not connected by that
-are compared pair by pair, and there only pairs that are not connected yet: no pair of similar sets that
-share a key is left out, but a large group of near copies does not give all its pairs.
+Within a key all are first compared with ``PIVOTS`` members chosen by hash, other ones in every key. In
+keys whose members that leaves unconnected, the members outside the commonest component are compared
+with all others, in blocks: no pair of similar sets that share a key is left out, no pair is emitted
+before it is verified, and a large group of near copies is mostly connected by its pivots.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from tidemark.llm.common import components, materialize, text_bytes
 
 SEED = 42
 BANDS, ROWS = 40, 5
+#: Members that all others of a key are compared with first, and the sizes of blocks of the comparison that follows.
+PIVOTS = 3
+LATE_BLOCK, ALL_BLOCK = 128, 2048
 _CHUNK = 1 << 12
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,13 +88,14 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """``(sig, found)`` of rows ``(sig, text)``: the shingles as bytes."""
+    """``(sig, found, bands)`` of rows ``(sig, text)``: the shingles and the keys as bytes."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["sig", "found"])
+            found = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([band_keys(f).tobytes() for f in found], pa.binary())], ["sig", "found", "bands"])
 
-    return rows.mapInArrow(run, "sig long, found binary")
+    return rows.mapInArrow(run, "sig long, found binary, bands binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -106,6 +111,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """``(key, sig, pivots)`` of the keys that several sets share, with ``PIVOTS`` members of the key chosen by hash."""
+    place = lambda turn: F.struct(F.xxhash64(F.lit(turn), "key", "sig").alias("at"), F.col("sig"))
+    pivots = [F.min(place(turn)).alias(f"p{turn}") for turn in range(PIVOTS)]
+    # few keys are shared; only bare hashes are shuffled to find them
+    shared = keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("top"), *pivots).where("low <> top")
+    chosen = F.array_distinct(F.array(*[F.col(f"p{turn}.sig") for turn in range(PIVOTS)]))
+    return keys.join(shared.select("key", chosen.alias("pivots")), "key").select("key", "sig", "pivots")
+
+
+def _stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(key, sig, root, late, n_late, n_all)`` of keys whose members are not all connected.
+
+    ``late`` marks the members outside the key's commonest root. Every pair that is not connected has
+    one of them on a side.
+    """
+    rooted = met.select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    of_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n_all"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    of_key = of_key.select("key", F.col("main.root").alias("main"), (F.col("n_all") - F.col("main.n")).alias("n_late"), "n_all")
+    return rooted.join(of_key, "key").select("key", "sig", "root", (F.col("root") != F.col("main")).alias("late"), "n_late", "n_all")
+
+
+def _compared(open_: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The similar pairs ``(a, b)`` of unconnected members of a key, by blocks of late members against blocks of all.
+
+    No pair is emitted before it is verified: a block holds at most about ``LATE_BLOCK`` late members and
+    ``ALL_BLOCK`` others, whatever the key's size. A pair that shares several keys is compared in the
+    first of them only.
+    """
+    late_blocks = F.ceil(F.col("n_late") / LATE_BLOCK).cast("int")
+    all_blocks = F.ceil(F.col("n_all") / ALL_BLOCK).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "sig"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    as_late = open_.where("late").withColumn("late_block", own(late_blocks, 1)).withColumn("all_block", every(all_blocks)).withColumn("asks", F.lit(True))
+    as_one = open_.withColumn("all_block", own(all_blocks, 2)).withColumn("late_block", every(late_blocks)).withColumn("asks", F.lit(False))
+    rows = as_late.unionByName(as_one).select("key", "late_block", "all_block", "sig", "root", "late", "asks").join(sets, "sig")
+
+    def run(block: pa.Table) -> pa.Table:
+        key = block.column("key")[0].as_py()
+        asks = np.array(block.column("asks").to_pylist(), bool)
+        sig, root = (block.column(c).to_numpy() for c in ("sig", "root"))
+        late = np.array(block.column("late").to_pylist(), bool)
+        found = [np.frombuffer(x, np.uint64) for x in block.column("found").to_pylist()]
+        bands = np.stack([np.frombuffer(x, np.int64) for x in block.column("bands").to_pylist()])
+        left = np.flatnonzero(asks)
+        sizes = np.array([len(found[k]) for k in left], np.int64)
+        members = np.concatenate([found[k] for k in left]) if len(left) else np.empty(0, np.uint64)
+        owners = np.repeat(np.arange(len(left)), sizes)
+        order = np.argsort(members, kind="stable")
+        members, owners = members[order], owners[order]
+        out: list[tuple[int, int]] = []
+        for k in np.flatnonzero(~asks).tolist():
+            low, high = np.searchsorted(members, found[k], "left"), np.searchsorted(members, found[k], "right")
+            hit = np.flatnonzero(high > low)
+            spans = [owners[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]
+            both = np.bincount(np.concatenate(spans), minlength=len(left)) if spans else np.zeros(len(left), np.int64)
+            fits = (least.denominator * both >= least.numerator * (sizes + len(found[k]) - both)) & (root[left] != root[k])
+            for j in np.flatnonzero(fits).tolist():
+                a = int(left[j])
+                # both late: seen from either side, kept from one; and only in the first key that they share
+                if (not late[k] or sig[a] < sig[k]) and bands[a][np.argmax(bands[a] == bands[k])] == key:
+                    out.append((int(sig[a]), int(sig[k])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "late_block", "all_block").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """One row per input row: ``doc_id, component_id``.
 
@@ -117,23 +190,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     rows = text_bytes(keyed, "row_key", "doc_id")
     sigs = materialize(_signatures(rows, size), "signatures")
     keys = sigs.groupBy("sig").agg(F.first("keys").alias("keys")).select("sig", F.explode("keys").alias("key"))
-    # few keys are shared; only bare hashes are shuffled to find them
-    shared = keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("top")).where("low <> top")
-    met = materialize(keys.join(shared.select("key", "low"), "key").select("key", "low", "sig"), "met")
+    met = materialize(_met(keys), "met")
     owners = sigs.join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key"))
     sets = rows.join(owners, "row_key").dropDuplicates(["sig"]).select("sig", "text")
     sets = materialize(_sets(sets, size), "sets")
-    first = materialize(_verified(met.where("low < sig").select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct(), sets, least), "first")
+    offered = met.select("sig", F.explode("pivots").alias("pivot")).where("pivot <> sig")
+    offered = offered.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    first = materialize(_verified(offered, sets, least), "first")
     roots = materialize(components(first), "roots")
-    rooted = met.select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low <> top").select("key")
-    open_ = materialize(rooted.join(split, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("sig").alias("b"), F.col("root").alias("root_b"))
-    rest = open_.withColumnRenamed("sig", "a").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct()
-    # pairs that failed against the least of a key are not compared again
-    rest = rest.join(met.select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct(), ["a", "b"], "left_anti")
-    second = materialize(_verified(rest, sets, least), "second")
-    joined = components(first.union(second)) if not second.isEmpty() else roots
+    open_ = materialize(_stragglers(met, roots), "open")
+    joined = roots
+    if not open_.isEmpty():
+        second = materialize(_compared(open_, sets, least), "second")
+        if not second.isEmpty():
+            joined = components(first.union(second))
     classes = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     classes = materialize(classes, "classes")
     owner = classes.groupBy("root").agg(F.min("rep").alias("component_id"))

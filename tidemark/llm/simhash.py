@@ -62,7 +62,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Verified links ``(a, b)`` between distinct fingerprints at most two bits apart, enough to connect all such pairs."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    balls = fps.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
+    # 65 rows come of each fingerprint, so the distinct ones are dealt out anew: a small shuffle would be merged into few tasks
+    one = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = one.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
     near = balls.select(F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")).alias("a"), F.col("fp").alias("b")).where("a is not null")
     return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
