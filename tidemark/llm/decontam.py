@@ -4,17 +4,19 @@ Texts and items are words (A-Z lower-cased, punctuation dropped). The CGK embedd
 word sequence: at each of its steps it writes the current word and moves on by a random bit that
 depends on the step and the word, so two sequences a few edits apart write strings that differ in few
 places. A hash of ``SAMPLED`` random places of that string is a bit-sampling LSH key; windows and
-items with an equal key in any table are candidates. A match at the limit of ``max_edit`` leaves
-about half of the places equal, so one table finds it with a chance of about 1/8 and ``WALKS * DRAWS`` = 24
-tables find 96 % of those; closer matches are found more surely and exact ones always.
+items with an equal key in any table are candidates. The longer the sequence, the further two walks
+drift apart, so items are embedded in pieces of at most ``PIECE`` words: if a fifth of an item's words
+is edited, at least one piece has no more than a fifth of its own edited, and most often several do.
+A piece at the limit is found by ``WALKS * DRAWS`` tables with a chance of about 99 %, closer ones more surely,
+exact ones always.
 
 Candidates are verified exactly: the least word edit distance between the whole item and any stretch
-of the text around the window (bit-parallel dynamic programming) must be within ``max_edit`` of the
-item's words.
+of the text around the place that the piece points to (bit-parallel dynamic programming) must be
+within ``max_edit`` of the item's words.
 
 Items are few and broadcast in blocks of at most ``BLOCK_ITEMS``; documents are read once per block and
 never shuffled. Before the walk, a lossless count passes windows over: an edit breaks at most two word
-pairs of an item, so a window that begins a match within d edits of an item of n words holds at least
+pairs of a piece, so a window that begins a match within d edits of a piece of n words holds at least
 n - 1 - 2d pairs of neighbouring words that occur in some item.
 """
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_bytes
 
 MAX_EDIT = 0.2
+#: Shorter items occur by chance: they are found (whole and unchanged), but spoil no document in :func:`drop_contaminated`.
 MIN_WORDS = 5
+PIECE = 16
 WALKS, DRAWS, SAMPLED = 6, 4, 3
 BLOCK_ITEMS = 20_000
 _GROWTH = 1.25
@@ -44,13 +48,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Group:
-    """Items of about one length: windows have ``size`` words, the length of the shortest."""
+    """Pieces of about one length: windows have ``size`` words, the length of the shortest."""
 
     size: int
     edits: int
-    items: list[int]
     places: list[list[np.ndarray]] = field(default_factory=list)  # walk -> draw -> sorted steps
-    keys: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # walk -> draw -> sorted keys, their items
+    keys: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # walk -> draw -> sorted keys, their pieces
 
 
 @dataclass
@@ -63,10 +66,8 @@ class Index:
     factors: np.ndarray
     pad: int
     pairs: np.ndarray  # marks of the neighbouring words of all items, by hash
-
-    @property
-    def longest(self) -> int:
-        return max((len(i) for i in self.items), default=0)
+    item_of: np.ndarray  # the item of each piece
+    offset: np.ndarray  # where in its item a piece begins
 
 
 def _pair_slots(flat: np.ndarray, size: int) -> np.ndarray:
@@ -92,28 +93,28 @@ def _walk(flat: np.ndarray, starts: np.ndarray, size: int, pad: int, factors: np
     return keys
 
 
-def build(items: list[tuple[object, bytes]], max_edit: float = MAX_EDIT, min_words: int = MIN_WORDS, seed: int = 5) -> Index:
+def build(items: list[tuple[object, bytes]], max_edit: float = MAX_EDIT, min_words: int = 1, seed: int = 5) -> Index:
     """Index of ``(item id, text)``; items of fewer than ``min_words`` words match nothing."""
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
     names, coded = [], []
     for name, text in items:
         words = words_of(text)
-        if len(words) >= min_words:
+        if len(words) >= max(min_words, 1):
             names.append(name)
             coded.append(np.array([ids.setdefault(w, len(ids) + 1) for w in words], np.int64))
     edits = [int(max_edit * len(c) + 1e-9) for c in coded]
+    pieces = [(k, int(cut[0]), len(cut)) for k, c in enumerate(coded) for cut in np.array_split(np.arange(len(c)), -(-len(c) // PIECE))]
     pad = len(ids) + 1
-    longest = max((len(c) for c in coded), default=1)
-    factors = rng.integers(1, 1 << 63, (WALKS, 2 * longest), dtype=np.uint64) | np.uint64(1)
-    groups, size = [], min_words
-    while size <= longest:
+    factors = rng.integers(1, 1 << 63, (WALKS, 2 * PIECE), dtype=np.uint64) | np.uint64(1)
+    groups, size = [], 1
+    while size <= PIECE:
         top = max(size + 1, int(size * _GROWTH) + 1)
-        inside = [k for k, c in enumerate(coded) if size <= len(c) < top]
+        inside = [k for k, (_, _, n) in enumerate(pieces) if size <= n < top]
         if inside:
-            group = Group(size, max(edits[k] for k in inside), inside)
-            flat = np.concatenate([coded[k] for k in inside])
-            starts = np.cumsum([0, *[len(coded[k]) for k in inside[:-1]]])
+            group = Group(size, max(int(max_edit * pieces[k][2] + 1e-9) for k in inside))
+            flat = np.concatenate([coded[pieces[k][0]][pieces[k][1] : pieces[k][1] + pieces[k][2]] for k in inside])
+            starts = np.cumsum([0, *[pieces[k][2] for k in inside[:-1]]])
             for walk in range(WALKS):
                 draws = [np.sort(rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False)) for _ in range(DRAWS)]
                 found = _walk(flat, starts, size, pad, factors[walk], draws)
@@ -125,7 +126,7 @@ def build(items: list[tuple[object, bytes]], max_edit: float = MAX_EDIT, min_wor
     pairs = np.zeros(1 << max(16, sum(map(len, coded)).bit_length() + 6), bool)
     for code in coded:
         pairs[_pair_slots(code, len(pairs))] = True
-    return Index(ids, names, coded, edits, groups, factors, pad, pairs)
+    return Index(ids, names, coded, edits, groups, factors, pad, pairs, np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64))
 
 
 def best_edit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -153,7 +154,7 @@ def best_edit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def _candidates(flat: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(starts, items)`` arrays of windows that share an LSH key with an item."""
+    """``(starts, pieces)`` arrays of windows that share an LSH key with a piece."""
     inside = (flat > 0) & (flat < index.pad)
     shared = np.flatnonzero(inside[:-1] & inside[1:])
     shared = shared[index.pairs[_pair_slots(flat, len(index.pairs))[shared]]]
@@ -166,17 +167,18 @@ def _candidates(flat: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.nda
         if last < 0:
             continue
         ends = np.minimum(np.arange(last + 1) + group.size + group.edits, len(flat))
-        starts = np.flatnonzero(known[ends] - known[: last + 1] >= group.size - 1 - 2 * group.edits)
+        likely = known[ends] - known[: last + 1] >= group.size - 1 - 2 * group.edits
+        starts = np.flatnonzero(likely if group.edits else likely & inside[: last + 1])
         for walk in range(WALKS):
             if not len(starts):
                 break
             found = _walk(flat, starts, group.size, index.pad, index.factors[walk], group.places[walk])
-            for keys, (sorted_keys, items) in zip(found, group.keys[walk], strict=True):
+            for keys, (sorted_keys, pieces) in zip(found, group.keys[walk], strict=True):
                 low = np.searchsorted(sorted_keys, keys, "left")
                 high = np.searchsorted(sorted_keys, keys, "right")
                 hits = np.flatnonzero(high > low)
                 while len(hits):
-                    out.append((starts[hits], items[low[hits]]))
+                    out.append((starts[hits], pieces[low[hits]]))
                     low[hits] += 1
                     hits = hits[high[hits] > low[hits]]
     return out
@@ -186,7 +188,7 @@ def matches(texts: list[bytes], index: Index):
     """Yields ``(row, item name, edits, first word after the match)`` for every item found in every text."""
     if not index.items:
         return
-    get, gap = index.ids.get, np.full(index.longest + 1, index.pad, np.int64)
+    get, gap = index.ids.get, np.full(PIECE + 1, index.pad, np.int64)
     parts, rows, sizes, total = [], [], [], 0
     for row, text in enumerate([*texts, None]):
         if text is not None:
@@ -204,9 +206,10 @@ def _verify(flat: np.ndarray, rows: np.ndarray, bounds: np.ndarray, index: Index
     found = _candidates(flat, index)
     if not found:
         return
-    starts, items = (np.concatenate(c) for c in zip(*found, strict=True))
+    starts, pieces = (np.concatenate(c) for c in zip(*found, strict=True))
     owner = np.searchsorted(bounds, starts, "right") - 1
-    pairs = np.unique(np.stack([owner, items, starts]), axis=1)
+    # where the item would begin if nothing were added or taken out before the piece
+    pairs = np.unique(np.stack([owner, index.item_of[pieces], starts - index.offset[pieces]]), axis=1)
     at, n = 0, pairs.shape[1]
     while at < n:
         doc, item, first = pairs[:, at].tolist()
@@ -216,35 +219,37 @@ def _verify(flat: np.ndarray, rows: np.ndarray, bounds: np.ndarray, index: Index
             last = int(pairs[2, to])
             to += 1
         begin = max(int(bounds[doc]), first - 2 * most - 1)
-        stop = min(int(bounds[doc + 1]), last + size + 2 * most + 1)
+        stop = max(begin, min(int(bounds[doc + 1]), last + size + 2 * most + 1))
         score, end = best_edit(index.items[item], flat[begin:stop])
         if score <= most:
             yield int(rows[doc]), index.names[item], score, begin + end - int(bounds[doc])
         at = to
 
 
-def _blocks(benchmark: DataFrame):
+def _blocks(benchmark: DataFrame, min_words: int):
     """Indexes over the whole item table, each of at most about ``BLOCK_ITEMS`` items."""
     items = text_bytes(benchmark, "item_id").where("item_id is not null")
     n = -(-items.count() // BLOCK_ITEMS)
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield build([(r.item_id, bytes(r.text)) for r in sorted(block.distinct().collect(), key=lambda r: (r.item_id, bytes(r.text)))])
+        yield build([(r.item_id, bytes(r.text)) for r in sorted(block.distinct().collect(), key=lambda r: (r.item_id, bytes(r.text)))], min_words=min_words)
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame:
     """One row per benchmark item found in a row: ``doc_id, item_id, edits, end_word``.
 
     ``edits`` is the least word edit distance found, at most a fifth of the item's words; an item that
     occurs several times in a text is listed once, at its best place. Rows without a match give
-    nothing. Null and empty texts and items match nothing, nor do items under five words or without an
-    id; an item id with several texts stands for each. Repeated rows repeat their matches; other
+    nothing. Null and empty texts and items match nothing, nor do items under ``min_words`` words or
+    without an id; items under five words allow no edit. An item id with several texts stands for each.
+    Repeated rows repeat their matches; of places with equally many edits the first counts; other
     columns are ignored; an empty table on either side gives no rows.
     """
     rows = text_bytes(docs, "doc_id")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, edits int, end_word long"
     out = None
-    for index in _blocks(benchmark):
+    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
+    for index in _blocks(benchmark, min_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -253,17 +258,19 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for row, item, edits, end in matches(batch.column(1).to_pylist(), shared.value):
                     best[row, item] = min(best.get((row, item), (edits, end)), (edits, end))
                 at = pa.array([row for row, _ in best], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i in best], pa.int64()), pa.array([e for e, _ in best.values()], pa.int32()), pa.array([e for _, e in best.values()], pa.int64())], ["doc_id", "item_id", "edits", "end_word"])
+                columns = [batch.column(0).take(at), pa.array([i for _, i in best], item_type)]
+                columns += [pa.array([e for e, _ in best.values()], pa.int32()), pa.array([e for _, e in best.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "end_word"])
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` in which :func:`find` finds no item, with all their columns; nothing is shuffled."""
     at = docs.columns.index("text")
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, min_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
