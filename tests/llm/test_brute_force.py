@@ -129,48 +129,71 @@ def test_knn_votes_are_exact_and_generalise(tables):
     assert held and np.mean([r.predicted == r.quality for r in held]) >= 0.9
 
 
-def test_lm_counts_and_automaton(tables, texts):
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
-    uni, bi = Counter(), Counter()
-    for i, w in tokens.items():
+def plain_model(texts, held):
+    """The smoothed trigram by dictionaries: the probability of a word after the words before it."""
+    uni, two, three = Counter(), Counter(), Counter()
+    for i, w in texts.items():
         if not held[i]:
             uni.update(w)
-            bi.update(zip(w, w[1:], strict=False))
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
+
+    def fit(histories, grams):
+        once, low, high = sum(c == 1 for c in grams.values()), 1e-3, 1e5
+        while high / low > 1 + 1e-12:
+            k = math.sqrt(low * high)
+            low, high = (k, high) if sum(c * k / (c - 1 + k) for c in histories) < once else (low, k)
+        return low
+
+    k2, k3 = fit([c for w, c in uni.items() if w is not None], two), fit([c for (_, w), c in two.items() if w is not None], three)
     p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda h, w: (two[h, w] + k2 * p1(w)) / (uni[h] + k2) if uni[h] else p1(w)
+    p3 = lambda g, h, w: (three[g, h, w] + k3 * p2(h, w)) / (two[g, h] + k3) if two[g, h] else p2(h, w)
+    return uni, n, p1, p2, p3
 
-    def p2(h, w):
-        m = 0.4 * uni[h] / (uni[h] + 2) if uni[h] else 0.0
-        return m * bi[h, w] / max(uni[h], 1) + (1 - m) * p1(w)
 
-    for r in lm_score.score(tables["documents"]).collect():
+@pytest.mark.parametrize("block", [1 << 20, 5000])
+def test_lm_counts_and_automaton(tables, texts, monkeypatch, block):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
+    uni, n, p1, p2, p3 = plain_model(tokens, held)
+    scored = lm_score.score(tables["documents"]).collect()
+    assert len(scored) == len(texts)
+    for r in scored:
         w = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(uni[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w), rel=1e-9)
-        assert r.score == pytest.approx(math.log10(p1(w[0])) + sum(math.log10(p2(h, x)) for h, x in zip(w, w[1:], strict=False)), rel=1e-9)
-    h = max(uni, key=uni.get)
-    seen = {w for a, w in bi if a == h}
-    m = 0.4 * uni[h] / (uni[h] + 2)
-    unseen = sum(p1(w) for w in uni if w not in seen) + p1("a word nobody wrote")
-    assert sum(p2(h, w) for w in seen) + (1 - m) * unseen == pytest.approx(1.0)
+        want = [p1(w[0]), *([p2(w[0], w[1])] if len(w) > 1 else []), *map(p3, w, w[1:], w[2:])]
+        assert r.score == pytest.approx(sum(map(math.log10, want)), rel=2e-5)  # large counts are fitted by bins
+    for g, h in [(None, max(uni, key=uni.get)), *[(w[3], w[4]) for w in list(tokens.values())[:5] if len(w) > 6]]:
+        p = (lambda w: p3(g, h, w)) if g else (lambda w: p2(h, w))  # noqa: B023
+        assert sum(map(p, uni)) + p("a word nobody wrote") == pytest.approx(1.0)
 
 
-def test_lm_traversal_equals_the_array_form():
+def test_lm_traversal_is_one_walk_over_states():
     words = [b"a", b"b", b"c", lm_score.END]
-    ids = np.array([0, 1, 0, 1, 2, 3, 2, 0, 1, 3, 3])
-    block = lm_score.Block(words, ids, np.array([6, 4, 1]), np.array([True, True, False]))
-    model = lm_score.Automaton(block.word_counts, block.history, block.follower, block.pair_counts, 10, 4)
-    whole = model.root_arcs[block.ids].copy()
-    whole[block.at] = model.weights[block.pair_of]
-    state, plain, at = model.root, [], 0
-    for size in (6, 4, 1):
-        state = model.root
-        for w in ids[at : at + size]:
-            state, weight = model.step(state, int(w))
-            plain.append(weight)
-        at += size
-    assert plain == pytest.approx(whole.tolist())
+    ids, lens = np.array([0, 1, 0, 1, 2, 3, 2, 0, 1, 3, 3]), np.array([6, 4, 1])
+    block = lm_score.Block(words, ids, lens, np.array([True, False, True]))
+    model = lm_score.Automaton(block, 7, 4, 2, 1.5, 0.5)
+    states = [0]
+    for w in ids[:6]:
+        to, _ = model.step(np.array(states[-1:]), np.array([w]))
+        states.append(int(to[0]))
+    pair = lambda u, v: 1 + 4 + int(np.flatnonzero(block.pairs == u * 4 + v)[0])
+    assert states == [0, 1, pair(0, 1), pair(1, 0), pair(0, 1), pair(1, 2), pair(2, 3)]
+    # "c a" was not seen in training: the word after "c" is read by the failure arc, and "a" is the state that is left
+    to, weight = model.step(np.array([3]), np.array([0]))
+    assert to.tolist() == [1] and weight[0] == pytest.approx(model.failure[3] + model.root_arcs[0])
+    one_by_one = []
+    for at, n in ((0, 6), (6, 4), (10, 1)):
+        state, total = np.zeros(1, np.int64), 0.0
+        for w in ids[at : at + n]:
+            state, weight = model.step(state, np.array([w]))
+            total += weight[0]
+        one_by_one.append(total)
+    assert model.read(ids, lens).tolist() == pytest.approx(one_by_one)
 
 
 def edit(a, b):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.runtime import ship_package
 
@@ -59,6 +61,11 @@ def text_bytes(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, for functions that return it."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def in_fold(doc_id, modulus: int):
     """True where crc32 of the id as text leaves no remainder (null id: as the empty text)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import arrow_type, text_bytes
 
 MAX_EDIT = 0.2
 #: Shorter items occur by chance: they are found (whole and unchanged), but spoil no document in :func:`drop_contaminated`.
@@ -248,7 +248,7 @@ def find(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame
     rows = text_bytes(docs, "doc_id")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, edits int, end_word long"
     out = None
-    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
+    item_type = arrow_type(benchmark, "item_id")
     for index in _blocks(benchmark, min_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
