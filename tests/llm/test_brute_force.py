@@ -113,6 +113,53 @@ def test_viterbi_is_the_best_path():
         assert quality_rules.viterbi(emit, trans).tolist() == best
 
 
+def plain_chain(weights, trans, x, y):
+    """The log-probability of labels by summing over all labellings."""
+    emit = np.stack([np.zeros(len(x)), x @ weights], axis=1)
+    score = lambda p: sum(emit[k, s] for k, s in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))
+    every = [score([(code >> k) & 1 for k in range(len(x))]) for code in range(2 ** len(x))]
+    return score(list(y)) - np.logaddexp.reduce(every)
+
+
+def test_chain_likelihood_and_gradient():
+    rng = np.random.default_rng(5)
+    sizes = (1, 6, 2, 9)
+    parts = [(rng.normal(size=(n, quality_rules.FEATURES)), rng.integers(0, 2, n)) for n in sizes]
+    x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+    first = np.zeros(len(x), bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    params = rng.normal(size=quality_rules.FEATURES + 4)
+    value, slope = quality_rules.likelihood(params, x, y, first, 0.1)
+    want = -sum(plain_chain(params[:-4], params[-4:].reshape(2, 2), *p) for p in parts) / len(x) + 0.05 * params @ params
+    assert value == pytest.approx(want, rel=1e-10)
+    near = [(quality_rules.likelihood(params + 1e-6 * e, x, y, first, 0.1)[0] - quality_rules.likelihood(params - 1e-6 * e, x, y, first, 0.1)[0]) / 2e-6 for e in np.eye(len(params))]
+    assert slope == pytest.approx(near, abs=1e-7)
+
+
+def test_mixed_documents_get_shares_in_between(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("quality is not null").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    held = [r for r in rows if r.doc_id % 3 == 0 and len((r.text or "").split("\n")) > 1]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string, quality int")
+    learn = frame([(r.doc_id, r.text, r.quality) for r in rows if r.doc_id % 3])
+    model = quality_rules.train(learn, learn)
+    good, bad = ([r.text for r in held if r.quality == k] for k in (1, 0))
+    mixed = [(k, "\n".join([good[k], bad[k % len(bad)]][:: 1 if k % 2 else -1]), len(good[k].split()) / (len(good[k].split()) + len(bad[k % len(bad)].split()))) for k in range(min(len(good), 60))]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(mixed, "doc_id long, text string, truth double"), model, keep=("doc_id", "truth")).collect()}
+    assert np.mean([0 < r.content_share < 1 for r in got.values()]) > 0.9
+    assert np.mean([abs(r.content_share - r.truth) for r in got.values()]) < 0.05
+    assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in got.values())
+    # the verdict by the plain chain: the best labelling over every line
+    for k, text, _ in mixed[:5]:
+        feats, sizes = quality_rules.line_features(text.encode().split(b"\n"))
+        if len(sizes) <= 12:
+            scores = {}
+            for code in range(2 ** len(sizes)):
+                path = [(code >> j) & 1 for j in range(len(sizes))]
+                scores[tuple(path)] = plain_chain(*model, feats, path)
+            best = np.array(max(scores, key=scores.get))
+            assert got[k].content_share == pytest.approx(float(sizes[best == 1].sum() / sizes.sum()))
+
+
 def test_knn_votes_are_exact_and_generalise(tables):
     model = quality_knn.train(tables["documents"], tables["labels"])
     rng = np.random.default_rng(1)

@@ -3,8 +3,13 @@
 Every line of a text gets a vector of surface features. A two-state chain (content, boilerplate) with
 linear emission scores and a 2x2 transition table labels the lines jointly; Viterbi decoding finds
 the best labelling, and the document stays if the words on content lines make up at least
-``min_content`` of its words. Weights are fitted by gradient ascent on the conditional
-log-likelihood (forward-backward) over a bounded sample of labelled documents.
+``min_content`` of its words.
+
+The chain learns from lines whose labels are known and change within a sequence: documents of good
+quality (their lines are content) and of low quality (boilerplate) are spliced, in whole and in parts and
+in either order, so that the transitions are those of mixed pages. Weights maximise the conditional
+log-likelihood by BFGS. All sequences are one long chain with a reset at every start, whose forward
+and backward products are taken by doubling: a step costs a few array operations, however long a text is.
 """
 
 from __future__ import annotations
@@ -16,9 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_bytes
 
-#: Labelled documents per class that the fit uses, and lines of one that it uses; scoring reads whole texts.
+#: Labelled documents per class that the fit uses, at most, each with all its lines; scoring reads every text.
 SAMPLE_DOCS = 400
-SAMPLE_LINES = 120
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _TAIL = bytes(range(0x80, 0xC0))  # UTF-8 continuation bytes
@@ -103,58 +107,108 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return path
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """``(weights, trans)`` by conditional maximum likelihood. ``sequences``: feature rows of a document and its label."""
+def share(feats: np.ndarray, sizes: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> float:
+    """The share of words on lines that the chain labels content; 0 without words."""
+    weights, trans = model
+    if not len(sizes):
+        return 0.0
+    emit = np.stack([np.zeros(len(feats)), feats @ weights], axis=1)
+    return float(sizes[viterbi(emit, trans) == 1].sum() / sizes.sum())
+
+
+def spliced(good: list[np.ndarray], bad: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(feature rows, labels)`` of sequences made of good (1) and low-quality (0) documents.
+
+    Every document comes alone and spliced with one of the other class (the shorter list is used in
+    turn): before it, after it, and within it, at its middle line.
+    """
+    part = lambda rows, label: (rows, np.full(len(rows), label, np.int8))
+    out = [[part(rows, label)] for label, docs in ((1, good), (0, bad)) for rows in docs]
+    for k in range(max(len(good), len(bad)) if good and bad else 0):
+        one, other = part(good[k % len(good)], 1), part(bad[k % len(bad)], 0)
+        host, guest = (one, other) if k % 2 else (other, one)
+        half = len(host[0]) // 2
+        middle = [tuple(x[:half] for x in host), guest, tuple(x[half:] for x in host)]
+        out.append([[one, other], [other, one], middle][k % 3])
+    return [tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in out]
+
+
+def _products(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the 2x2 matrices up to each place, scaled to a largest entry of one, and the logarithms of the scales."""
+    out, scale, reach = steps.copy(), np.zeros(len(steps)), 1
+    while reach < len(out):
+        joined = out[:-reach] @ out[reach:]
+        top = joined.max(axis=(1, 2))
+        scale[reach:] += scale[:-reach] + np.log(top)
+        out[reach:] = joined / top[:, None, None]
+        reach *= 2
+    return out, scale
+
+
+def likelihood(params: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the labels and its gradient. ``params``: content weights, then the 2x2 table."""
+    weights, trans = params[:-4], params[-4:].reshape(2, 2)
+    n = len(x)
+    emit = np.stack([np.zeros(n), x @ weights], axis=1)
+    high = emit.max(axis=1)
+    look = np.exp(emit - high[:, None])
+    most = trans.max()
+    # a start forgets what came before: both rows of its matrix are the emission
+    steps = np.where(first[:, None, None], 1.0, np.exp(trans - most)[None]) * look[:, None, :]
+    ahead, scale = _products(steps)
+    alpha = ahead.sum(axis=1)
+    back = _products(steps[::-1].transpose(0, 2, 1))[0].transpose(0, 2, 1)[::-1]
+    beta = np.ones((n, 2))
+    beta[:-1] = back[1:].sum(axis=2)
+    # the first matrix has two equal rows, hence log 2; each step left its largest entries out
+    total = np.log(alpha[-1].sum()) + scale[-1] - np.log(2.0) + high.sum() + most * (~first).sum()
+    inner = np.flatnonzero(~first)
+    gold = emit[np.arange(n), y].sum() + trans[y[inner - 1], y[inner]].sum()
+    marginal = alpha * beta
+    marginal /= marginal.sum(axis=1, keepdims=True)
+    joint = alpha[inner - 1][:, :, None] * steps[inner] * beta[inner][:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[inner - 1], y[inner]), 1.0)
+    slope = np.concatenate([x.T @ (marginal[:, 1] - y), (joint.sum(axis=0) - seen).ravel()])
+    return (total - gold) / n + 0.5 * ridge * params @ params, slope / n + ridge * params
+
+
+def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """``(weights, trans)`` by conditional maximum likelihood. ``sequences``: feature rows and labels, line by line."""
     sequences = [(x, y) for x, y in sequences if len(x)]
-    weights, trans = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     if not sequences:
-        weights[0, 1] = 1.0
-        return weights, trans
-    longest, n = max(len(x) for x, _ in sequences), len(sequences)
-    x = np.zeros((n, longest, FEATURES))
-    mask = np.zeros((n, longest))
-    y = np.array([label for _, label in sequences])
-    for k, (rows, _) in enumerate(sequences):
-        x[k, : len(rows)] = rows
-        mask[k, : len(rows)] = 1.0
-    gold = np.zeros((n, longest, 2))
-    gold[np.arange(n), :, y] = 1.0
-    gold *= mask[:, :, None]
-    pairs = mask[:, 1:].sum()
-    gold_trans = np.zeros((2, 2))
-    for label in (0, 1):
-        gold_trans[label, label] = mask[y == label, 1:].sum()
-    weight = 1.0 / mask.sum()
-    params, first, second = np.concatenate([weights.ravel(), trans.ravel()]), 0.0, 0.0
-    for step in range(1, steps + 1):
-        weights, trans = params[:-4].reshape(FEATURES, 2), params[-4:].reshape(2, 2)
-        emit = x @ weights
-        alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        alpha[0] = emit[:, 0]
-        for t in range(1, longest):
-            step_in = np.logaddexp(alpha[t - 1][:, :1] + trans[0], alpha[t - 1][:, 1:] + trans[1]) + emit[:, t]
-            alpha[t] = np.where(mask[:, t, None] > 0, step_in, alpha[t - 1])
-        for t in range(longest - 2, -1, -1):
-            ahead = beta[t + 1] + emit[:, t + 1]
-            step_out = np.logaddexp(trans[:, 0][None] + ahead[:, :1], trans[:, 1][None] + ahead[:, 1:])
-            beta[t] = np.where(mask[:, t + 1, None] > 0, step_out, 0.0)
-        total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        marginal = np.exp(np.transpose(alpha + beta, (1, 0, 2)) - total[:, None, None]) * mask[:, :, None]
-        grad_w = np.einsum("ntf,nts->fs", x, gold - marginal)
-        joint = alpha[:-1][:, :, :, None] + trans[None, None] + (np.transpose(emit[:, 1:], (1, 0, 2)) + beta[1:])[:, :, None, :] - total[None, :, None, None]
-        grad_t = gold_trans - (np.exp(joint) * mask[:, 1:].T[:, :, None, None]).sum(axis=(0, 1)) if pairs else np.zeros((2, 2))
-        grad = np.concatenate([grad_w.ravel(), grad_t.ravel()]) * weight - ridge * params
-        first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad * grad
-        params = params + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return params[:-4].reshape(FEATURES, 2), params[-4:].reshape(2, 2)
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([[1.0], np.zeros(FEATURES - 1)]), np.zeros((2, 2))
+    x, y = np.concatenate([x for x, _ in sequences]), np.concatenate([y for _, y in sequences]).astype(np.int64)
+    first = np.zeros(len(x), bool)
+    first[np.cumsum([0, *[len(s) for s, _ in sequences[:-1]]])] = True
+    params = np.zeros(FEATURES + 4)
+    inverse = np.eye(len(params))
+    value, slope = likelihood(params, x, y, first, ridge)
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-6:
+            break
+        move, size = -inverse @ slope, 1.0
+        while size > 1e-10:
+            after, slope_after = likelihood(params + size * move, x, y, first, ridge)
+            if after <= value + 1e-4 * size * (slope @ move):
+                break
+            size /= 2
+        else:
+            break
+        gained, params, value = slope_after - slope, params + size * move, after
+        curve, slope = size * (gained @ move), slope_after
+        if curve > 1e-14:
+            turn = np.eye(len(params)) - size * np.outer(move, gained) / curve
+            inverse = turn @ inverse @ turn.T + size * size * np.outer(move, move) / curve
+    return params[:-4], params[-4:].reshape(2, 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most ``sample_docs`` labelled documents of either quality, chosen by a hash of their ids.
 
-    The lines of a low-quality document count as boilerplate, those of a good one as content. Labels
-    and ids that are null are left out; an id with several labels takes their majority.
+    Labels and ids that are null are left out; an id with several labels takes their majority (a tie:
+    good); of rows that repeat an id the one with the least text hash is used. Ids may be of any type.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     picked = None
@@ -162,15 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         part = one.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         picked = part if picked is None else picked.union(part)
     # at most 2 * sample_docs ids: a bounded broadcast
-    rows = text_bytes(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "doc_id", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = text_bytes(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("place", F.xxhash64("doc_id")), "place", "label")
 
     def run(batches):
         for batch in batches:
-            feats = [line_features(t.split(b"\n"))[0][:sample_lines] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f in feats], pa.binary())], ["doc_id", "label", "feats"])
+            feats = [line_features(t.split(b"\n"))[0].tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary())], ["place", "label", "feats"])
 
-    found = rows.mapInArrow(run, "doc_id long, label int, feats binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return fit([(np.frombuffer(bytes(r.feats), np.float64).reshape(-1, FEATURES), r.label) for r in found])
+    found = rows.mapInArrow(run, "place long, label int, feats binary").collect()
+    found = sorted((r.place, r.label, bytes(r.feats)) for r in found)
+    by_class = {k: [np.frombuffer(f, np.float64).reshape(-1, FEATURES) for _, label, f in found if label == k] for k in (0, 1)}
+    return fit(spliced(by_class[1], by_class[0]))
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], min_words: int = 50, max_repeat_pct: int = 50, min_content: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,7 +237,6 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], min_words: int
     read whole; repeated rows are judged alike; columns beside ``keep`` and ``text`` are ignored; an
     empty table gives no rows.
     """
-    weights, trans = model
     names = [*keep, *COUNTS, "content_share"]
     rows = text_bytes(docs, *keep)
 
@@ -190,7 +246,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], min_words: int
             for text in batch.column(len(keep)).to_pylist():
                 out.append(counts(text))
                 feats, sizes = line_features(text.split(b"\n"))
-                shares.append(float(sizes[viterbi(feats @ weights, trans) == 1].sum() / sizes.sum()) if len(sizes) else 0.0)
+                shares.append(share(feats, sizes, model))
             table = np.array(out, np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *[pa.array(table[:, k]) for k in range(len(COUNTS))], pa.array(shares, pa.float64())], names)
 
