@@ -394,6 +394,32 @@ def test_mixing(spark, tables, texts):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_mixing_cuts_inside_ties_and_draws_unequally(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)  # so that the equal rows are dealt out in several chunks
+    same = [(1, "five words are here now " * 10, "equal")] * 200
+    half = [(2, "five words are here now " * 10, "half")] * 100 + [(1000 + k, f"w{k} " * 50, "half") for k in range(100)]
+    long_and_short = [(2000 + k, "w " * (20, 80)[k % 2], "sizes") for k in range(4000)]
+    rest = [(9000 + k, "w " * 50, "zz") for k in range(40)]
+    docs = spark.createDataFrame(same + half + long_and_short + rest, "doc_id long, text string, source string")
+    rows = mixing.mix(docs, weights=(1.0, 1.0, 6.0, 12.0)).collect()
+    assert len(rows) == docs.count()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    for source, held in by_source.items():
+        assert abs(sum(r.taken for r in held) - held[0].target) <= max(r.size for r in held) / 2, source
+    assert {r.copies for r in by_source["equal"]} == {2, 3}
+    # realised inclusion agrees with the probabilities, which differ by length
+    for size in (20, 80):
+        held = [r for r in by_source["sizes"] if r.size == size]
+        sure = min(r.copies for r in held)
+        assert np.mean([r.copies - sure for r in held]) == pytest.approx(held[0].inclusion, abs=0.04)
+    p = {r.size: r.inclusion for r in by_source["sizes"]}
+    assert p[80] > p[20] + 0.02
+    again = Counter((r.doc_id, r.source, r.taken) for r in mixing.mix(docs.repartition(3), weights=(1.0, 1.0, 6.0, 12.0)).collect())
+    assert again == Counter((r.doc_id, r.source, r.taken) for r in rows)
+
+
 def test_pii_base_spans_equal_the_patterns(tables, texts):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
