@@ -225,22 +225,16 @@ def test_lm_traversal_is_one_walk_over_states():
     block = lm_score.Block(words, ids, lens, np.array([True, False, True]))
     model = lm_score.Automaton(block, 7, 4, 2, 1.5, 0.5)
     states = [0]
-    for w in ids[:6]:
-        to, _ = model.step(np.array(states[-1:]), np.array([w]))
+    for at in range(6):
+        to, _ = model.step(np.array(states[-1:]), np.array([at]))
         states.append(int(to[0]))
     pair = lambda u, v: 1 + 4 + int(np.flatnonzero(block.pairs == u * 4 + v)[0])
     assert states == [0, 1, pair(0, 1), pair(1, 0), pair(0, 1), pair(1, 2), pair(2, 3)]
     # "c a" was not seen in training: the word after "c" is read by the failure arc, and "a" is the state that is left
-    to, weight = model.step(np.array([3]), np.array([0]))
+    to, weight = model.step(np.array([3]), np.array([7]))
     assert to.tolist() == [1] and weight[0] == pytest.approx(model.failure[3] + model.root_arcs[0])
-    one_by_one = []
-    for at, n in ((0, 6), (6, 4), (10, 1)):
-        state, total = np.zeros(1, np.int64), 0.0
-        for w in ids[at : at + n]:
-            state, weight = model.step(state, np.array([w]))
-            total += weight[0]
-        one_by_one.append(total)
-    assert model.read(ids, lens).tolist() == pytest.approx(one_by_one)
+    whole = model.read(0).tolist()
+    assert all(model.read(few).tolist() == pytest.approx(whole) for few in (1, 2, 3))
 
 
 def edit(a, b):

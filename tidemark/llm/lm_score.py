@@ -100,11 +100,15 @@ class Block:
         self.word_counts = np.bincount(self.ids, weights=weight, minlength=n).astype(np.int64)
         # a history is what was read before in the same text; its first words have none
         at = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
-        self.pairs, pair_at = np.unique(self.ids[at - 1] * n + self.ids[at], return_inverse=True)
-        self.pair_counts = np.bincount(pair_at, weights=weight[at], minlength=len(self.pairs)).astype(np.int64)
-        third = np.flatnonzero(self.doc[at[1:]] == self.doc[at[:-1]]) + 1
-        self.triples, triple_at = np.unique(pair_at[third - 1] * n + self.ids[at[third]], return_inverse=True)
-        self.triple_counts = np.bincount(triple_at, weights=weight[at[third]], minlength=len(self.triples)).astype(np.int64)
+        self.pairs, found = np.unique(self.ids[at - 1] * n + self.ids[at], return_inverse=True)
+        self.pair_at = np.full(len(ids), -1)
+        self.pair_at[at] = found
+        self.pair_counts = np.bincount(found, weights=weight[at], minlength=len(self.pairs)).astype(np.int64)
+        at = at[self.pair_at[at - 1] >= 0]
+        self.triples, found = np.unique(self.pair_at[at - 1] * n + self.ids[at], return_inverse=True)
+        self.triple_at = np.full(len(ids), -1)
+        self.triple_at[at] = found
+        self.triple_counts = np.bincount(found, weights=weight[at], minlength=len(self.triples)).astype(np.int64)
         pair_hashes = _mixed(hashes[self.pairs // n], hashes[self.pairs % n])
         ends = self.pairs % n == n - 1
         self.places = {_WORDS: np.arange(n - 1), _PAIRS: np.flatnonzero(~ends), _ENDINGS: np.flatnonzero(ends), _TRIPLES: np.arange(len(self.triples))}
@@ -129,70 +133,82 @@ class Block:
 
 
 class Automaton:
-    """States are numbers: 0 the root, 1 + i word i, 1 + n + p pair p of the block. Arcs of a state are found by word."""
+    """States are numbers: 0 the root, 1 + i word i, 1 + n + p pair p of the block.
+
+    The block has looked up which pair and which triple each of its tokens ends; these are the arcs that
+    a word's or a pair's state may have for the token.
+    """
 
     def __init__(self, block: Block, total: int, distinct: int, texts: int, k2: float, k3: float):
         n = self.n = block.n
+        self.block = block
         words, pairs, triples = block.word_counts.copy(), block.pair_counts, block.triple_counts
         words[n - 1] = texts
-        self.pairs, self.triples = block.pairs, block.triples
-        self.known, self.pair_known, self.triple_known = words > 0, pairs > 0, triples > 0
+        self.known = words > 0
         p1 = (words + ALPHA) / (total + ALPHA * (distinct + 1))
-        first, last = self.pairs // n, self.pairs % n
+        first, last = block.pairs // n, block.pairs % n
         p2 = (pairs + k2 * p1[last]) / (words[first] + k2)
-        history = self.triples // n
-        shorter = np.searchsorted(self.pairs, last[history] * n + self.triples % n)
-        p3 = (triples + k3 * p2[shorter]) / (pairs[history] + k3) if len(self.triples) else np.empty(0)
-        self.root_arcs, self.word_arcs, self.pair_arcs = np.log10(p1), np.log10(p2), np.log10(p3)
+        # a token that ends triple t ends pair shorter[t] too
+        shorter = np.zeros(len(triples), np.int64)
+        ends = block.triple_at >= 0
+        shorter[block.triple_at[ends]] = block.pair_at[ends]
+        p3 = (triples + k3 * p2[shorter]) / (pairs[block.triples // n] + k3) if len(triples) else np.empty(0)
+        self.root_arcs = np.log10(p1)
+        # a last entry stands for "no such arc"
+        self.word_arcs, self.has_word_arc = np.append(np.log10(p2), 0.0), np.append(pairs > 0, False)
+        self.pair_arcs, self.has_pair_arc = np.append(np.log10(p3), 0.0), np.append(triples > 0, False)
         # a state without counts is never entered; its failure arc weighs nothing
-        self.failure = np.concatenate([[0.0], np.where(self.known, np.log10(k2 / (words + k2)), 0.0), np.where(self.pair_known, np.log10(k3 / (pairs + k3)), 0.0)])
+        self.failure = np.concatenate([[0.0], np.where(self.known, np.log10(k2 / (words + k2)), 0.0), np.where(pairs > 0, np.log10(k3 / (pairs + k3)), 0.0)])
         self.suffix = np.concatenate([[0], np.zeros(n, np.int64), 1 + last])
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states and the weights of reading a word in each state."""
-        n = self.n
-        weight, target = np.zeros(len(state)), np.where(self.known[word], 1 + word, 0)
-        state, open_ = state.copy(), np.arange(len(state))
-        deep = np.flatnonzero(state > n)
-        if len(deep):
-            code = (state[deep] - 1 - n) * n + word[deep]
-            arc = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
-            hit = (self.triples[arc] == code) & self.triple_known[arc]
-            pair = state[deep] - 1 - n
-            found = deep[hit]
-            weight[found] = self.pair_arcs[arc[hit]]
-            target[found] = 1 + n + np.searchsorted(self.pairs, (self.pairs[pair[hit]] % n) * n + word[found])
-            missed = deep[~hit]
-            weight[missed] = self.failure[state[missed]]
-            state[missed] = self.suffix[state[missed]]
-            done = np.zeros(len(state), bool)
-            done[found] = True
-            open_ = np.flatnonzero(~done)
-        shallow = open_[state[open_] > 0]
-        if len(shallow):
-            code = (state[shallow] - 1) * n + word[shallow]
-            arc = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            hit = (self.pairs[arc] == code) & self.pair_known[arc]
-            found, missed = shallow[hit], shallow[~hit]
-            weight[found] += self.word_arcs[arc[hit]]
-            target[found] = 1 + n + arc[hit]
-            weight[missed] += self.failure[state[missed]] + self.root_arcs[word[missed]]
-        start = open_[state[open_] == 0]
-        weight[start] += self.root_arcs[word[start]]
-        return target, weight
-
-    def read(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """The weight of each text: one traversal from the root, all texts a word at a time."""
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads the tokens at ``at``, each in its state: the next states and the weights."""
+        word, pair, triple = self.block.ids[at], self.block.pair_at[at], self.block.triple_at[at]
+        deep = state > self.n
+        long = deep & self.has_pair_arc[triple]
+        weight = np.where(deep & ~long, self.failure[state], 0.0)
+        state = np.where(deep, self.suffix[state], state)
+        short = (state > 0) & ~long & self.has_word_arc[pair]
+        none = ~long & ~short
+        weight += np.where(long, self.pair_arcs[triple], np.where(short, self.word_arcs[pair], self.root_arcs[word] + np.where(none, self.failure[state], 0.0)))
+        return np.where(none, np.where(self.known[word], 1 + word, 0), 1 + self.n + pair), weight
+
+    def finish(self, state: int, start: int, stop: int) -> float:
+        """Reads one text's tokens from ``start`` on, a word at a time; the weight."""
+        n, total, cut = self.n, 0.0, slice(start, stop)
+        for word, pair, triple in zip(self.block.ids[cut].tolist(), self.block.pair_at[cut].tolist(), self.block.triple_at[cut].tolist(), strict=True):
+            if state > n:
+                if self.has_pair_arc[triple]:
+                    total += self.pair_arcs[triple]
+                    state = 1 + n + pair
+                    continue
+                total += self.failure[state]
+                state = self.suffix[state]
+            if state and self.has_word_arc[pair]:
+                total += self.word_arcs[pair]
+                state = 1 + n + pair
+                continue
+            total += self.failure[state] + self.root_arcs[word]
+            state = 1 + word if self.known[word] else 0
+        return total
+
+    def read(self, few: int = 24) -> np.ndarray:
+        """The weight of each text, in one traversal from the root: all texts side by side, the ``few`` longest ends one by one."""
+        lens = self.block.lens
         order = np.argsort(-lens, kind="stable")
-        starts = (np.cumsum(lens) - lens)[order]
-        left = lens[order]
+        starts, left = (np.cumsum(lens) - lens)[order], lens[order]
         state, score = np.zeros(len(lens), np.int64), np.zeros(len(lens))
-        running = len(lens)
-        for at in range(int(left[0]) if len(left) else 0):
-            while left[running - 1] <= at:
+        running, at = len(lens), 0
+        while True:
+            while running and left[running - 1] <= at:
                 running -= 1
-            state[:running], weight = self.step(state[:running], ids[starts[:running] + at])
+            if running <= few:
+                break
+            state[:running], weight = self.step(state[:running], starts[:running] + at)
             score[:running] += weight
+            at += 1
+        for k in range(running):
+            score[k] += self.finish(int(state[k]), int(starts[k]) + at, int(starts[k] + left[k]))
         out = np.empty(len(lens))
         out[order] = score
         return out
@@ -315,7 +331,7 @@ def _scores(blocks: pa.Table, answers: pa.Table, model: tuple, buckets: dict[int
         out.append(pa.table({
             "doc_id": pa.array(docs, id_type), "held_out": pa.array(~block.train), "n_tokens": pa.array(block.lens),
             "n_known": pa.array(sums(automaton.known[block.ids]).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)),
-            "base_score": pa.array(sums(automaton.root_arcs[block.ids])), "score": pa.array(automaton.read(block.ids, block.lens)),
+            "base_score": pa.array(sums(automaton.root_arcs[block.ids])), "score": pa.array(automaton.read()),
         }))
     return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), **{c: pa.array([], t) for c, t in _COLUMNS.items()}})
 
@@ -339,7 +355,7 @@ def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
     most = {_WORDS: sizes.n_words, _PAIRS: sizes.n_tokens, _ENDINGS: sizes.n_rows, _TRIPLES: sizes.n_tokens}
     buckets = {kind: max(4, -(-n // BUCKET_ENTRIES)) for kind, n in most.items()}
     # as many partitions as there are buckets and blocks, so that a task holds a few of them at every size
-    asked = _requests(blocks, buckets).repartition(sum(buckets.values()), "kind", "bucket")
+    asked = _requests(blocks, buckets).repartition(2 * sum(buckets.values()), "kind", "bucket")
     schema = "kind int, bucket int, block long, others binary, stats array<struct<bin: int, n: long, total: long>>"
     answers = materialize(asked.groupBy("kind", "bucket").applyInArrow(_answer, schema), "answers")
     held = answers.where("stats is not null").select(F.inline("stats")).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
@@ -350,7 +366,7 @@ def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
     distinct = sum(r.n for r in by_kind[_WORDS].values()) + (sizes.n_texts > 0)
     model = (sizes.n_learn, distinct, sizes.n_texts, fitted(histories(_WORDS), once(_PAIRS, _ENDINGS)), fitted(histories(_PAIRS), once(_TRIPLES)))
     schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts = max(1, sizes.n_blocks)
+    parts = max(1, 2 * sizes.n_blocks)
     left = blocks.select("block", "doc_ids", "lens", "train", "ids", "words").repartition(parts, "block")
     right = answers.select("block", "kind", "bucket", "others").repartition(parts, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, model, buckets, id_type), schema)
