@@ -1,10 +1,13 @@
 """Secret scanning with false-positive removal by a random forest, in DataFrame operations only.
 
-Patterns name candidate strings in a text. Each candidate, with the words around it and the path of
-its document, becomes a row of features: length, changes of character class, variety, share of
-digits, how much of it dictionary words cover, cue and placeholder words beside it, test-like paths.
-A random forest trained from labelled findings separates secrets from look-alikes (checksums, ids,
-placeholders, long words). The scan is one projection and an explode over each text's candidates.
+One pattern names the candidates of a text: strings of known shapes, private key blocks, passwords within
+URLs, values assigned to a telling name (of any alphabet), and any long run that mixes letters and
+digits; none has an upper length. Each candidate, with the words around it and the path of its
+document, becomes a row of features: length, changes of character class, variety, shares of digits and
+signs, how much of it dictionary words cover, cue and placeholder words beside it, test-like paths. A
+random forest trained from labelled findings separates secrets from look-alikes (checksums, ids,
+placeholders, plain words, code, encoded data). The scan is one projection and an explode over each
+text's candidates.
 """
 
 from __future__ import annotations
@@ -20,26 +23,41 @@ MAX_FINDINGS = 100_000
 
 # Words that a secret hardly holds, cues before one, words that mark a placeholder, test-like paths.
 DICTIONARY = (
-    "password", "secret", "example", "sample", "test", "dummy", "your", "here", "change", "this", "token", "value", "string", "name",
-    "user", "admin", "default", "config", "function", "return", "class", "public", "private", "static", "index", "image", "button",
-    "content", "license", "version", "http", "www", "html", "the", "and", "ing", "tion", "ment", "ther", "com", "heit", "ung", "ción",
+    "about", "access", "account", "action", "active", "address", "admin", "after", "again", "allow", "always", "answer", "apple", "array", "auto", "base", "because", "before", "bool", "book",
+    "build", "button", "call", "change", "char", "check", "city", "class", "client", "close", "code", "color", "config", "connect", "const", "content", "context", "could", "count", "create",
+    "data", "date", "debug", "default", "delete", "demo", "disabled", "document", "dummy", "element", "enabled", "end", "enter", "env", "error", "event", "every", "example", "export", "false",
+    "field", "file", "first", "float", "form", "from", "function", "general", "get", "group", "hash", "have", "head", "here", "home", "host", "html", "http", "image", "import", "index", "info",
+    "input", "install", "invalid", "item", "key", "label", "last", "length", "letter", "license", "line", "link", "list", "load", "local", "login", "long", "main", "manager", "message", "method",
+    "missing", "module", "must", "name", "nation", "never", "none", "null", "number", "object", "open", "option", "optional", "order", "other", "output", "page", "param", "path", "people",
+    "place", "please", "port", "print", "private", "process", "property", "public", "random", "read", "remote", "request", "required", "response", "result", "return", "sample", "save", "script",
+    "section", "self", "send", "server", "service", "session", "should", "simple", "some", "source", "start", "state", "static", "station", "status", "string", "style", "system", "table",
+    "test", "text", "their", "there", "thing", "this", "time", "title", "true", "type", "undefined", "update", "user", "valid", "value", "version", "water", "where", "will", "window", "with",
+    "word", "work", "world", "write", "your",
 )
-CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key")
-PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "xxxx", "your_", "your-", "<", "todo", "redacted", "fake")
+CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access-key", "auth", "bearer", "credential", "private_key", "private-key")
+PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "change_me", "xxxx", "your_", "your-", "<", "todo", "redacted", "fake", "****", "${", "insert")
 HASH_CUES = ("sha1", "sha256", "md5", "checksum", "commit", "digest", "etag", "uuid", "revision", "integrity")
 TEST_PATHS = "(?i)(^|[/_.-])(tests?|spec|examples?|docs?|fixtures?|samples?|mocks?)([/_.-]|$)"
 
-#: Candidates: known shapes, a value assigned to a name, any long run that mixes letters and digits.
+#: Known shapes (fixed values), and how private key blocks look.
 SHAPES = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}"
-#: The longest candidate: longer runs are encoded data, not credentials.
-CANDIDATE = r"(?<![0-9A-Za-z_+/-])(?=[0-9A-Za-z_+/-]{0,199}[0-9])(?=[0-9_+/-]{0,199}[A-Za-z])[0-9A-Za-z_+/-]{16,200}={0,2}(?![0-9A-Za-z_+/-])"
+KEY_BLOCK = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,8}(?:-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"
+_IN_URL = r"(://[^\s/@:]++:)([^\s/@]++)(?=@)"
+_NAMED = r"""(?i:(?<![a-z])(?:%s))[0-9A-Za-z_-]{0,20}["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:(?i:bearer|basic)\s{1,3})?+["'`]?+""" % "|".join(CUES)
+_VALUE = r"""[^\s"'`,;<>]{3,}[^\s"'`,;<>.)\]}]"""
+_RUN = r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[0-9A-Za-z_+/-]{16,}+={0,2}"
+#: Groups 1, 3, 5 and 6 hold a candidate, 2 and 4 what leads to one.
+CANDIDATE = rf"((?<![0-9A-Za-z])(?:{SHAPES})|{KEY_BLOCK})|{_IN_URL}|({_NAMED})({_VALUE})|({_RUN})"
 _MARK = "\u0001"
 _NEAR = 64  # characters on either side that hold the neighbouring words
-FEATURES = ("f_length", "f_changes", "f_variety", "f_digits", "f_upper", "f_hex", "f_words", "f_vowels", "f_shape", "f_cue", "f_assigned", "f_placeholder", "f_hash_cue", "f_test_path")
+FEATURES = (
+    "f_length", "f_changes", "f_variety", "f_digits", "f_upper", "f_signs", "f_hex", "f_words", "f_vowels", "f_shape", "f_block", "f_cue", "f_assigned", "f_in_url",
+    "f_call", "f_placeholder", "f_hash_cue", "f_test_path",
+)
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike("(?i)(" + "|".join(w.replace("-", r"\-") for w in words) + ")").cast("double")
+    return text.rlike("(?i)(" + "|".join(r"\Q" + w + r"\E" for w in words) + ")").cast("double")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -48,59 +66,88 @@ def features(found: DataFrame) -> DataFrame:
     around = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     before = F.coalesce("before", F.lit(""))
     size = F.greatest(F.length(c), F.lit(1)).cast("double")
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "\u0001"), "[A-Z]", "\u0002"), "[a-z]", "\u0003"), "[^\u0001-\u0003]", "\u0004")
-    runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
+    classes = c
+    for pattern, sign in (("[0-9]", "\u0002"), ("[A-Z]", "\u0003"), ("[a-z]", "\u0004"), ("[^\u0002-\u0004]", "\u0005")):
+        classes = F.regexp_replace(classes, pattern, sign)
+    runs = F.length(F.regexp_replace(classes, r"(.)\1++", "$1"))
     covered = F.length(c) - F.length(F.regexp_replace(F.lower(c), "(" + "|".join(DICTIONARY) + ")", ""))
     count = lambda pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
     return found.withColumns({
-        "f_length": F.length(c).cast("double"),
+        "f_length": F.least(F.length(c), F.lit(10_000)).cast("double"),
         "f_changes": (runs - 1) / size,
-        "f_variety": F.size(F.array_distinct(F.split(c, ""))) / size,
+        "f_variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(size, F.lit(64.0)),
         "f_digits": count("[0-9]") / size,
         "f_upper": count("[A-Z]") / size,
+        "f_signs": count("[^0-9A-Za-z]") / size,
         "f_hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "f_words": covered / size,
         "f_vowels": count("[aeiouAEIOU]") / size,
         "f_shape": c.rlike("^(" + SHAPES + ")$").cast("double"),
+        "f_block": c.startswith("-----BEGIN").cast("double"),
         "f_cue": _any(before, CUES),
-        "f_assigned": before.rlike("[=:]\\s*[\"']?$").cast("double"),
+        "f_assigned": before.rlike("[=:]\\s*((?i)(bearer|basic)\\s+)?[\"'`]?$").cast("double"),
+        "f_in_url": before.rlike("://[^\\s/@:]+:$").cast("double"),
+        "f_call": c.rlike(r"[(){}\[\]$]|^[A-Za-z_]+(\.[A-Za-z_]+)+$").cast("double"),
         "f_placeholder": _any(F.concat_ws(" ", around, c), PLACEHOLDERS),
         "f_hash_cue": _any(before, HASH_CUES),
         "f_test_path": F.coalesce(F.col("path"), F.lit("")).rlike(TEST_PATHS).cast("double"),
     })
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """``(candidate, before, after, path, label)``: findings made by rule from hashes, label 1 a true secret.
+def labelled_findings(spark: SparkSession, n: int = 4800, start: int = 0) -> DataFrame:
+    """``(candidate, before, after, path, label)``: findings made by rule from the hashes of ``n`` numbers, label 1 a true secret.
 
-    Half are secrets: random strings of the known shapes, or random values assigned to a cue word.
-    Half are look-alikes: checksums and ids after their cues, placeholders, words with a number,
-    secrets of test paths that hold placeholder words, random strings with no cue at all.
+    Half are secrets: random strings of the known shapes, key blocks, random values, passwords and letter
+    runs assigned to a cue word, passwords within URLs. Half are look-alikes: checksums and ids after
+    their cues, placeholders and masks, plain words and code assigned to a cue word, words joined with a
+    number, paths, encoded data and random strings without a cue.
     """
     h = lambda k: F.sha2(F.concat_ws(":", F.lit(k), F.col("id")), 256)
     b64 = lambda k: F.regexp_replace(F.base64(F.unhex(h(k))), "[+/=]", "")
-    pick = lambda options, k: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(options))) + 1).cast("int"))
-    of = F.col("id") % 12
-    size = (F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(25)) + 16).cast("int")
-    word = pick(("thing", "nation", "the", "heading", "station", "section", "container", "element"), "w")
-    aws = F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(F.upper(b64("a")), "[^0-9A-Z]", "7"), 1, 16))
-    cue = F.concat(pick(CUES, "c"), pick(("=", " = \"", ": ", "=\"", ":"), "e"))
-    candidate = (
-        F.when(of == 0, aws).when(of == 1, F.concat(F.lit("ghp_"), F.substring(F.concat(b64("g"), b64("h")), 1, 36)))
-        .when((of >= 2) & (of <= 3), F.substring(h("x"), F.lit(1), size)).when((of >= 4) & (of <= 5), F.substring(b64("y"), F.lit(1), size))
-        .when(of == 6, F.substring(h("s"), 1, 40)).when(of == 7, F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 12)))
-        .when(of == 8, F.concat(pick(("your_api_key_here_", "example_secret_value_", "xxxxxxxxxxxxxxxx", "changeme_password_"), "p"), F.col("id") % 100))
-        .when(of == 9, F.concat(word, pick(("-", "_", ""), "j"), word, F.col("id") % 1000, word)).when(of == 10, F.substring(h("t"), F.lit(1), size))
-        .otherwise(F.concat(word, F.lit("/"), word, F.lit("_"), F.col("id") % 10000, word))
-    )
-    before = (
-        F.when(of <= 1, pick(("the", "key:", "id =", "of on", "aws_access_key_id="), "b")).when(of <= 5, cue)
-        .when(of <= 7, F.concat(pick(HASH_CUES, "d"), pick((" ", ": ", "="), "f"))).when(of == 8, cue).when(of == 10, F.concat(pick(("page", "ref", "file", "see the", "id"), "r"), F.lit(" "))).otherwise(pick(("of the", "see", "in", "class="), "q"))
-    )
-    return spark.range(n).select(candidate.alias("candidate"), before.alias("before"), pick(("", "the", "and then", "for", ";"), "z").alias("after"), F.when(of == 8, pick(("tests/a.py", "docs/readme.md", "src/main.py"), "v")).otherwise(pick(("src/main.py", "web", "src3", "app/config.yml"), "o")).alias("path"), (of <= 5).cast("double").alias("label"))
-
-
-def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
+    draw = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m)).cast("int")
+    pick = lambda options, k: F.element_at(F.array(*[F.lit(o) for o in options]), draw(k, len(options)) + 1)
+    cut = lambda text, low, high, k: F.substring(text, F.lit(1), F.lit(low) + draw(k, high - low + 1))
+    letters = lambda k: F.translate(h(k), "0123456789abcdef", "kqzmwxvjbtyhpgfl")
+    word = lambda k: pick(DICTIONARY, k)
+    cue = F.concat(pick(("", "", "my_", "DB_", "app."), "cp"), pick(CUES, "c"), pick(("=", " = \"", ": ", "=\"", ":", " = '", "\": \""), "e"))
+    neutral = pick(("the", "key:", "id =", "of on", "aws_access_key_id=", "Authorization: Bearer ", "see "), "b")
+    plain = pick(("src/main.py", "web", "src3", "app/config.yml", "notes.txt", ""), "o")
+    password = F.concat(cut(F.concat(letters("p1"), F.lit("")), 2, 5, "p2"), F.upper(F.substring(letters("p3"), 1, 1)), draw("p4", 1000).cast("string"), pick(("", "!", "&", "#", "@x", "$z", "%", "x"), "p5"), cut(letters("p6"), 2, 6, "p7"))
+    dressed = F.concat(F.translate(word("q1"), "aeo", "430"), pick(("", "&", "!", "_", "#"), "q2"), draw("q3", 100).cast("string"), pick(("", "!", "xyz", "q9", "secret", "key", "7"), "q4"))
+    code = F.concat(pick(("process.env.", "os.environ.", "config.", "self.", "get_", "settings."), "g1"), word("g2"), pick(("", "()", "_token", "[0]"), "g3"))
+    block = F.concat(F.lit("-----BEGIN "), pick(("", "RSA ", "EC ", "OPENSSH "), "k1"), F.lit("PRIVATE KEY-----\n"), cut(F.concat_ws("\n", *[b64(f"k{k}") for k in range(2, 14)]), 20, 500, "k1"), F.lit("\n-----END PRIVATE KEY-----"))
+    blob = F.concat_ws("", *[b64(f"z{k}") for k in range(12)])
+    joined = F.concat(word("w1"), pick(("-", "_", "", "/"), "j"), word("w2"), draw("w3", 1000).cast("string"), word("w4"), pick(("", "-", "/"), "j2"), word("w5"))
+    uuid = F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 12))
+    login = F.concat(pick(("postgres", "https", "mysql", "amqp", "ftp"), "l1"), F.lit("://"), pick(("app", "root", "admin", "svc"), "l2"), F.lit(":"))
+    hashed = F.concat(pick(HASH_CUES, "d"), pick((" ", ": ", "="), "f"))
+    bare = F.concat(pick(("page", "ref", "file", "see the", "id", "in", "class="), "r"), F.lit(" "))
+    secrets = [
+        (F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(F.upper(b64("a")), "[^0-9A-Z]", "7"), 1, 16)), neutral), (F.concat(F.lit("ghp_"), F.substring(F.concat(b64("g"), b64("h")), 1, 36)), neutral),
+        (cut(h("x"), 16, 64, "n1"), cue), (cut(b64("y"), 16, 40, "n2"), cue), (cut(F.concat_ws("", *[b64(f"y{k}") for k in range(6)]), 60, 240, "n3"), cue), (password, cue), (dressed, cue),
+        (cut(letters("s"), 12, 32, "n4"), cue), (F.concat(F.lit("eyJ"), cut(b64("v1"), 12, 30, "n5"), F.lit("."), b64("v2"), F.lit("."), b64("v3")), neutral), (cut(b64("m"), 8, 20, "n6"), login), (password, login), (block, neutral),
+    ]
+    others = [
+        (F.substring(h("s"), F.lit(1), pick((32, 40, 64), "n7")), hashed), (uuid, F.concat(pick(("uuid", "id", "request", "session id"), "d2"), F.lit(" "))), (F.concat(pick(("your_api_key_here_", "example_secret_", "xxxxxxxxxxxx", "changeme_password_", "insert-token-"), "y5"), draw("y6", 100).cast("string")), cue),
+        (joined, bare), (cut(h("t"), 16, 64, "n8"), bare), (F.concat(word("x1"), F.lit("/"), word("x2"), F.lit("_"), draw("x3", 10000).cast("string"), word("x4")), bare), (word("o1"), cue), (code, cue),
+        (pick(("********", "xxxxxxxx", "REDACTED", "None", "null", "true", "${SECRET}", "${TOKEN}", "changeme", "********************"), "o2"), cue), (cut(blob, 200, 480, "n9"), bare),
+        (pick(("password", "pass", "PASSWORD", "secret", "your-password", "${PASSWORD}", "changeme"), "o3"), login), (F.concat(word("o4"), pick(("_", "-", " "), "j3"), word("o5")), cue),
+    ]
+    kinds = secrets + others
+    plain_after = pick(("", "the", "and then", "for", ";"), "z")
+    found = None
+    for k, (candidate, before) in enumerate(kinds):  # one small projection a kind
+        test_like = k == len(secrets) + 2
+        row = [
+            candidate.alias("candidate"), before.alias("before"), (F.lit("@db.host.net") if before is login else plain_after).alias("after"),
+            (pick(("tests/a.py", "docs/readme.md", "src/main.py"), "v") if test_like else plain).alias("path"), F.lit(float(k < len(secrets))).alias("label"),
+        ]
+        part = spark.range(start + (k - start) % len(kinds), start + n, len(kinds), 1).select(*row)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def train(findings: DataFrame, trees: int = 24, depth: int = 9) -> RandomForestClassificationModel:
     """Fit on ``(candidate, before, after, path, label)``; rows with a null label or candidate are left out."""
     rows = features(findings.where("label is not null and candidate is not null").orderBy(F.xxhash64("candidate", "before"), "candidate", "before").limit(MAX_FINDINGS))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows).select("vector", "label")
@@ -113,12 +160,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     The text is cut at its candidates, so that the odd pieces are candidates and their neighbours
     hold the words around them.
     """
-    rows = docs.where(F.col("text").rlike("[0-9A-Za-z_+/-]{16}")).select("doc_id", F.col("source").alias("path"), F.translate("text", _MARK, " ").alias("whole"))
-    pieces = F.split(F.regexp_replace("whole", CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK)
-    rows = rows.select("doc_id", "path", pieces.alias("pieces")).where(F.size("pieces") > 2)
+    whole = F.translate("text", _MARK, " ")
+    pieces = F.split(F.regexp_replace(whole, CANDIDATE, f"$2$4{_MARK}$1$3$5$6{_MARK}"), _MARK)
+    rows = docs.select("doc_id", F.col("source").alias("path"), pieces.alias("pieces")).where(F.size("pieces") > 2)
     at = lambda k: F.element_at("pieces", k)
-    near = F.transform(F.sequence(F.lit(2), F.size("pieces") - 1, F.lit(2)), lambda k: F.struct(at(k).alias("candidate"), F.regexp_extract(F.substring(at(k - 1), -_NEAR, _NEAR), r"((?:\S+\s+){0,2}\S*)$", 1).alias("before"), F.regexp_extract(F.substring(at(k + 1), 1, _NEAR), r"^(\S*\s*\S*)", 1).alias("after")))
-    return rows.select("doc_id", "path", F.inline(near))
+
+    def one(k):
+        before = F.regexp_extract(F.substring(at(k - 1), -_NEAR, _NEAR), r"((?:\S+\s+){0,2}\S*)$", 1)
+        after = F.regexp_extract(F.substring(at(k + 1), 1, _NEAR), r"^(\S*\s*\S*)", 1)
+        return F.struct(at(k).alias("candidate"), before.alias("before"), after.alias("after"))
+
+    return rows.select("doc_id", "path", F.inline(F.transform(F.sequence(F.lit(2), F.size("pieces") - 1, F.lit(2)), one)))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, keep_rejected: bool = False) -> DataFrame:
@@ -133,6 +185,12 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(features(candidates(docs)))
     p = vector_to_array("probability")[1]
     c = F.col("candidate")
-    kind = F.when(c.rlike("^(AKIA|ASIA)"), "cloud_key").when(c.rlike("^gh[pousr]_"), "forge_token").when(c.rlike("^eyJ"), "web_token").when(F.col("f_cue") > 0, "assigned_value").otherwise("random_string")
-    out = model.transform(rows).select("doc_id", kind.alias("kind"), F.length(c).alias("length"), F.sha2(c, 256).alias("secret_sha256"), (F.col("f_cue") > 0).alias("cue"), F.round(p, 6).alias("probability"), (p >= threshold).alias("is_secret"))
-    return out if keep_rejected else out.where("is_secret").drop("is_secret")
+    kind = (
+        F.when(F.col("f_block") > 0, "private_key").when(c.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "cloud_key").when(c.rlike("^gh[pousr]_"), "forge_token").when(c.rlike(r"^eyJ[^.]+\."), "web_token")
+        .when(F.col("f_shape") > 0, "service_token").when(F.col("f_in_url") > 0, "url_password").when(F.col("f_cue") > 0, "assigned_value").otherwise("random_string")
+    )
+    found = model.transform(rows).select(
+        "doc_id", kind.alias("kind"), F.length(c).alias("length"), F.sha2(c, 256).alias("secret_sha256"), (F.col("f_cue") > 0).alias("cue"),
+        F.round(p, 6).alias("probability"), (p >= threshold).alias("is_secret"),
+    )
+    return found if keep_rejected else found.where("is_secret").drop("is_secret")
