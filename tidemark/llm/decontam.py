@@ -68,6 +68,7 @@ class Index:
     pairs: np.ndarray  # marks of the neighbouring words of all items, by hash
     item_of: np.ndarray  # the item of each piece
     offset: np.ndarray  # where in its item a piece begins
+    item_pairs: list[frozenset]  # the neighbouring words of each item
 
 
 def _pair_slots(flat: np.ndarray, size: int) -> np.ndarray:
@@ -77,6 +78,11 @@ def _pair_slots(flat: np.ndarray, size: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - size.bit_length() + 1)
 
 
+def _pair_codes(flat: np.ndarray, pad: int) -> np.ndarray:
+    """A number for every word with the next one."""
+    return flat[:-1] * (pad + 1) + flat[1:]
+
+
 def _walk(flat: np.ndarray, starts: np.ndarray, size: int, pad: int, factors: np.ndarray, draws: list[np.ndarray]) -> list[np.ndarray]:
     """LSH keys of the windows at ``starts``, one array a draw, by one walk of ``2 * size`` steps."""
     at = np.zeros(len(starts), np.int64)
@@ -126,7 +132,7 @@ def build(items: list[tuple[object, bytes]], max_edit: float = MAX_EDIT, min_wor
     pairs = np.zeros(1 << max(16, sum(map(len, coded)).bit_length() + 6), bool)
     for code in coded:
         pairs[_pair_slots(code, len(pairs))] = True
-    return Index(ids, names, coded, edits, groups, factors, pad, pairs, np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64))
+    return Index(ids, names, coded, edits, groups, factors, pad, pairs, np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64), [frozenset(_pair_codes(c, pad).tolist()) for c in coded])
 
 
 def best_edit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -210,6 +216,7 @@ def _verify(flat: np.ndarray, rows: np.ndarray, bounds: np.ndarray, index: Index
     owner = np.searchsorted(bounds, starts, "right") - 1
     # where the item would begin if nothing were added or taken out before the piece
     pairs = np.unique(np.stack([owner, index.item_of[pieces], starts - index.offset[pieces]]), axis=1)
+    codes = _pair_codes(flat, index.pad)
     at, n = 0, pairs.shape[1]
     while at < n:
         doc, item, first = pairs[:, at].tolist()
@@ -220,10 +227,13 @@ def _verify(flat: np.ndarray, rows: np.ndarray, bounds: np.ndarray, index: Index
             to += 1
         begin = max(int(bounds[doc]), first - 2 * most - 1)
         stop = max(begin, min(int(bounds[doc + 1]), last + size + 2 * most + 1))
+        at = to
+        # a match keeps all but two of the item's word pairs for each edit
+        if sum(map(index.item_pairs[item].__contains__, codes[begin : max(begin, stop - 1)].tolist())) < size - 1 - 2 * most:
+            continue
         score, end = best_edit(index.items[item], flat[begin:stop])
         if score <= most:
             yield int(rows[doc]), index.names[item], score, begin + end - int(bounds[doc])
-        at = to
 
 
 def _blocks(benchmark: DataFrame, min_words: int):
