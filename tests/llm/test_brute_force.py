@@ -535,11 +535,27 @@ def test_url_rules_against_plain_ones(spark, tables):
         path = re.split("[?#]", rest[len(host) :])[0] if sep else ""
         fits = [(len(t), t, v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[t.index("/") :])]
         assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
-        assert r.verdict == (max(fits)[2] if fits else "block" if r.score >= 0.7 else "allow")
+        assert r.verdict == (max(fits)[2] if fits else "block" if r.score >= 0.5 else "allow")
 
 
-def test_url_classifier(spark):
+ORDINARY = (
+    "www.winchester.ac.uk/courses", "www.essex.ac.uk/", "farmersweekly.co.uk/news/1", "adultswim.com/videos", "pharmacytimes.com/a", "nobelprize.org/prizes/physics", "minerals.net/quartz", "thetimes.co.uk/article/1",
+    "bbc.co.uk/news", "betterexplained.com/a", "windows.com/x", "freebsd.org/docs", "soundtracks.net/x", "github.com/a/b", "nature.com/articles/1", "elizabethan-museum.org/", "twinsburg-library.org/x", "roadshow.com/",
+)
+UNWANTED = (
+    "bestonlinecasino.com/win", "free-poker-slots.net/", "xxx-cams.com/", "cheap-viagra.org/", "paydayloans247.com/apply", "torrentkeygen.net/warez", "sexhookup.com/", "betting-tips.com/", "spam-farm.net/ads", "www.casino-jackpot.info/free-spins",
+)
+
+
+def test_url_classifier_on_held_out_hosts(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
-    rows = [(1, "https://cheap-casino.example.org/en/1"), (2, "https://www.free-poker.example.net/de/7"), (3, "https://city-library.example.org/en/9"), (4, "https://docs.garden.example.net/en/4")]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [], model).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    rows = [(k, "https://" + u) for k, u in enumerate(ORDINARY + UNWANTED)]
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [], model).collect()}
+    blocked_right = sum(got[k] for k in range(len(ORDINARY), len(rows)))
+    blocked_wrong = sum(got[k] for k in range(len(ORDINARY)))
+    assert blocked_right / len(UNWANTED) >= 0.8 and blocked_right / max(blocked_right + blocked_wrong, 1) >= 0.9
+    # hosts of words that no training host holds: fewer are found, but few ordinary ones are blocked
+    unseen = url_filter.train(url_filter.labelled_urls(spark, without=2))
+    held = url_filter.labelled_urls(spark, only=2).select(F.col("label").cast("long").alias("page_id"), "url").limit(1500)
+    verdicts = Counter((r.page_id, r.verdict) for r in url_filter.judge(held, [], unseen).collect())
+    assert verdicts[0, "block"] / (verdicts[0, "block"] + verdicts[0, "allow"]) <= 0.1

@@ -2,7 +2,7 @@
 
 A URL is judged by the longest rule that fits its host and path. Where no rule fits, a logistic
 regression on hashed character n-grams of host and path decides; it is trained from a small labelled
-URL table, one built in here from word lists or one that the caller passes. Judging is one
+URL table: one made here by rule from word lists, or one that the caller passes. Judging is one
 projection over the table: no shuffle, nothing broadcast but the coefficients (2**14 doubles).
 """
 
@@ -17,37 +17,75 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: Rows of a labelled table that a fit uses at most (those with the least hashes of the URL).
 MAX_LABELLED = 50_000
+MADE_UP = 2500
 
-# Words that mark URLs to block, words of ordinary sites, and how hosts and paths are made of them.
+# Words that mark URLs to block, words of ordinary sites, ordinary names that hold a blocked word, and
+# how hosts and paths are made of them.
 BLOCK_WORDS = (
-    "casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "pills", "pharma", "viagra", "porn", "xxx", "sex", "adult",
+    "casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "roulette", "pills", "pharma", "viagra", "cialis", "porn", "xxx", "sex", "adult",
     "escort", "loan", "loans", "payday", "cheap", "replica", "spam", "farm", "ads", "track", "tracker", "click", "popup", "free",
-    "win", "prize", "warez", "crack", "keygen", "torrent", "miner", "phish", "malware", "clickbait",
+    "win", "prize", "lottery", "warez", "crack", "keygen", "torrent", "miner", "phish", "malware", "clickbait", "nude", "cams", "hookup",
 )
 ALLOW_WORDS = (
     "news", "blog", "docs", "wiki", "university", "library", "museum", "science", "journal", "weather", "health", "school", "city",
     "garden", "recipes", "travel", "history", "music", "sports", "forum", "support", "developer", "research", "books", "theatre",
-    "house", "river", "stone", "north", "green", "thread", "another", "thing", "antenna", "nation", "therapy", "theory", "thinking", "orchard",
+    "house", "river", "stone", "north", "green", "gazette", "county", "council", "hospital", "church", "photo", "art", "energy", "bank",
+    "market", "radio", "studio", "kitchen", "bike", "railway", "coffee", "data", "open", "learn", "work", "legal", "family", "planet",
+    "nature", "ocean", "mountain", "bread", "paper", "pixel", "robot", "cloud", "maps", "times", "post", "review", "today", "world",
 )
-ENDS = ("com", "net", "org")
+LOOKALIKES = (
+    "essex", "sussex", "middlesex", "sextant", "winchester", "windsor", "winter", "window", "darwin", "baldwin", "twins", "wine", "farmer", "farmers", "farmhouse",
+    "pharmacy", "alphabet", "better", "elizabeth", "diabetes", "tibet", "between", "adulthood", "adultswim", "freedom", "freeman", "freestyle", "gluten-free", "soundtrack", "racetrack",
+    "tracks", "trackandfield", "headsets", "roads", "adsorption", "heads", "uploads", "nobelprize", "crackers", "firecracker", "minerals", "examiner", "cheapside", "slotcar", "pokerface",
+    "clicker", "doubleclick-history", "spamalot", "loanwords", "torrential", "escorted-tours", "replicate", "scamper", "webcams", "campus", "denuded", "sexology", "pillsbury", "caterpillars",
+)
+FILLERS = ("x", "xx", "24", "247", "365", "online", "best", "top", "hot", "now", "hub", "zone", "club", "vip")
+#: Frequent letter pairs: most names of hosts are no words.
+PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce")
+ENDS = (".com", ".net", ".org", ".co.uk", ".de", ".fr", ".es", ".io", ".info", ".example.com", ".example.net", ".example.org")
+SCHOLARLY = (".ac.uk", ".edu", ".gov", ".museum", ".org", ".com", ".co.uk", ".net")
 LANGS = ("en", "de", "fr", "es")
+BLOCK_PATHS = ("/{l}/{n}", "/", "/{w}/{n}", "/{l}/{w}-{v}.html", "/go/{w}?id={n}", "/free-{w}", "/{w}-bonus/{n}")
+ALLOW_PATHS = ("/{l}/{n}", "/", "/{w}/{n}", "/{l}/{w}-{v}.html", "/2021/05/{w}", "/wiki/{w}", "/about/{v}", "/{v}/index.php", "/static/{w}.pdf")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``(url, label)``, label 1 to block: pairs of block words, and of ordinary words, as hosts with some path."""
+def labelled_urls(spark: SparkSession, without: int | None = None, only: int | None = None) -> DataFrame:
+    """``(url, label)``, label 1 to block, made by rule from the word lists.
 
-    def side(words, label):
-        one = F.array(*[F.lit(w) for w in words])
-        pairs = spark.range(len(words) ** 2).select(
-            F.element_at(one, (F.col("id") % len(words) + 1).cast("int")).alias("a"),
-            F.element_at(one, (F.floor(F.col("id") / len(words)) + 1).cast("int")).alias("b"),
-            F.pmod(F.xxhash64(F.lit(label), "id"), F.lit(1 << 20)).alias("n"),
-        )
-        pick = lambda options, by: F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(F.col("n") / by) % len(options) + 1).cast("int"))
-        host = F.concat(pick(("", "www.", "m.", "blog."), 1), F.col("a"), pick(("-", "", "."), 7), F.when(F.col("a") == F.col("b"), F.lit("")).otherwise(F.col("b")), F.lit(".example."), pick(ENDS, 29))
-        return pairs.select(F.concat(F.lit("https://"), host, F.lit("/"), pick(LANGS, 97), F.lit("/"), F.col("n") % 1000).alias("url"), F.lit(float(label)).alias("label"))
+    Blocked hosts are a blocked word alone, or with another one or an ordinary word; allowed hosts are
+    ordinary words, look-alikes and made-up names, alone or joined. Ends and paths vary on both sides. ``without`` and ``only`` leave out, or
+    keep, the hosts of every fifth word of each list (those whose place leaves this remainder): a
+    held-out part whose words were never seen.
+    """
 
-    return side(BLOCK_WORDS, 1).union(side(ALLOW_WORDS, 0))
+    def kept(words):
+        return [w for k, w in enumerate(words) if (without is None or k % 5 != without) and (only is None or k % 5 == only)]
+
+    block, allow, alike = kept(BLOCK_WORDS), kept(ALLOW_WORDS), kept(LOOKALIKES)
+
+    def side(first, second, label, ends, paths, seed, copies):
+        n = len(first) * copies
+        one = lambda options, k: F.element_at(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(len(options))).cast("int") + 1)
+        lead = F.element_at(F.array(*[F.lit(w) for w in first]), (F.col("id") % len(first) + 1).cast("int"))
+        other = one(second, 1)
+        name = F.concat(lead, one(("-", "", "."), 2), other)
+        turned = F.concat(other, one(("-", "", "."), 2), lead)
+        shape = F.pmod(F.xxhash64(F.lit(seed), F.lit(3), "id"), F.lit(3))
+        host = F.concat(one(("", "", "www.", "m.", "blog."), 4), F.when(shape == 0, lead).when(shape == 1, name).otherwise(turned), one(ends, 5))
+        path = one(paths, 6)
+        for mark, text in (("{l}", one(LANGS, 7)), ("{n}", F.pmod(F.xxhash64(F.lit(seed), F.lit(8), "id"), F.lit(1000)).cast("string")), ("{w}", one(first, 9)), ("{v}", one(ALLOW_WORDS, 10))):
+            path = F.replace(path, F.lit(mark), text)
+        return spark.range(n).select(F.concat(F.lit("https://"), host, path).alias("url"), F.lit(float(label)).alias("label"))
+
+    rows = side(block, block, 1, ENDS, BLOCK_PATHS, 1, 30).union(side(block, allow, 1, ENDS, BLOCK_PATHS, 2, 20)).union(side(block, FILLERS, 1, ENDS, BLOCK_PATHS, 9, 20))
+    rows = rows.union(side(allow, FILLERS, 0, ENDS, ALLOW_PATHS, 10, 8))
+    for k, ends in enumerate((ENDS, SCHOLARLY)):
+        rows = rows.union(side(allow, allow, 0, ends, ALLOW_PATHS, 3 + k, 16)).union(side(alike, allow, 0, ends, ALLOW_PATHS, 5 + k, 16)).union(side(alike, alike, 0, ends, ALLOW_PATHS, 7 + k, 4))
+    draw = lambda k: F.element_at(F.array(*[F.lit(p) for p in PAIRS]), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(PAIRS))).cast("int") + 1)
+    parts = [draw(k) if k < 3 else F.when(F.pmod(F.xxhash64(F.lit(-k), "id"), F.lit(2)) == 0, draw(k)).otherwise(F.lit("")) for k in range(5)]
+    pick = lambda options, k: F.element_at(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(options))).cast("int") + 1)
+    made_up = F.concat(F.lit("https://"), pick(("", "", "www.", "m.", "blog."), 11), *parts, pick(ENDS, 12), F.lit("/"), pick(LANGS, 13), F.lit("/"), F.col("id") % 1000)
+    return rows.union(spark.range(MADE_UP).select(made_up.alias("url"), F.lit(0.0).alias("label")))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -93,7 +131,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], model: LogisticRegressionModel, threshold: float = 0.7) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], model: LogisticRegressionModel, threshold: float = 0.5) -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict, score``.
 
     ``score`` is the classifier's probability of "block" (it is computed for every row). A URL that is
