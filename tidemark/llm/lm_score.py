@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_type, in_fold, materialize, text_bytes
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BUCKET_ENTRIES = 1 << 20
 LOW_BITS = 38
 ALPHA = 0.1
@@ -355,7 +355,7 @@ def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
     most = {_WORDS: sizes.n_words, _PAIRS: sizes.n_tokens, _ENDINGS: sizes.n_rows, _TRIPLES: sizes.n_tokens}
     buckets = {kind: max(4, -(-n // BUCKET_ENTRIES)) for kind, n in most.items()}
     # as many partitions as there are buckets and blocks, so that a task holds a few of them at every size
-    asked = _requests(blocks, buckets).repartition(2 * sum(buckets.values()), "kind", "bucket")
+    asked = _requests(blocks, buckets).repartition(sum(buckets.values()), "kind", "bucket")
     schema = "kind int, bucket int, block long, others binary, stats array<struct<bin: int, n: long, total: long>>"
     answers = materialize(asked.groupBy("kind", "bucket").applyInArrow(_answer, schema), "answers")
     held = answers.where("stats is not null").select(F.inline("stats")).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
@@ -366,7 +366,7 @@ def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
     distinct = sum(r.n for r in by_kind[_WORDS].values()) + (sizes.n_texts > 0)
     model = (sizes.n_learn, distinct, sizes.n_texts, fitted(histories(_WORDS), once(_PAIRS, _ENDINGS)), fitted(histories(_PAIRS), once(_TRIPLES)))
     schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts = max(1, 2 * sizes.n_blocks)
+    parts = max(1, sizes.n_blocks)
     left = blocks.select("block", "doc_ids", "lens", "train", "ids", "words").repartition(parts, "block")
     right = answers.select("block", "kind", "bucket", "others").repartition(parts, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, model, buckets, id_type), schema)
