@@ -1,7 +1,7 @@
 """Set-style maintenance: every operator returns what stays, goes or is written, as a DataFrame.
 
 Filters and complements are single scans. Retention orders versions within a group by windows;
-merging removes duplicates by keys, and renumbers with a fold over each group's incoming rows only.
+merging removes duplicates by keys, and renumbers by running counts over each known group's incoming rows.
 """
 
 from __future__ import annotations
@@ -9,13 +9,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import doc_fingerprint, join_column, strip
 from tidemark.operators.filters import check_criterion, matches, matches_strictly
-from tidemark.runtime import ship_package
 
 #: Row ids that one task orders when pruning by size.
 PRUNE_BIN = 1 << 16
@@ -165,7 +163,6 @@ def merge(existing: DataFrame, incoming: DataFrame, origin: str, deduplicate: bo
     skipped. With ``reconcile`` a row of a known group that is not older than its newest gets the next
     revision, an older one the least revision less one (at least 1); each decides over the next.
     """
-    ship_package(existing.sparkSession)
     rows = incoming
     for name, value in (("user_id", user_id), ("project", project)):
         rows = rows if value is None else rows.withColumn(name, F.lit(value))
@@ -184,24 +181,23 @@ def merge(existing: DataFrame, incoming: DataFrame, origin: str, deduplicate: bo
 
 
 def _renumbered(existing: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of known groups numbered on: newer ones count up from the highest revision, older ones down from the least.
+
+    A row is newer if it is not older than its group's newest, stored or earlier in the merge. Rows of no
+    known group stand alone in the windows, so untagged rows never meet in one task.
+    """
     scope = ["s_user", "s_project", "s_entity"]
-    held = existing.select(*signature()[:3], "ts", "revision", F.col("entity").isNotNull().alias("tagged")).where("tagged")
+    held = existing.where(F.col("entity").isNotNull()).select(*signature()[:3], "ts", "revision")
     held = held.groupBy(*scope).agg(F.max("ts").alias("h_ts"), F.max("revision").alias("h_max"), F.min("revision").alias("h_min"))
-    touched = rows.join(held, scope, "left")
-    schema = touched.schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_id", kind="stable")
-        if group["entity"].isna().all() or group["h_max"].isna().all():
-            return group
-        latest, top, low = group["h_ts"].iloc[0], int(group["h_max"].iloc[0]), int(group["h_min"].iloc[0])
-        numbers = []
-        for ts in group["ts"]:
-            numbers.append(top + 1 if ts >= latest else max(1, low - 1))
-            latest, top, low = max(latest, ts), max(top, numbers[-1]), min(low, numbers[-1])
-        return group.assign(revision=pd.Series(numbers, index=group.index).astype("int32"))
-
-    return touched.groupBy(*scope).applyInPandas(fold, schema).drop("h_ts", "h_max", "h_min")
+    known = F.col("entity").isNotNull() & F.col("h_max").isNotNull()
+    touched = rows.join(held, scope, "left").withColumn("__alone", F.when(~known, F.col("row_id")))
+    by = Window.partitionBy(*scope, "__alone").orderBy("row_id")
+    before = F.max("ts").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    touched = touched.withColumn("__newer", (F.col("ts") >= F.greatest("h_ts", before)).cast("int"))
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newer, older = F.sum("__newer").over(so_far), F.sum(1 - F.col("__newer")).over(so_far)
+    number = F.when(F.col("__newer") == 1, F.col("h_max") + newer).otherwise(F.greatest(F.lit(1), F.col("h_min") - older))
+    return touched.withColumn("revision", F.when(known, number).otherwise(F.col("revision")).cast("int")).drop("h_ts", "h_max", "h_min", "__alone", "__newer")
 
 
 def update(facts: DataFrame, doc_id: str, text: str | None = None, metadata: dict | None = None, source: str | None = None, embed=None) -> DataFrame:

@@ -82,16 +82,18 @@ def intent_boost(entity: Column, names: list[str], weight: float = K.INTENT_BOOS
 
 
 def relevance_floor(rows: DataFrame, member: Column, delta: float = K.GROUP_FLOOR) -> DataFrame:
-    """Adds ``in_group``: members whose cosine is within ``delta`` of the best member's."""
-    best = F.max(F.when(member, F.col("cosine"))).over(Window.partitionBy())
-    return rows.withColumn("in_group", F.coalesce(member & (F.col("cosine") >= best - delta), F.lit(False)))
+    """Adds ``in_group``: members whose cosine is within ``delta`` of the best member's (one number, found first)."""
+    best = rows.agg(F.max(F.when(member, F.col("cosine"))).alias("best")).first().best
+    inside = F.lit(False) if best is None else F.coalesce(member & (F.col("cosine") >= best - delta), F.lit(False))
+    return rows.withColumn("in_group", inside)
 
 
-def lead(rows: DataFrame, winner: Column, group: Column, weight: float = K.REVISION_LEAD) -> DataFrame:
-    """Raises the winner's ``final`` to just above the best of its group, by at most ``weight``."""
-    top = F.max(F.when(group, F.col("final"))).over(Window.partitionBy())
-    lift = F.least(F.greatest(top - F.col("final") + K.LEAD_STEP, F.lit(0.0)), F.lit(weight))
-    return rows.withColumn("final", F.when(winner, F.col("final") + lift).otherwise(F.col("final")))
+def lead(rows: DataFrame, winner: Column, group: Column, weight: float = K.REVISION_LEAD, top: float | None = None) -> DataFrame:
+    """Raises the winner's ``final`` to just above the best of its group, by at most ``weight``. ``top``: that best, if it is known."""
+    if top is None:
+        top = rows.agg(F.max(F.when(group, F.col("final"))).alias("top")).first().top
+    lift = F.least(F.greatest(F.lit(top) - F.col("final") + K.LEAD_STEP, F.lit(0.0)), F.lit(weight))
+    return rows.withColumn("final", F.when(winner, F.col("final") + F.coalesce(lift, F.lit(0.0))).otherwise(F.col("final")))
 
 
 def cosine_window(rows: DataFrame, settings: Settings | None = None) -> list[dict]:
@@ -117,31 +119,46 @@ def cosine_window(rows: DataFrame, settings: Settings | None = None) -> list[dic
     return kept
 
 
-def top_entity(rows: DataFrame, intent: str | None, known: list[str], margin: float) -> str | None:
+def chosen_entity(best: str | None, top: float | None, mine: float | None, intent: str | None, known: list[str], margin: float) -> str | None:
     """The attribute the answer is about: the intent if the store holds it and it does not lose by more than the margin, else the best row's."""
-    best = F.max_by("entity", F.struct("final", (-F.col("row_id")).alias("r"))).alias("entity")
-    got = rows.agg(best, F.max("cosine").alias("top"), F.max(F.when(F.col("entity").isin(known), F.col("cosine"))).alias("mine") if known else F.lit(None).cast("double").alias("mine")).first()
     if intent and known:
-        if got.entity and got.entity != intent and got.mine is not None and got.top - got.mine > margin:
-            return got.entity
-        return intent
-    return got.entity or intent
+        return best if best and best != intent and mine is not None and top - mine > margin else intent
+    return best or intent
+
+
+def best_entity(score: Column) -> Column:
+    """The attribute of the best row, ties to the lower row id."""
+    return F.max_by("entity", F.struct(score.alias("s"), (-F.col("row_id")).alias("r")))
+
+
+def top_entity(rows: DataFrame, intent: str | None, known: list[str], margin: float) -> str | None:
+    """:func:`chosen_entity` over rows with ``final`` and ``cosine``, by one aggregate."""
+    mine = F.max(F.when(F.col("entity").isin(known), F.col("cosine"))) if known else F.lit(None).cast("double")
+    got = rows.agg(best_entity(F.col("final")).alias("entity"), F.max("cosine").alias("top"), mine.alias("mine")).first()
+    return chosen_entity(got.entity, got.top, got.mine, intent, known, margin)
 
 
 def rank(candidates: DataFrame, question: str, names: list[str], direction: str = "current", owners: frozenset[str] = frozenset(), settings: Settings | None = None) -> DataFrame:
-    """Adds ``final`` to masked candidates ``(row_id, cosine, base, entity, group_key, revision, ts, declared, source, text, embedding)``."""
+    """Adds ``final`` to masked candidates ``(row_id, cosine, base, entity, group_key, revision, ts, declared, source, text, embedding)``.
+
+    Everything that depends on all candidates is a scalar of one of at most four aggregates; no window
+    spans the candidates.
+    """
     s = settings or Settings()
     personal = bool(names)
     intent, known = intents_of(question, names, owners) if personal else (None, [])
     rows = candidates
-    if known:
-        best = rows.agg(F.max("cosine").alias("top"), F.max(F.when(F.col("entity").isin(known), F.col("cosine"))).alias("mine")).first()
-        if best.mine is not None and best.top - best.mine > s.intent_margin:
-            intent, known = None, []
-    rows = rows.withColumn("final", F.col("base") + intent_boost(F.col("entity"), known, s.intent_boost))
+    boosted = F.col("base") + intent_boost(F.col("entity"), known, s.intent_boost)
+    mine = F.max(F.when(F.col("entity").isin(known), F.col("cosine"))) if known else F.lit(None).cast("double")
+    # the best row with and without the boost: which of them counts is known only after the margin
+    first = rows.agg(F.max("cosine").alias("top"), mine.alias("mine"), best_entity(boosted).alias("with_boost"), best_entity(F.col("base")).alias("plain")).first()
+    best = first.with_boost
+    if known and first.mine is not None and first.top - first.mine > s.intent_margin:
+        intent, known, boosted, best = None, [], F.col("base"), first.plain
+    rows = rows.withColumn("final", boosted)
     if not personal and not A.is_explicit_history(direction):
         return rows
-    top = top_entity(rows, intent, known, s.intent_margin)
+    top = chosen_entity(best, first.top, first.mine, intent, known, s.intent_margin)
     members = A.matching_names(top, names)
     tagged = F.col("entity").isin(members) if members else F.lit(False)
     by_wording = A.temporal_question(question, direction, intent, personal)
@@ -154,32 +171,54 @@ def rank(candidates: DataFrame, question: str, names: list[str], direction: str
     historical, mode = A.resolve_direction(direction, question, s.historical_mode)
     if historical and not A.is_explicit_history(direction) and not personal:
         return rows
-    group = F.lit(False)
-    size = 0
+    group, state = F.lit(False), None
     if found.n:
         group = tagged & (F.col("cosine") >= found.best - s.group_floor)
         if by_wording and found.declared and found.keys == 1 and found.keyed == found.n:
             group = group | (tagged & (F.col("ts") == found.latest.ts) & (F.col("revision") == found.latest.revision))
-        size = rows.where(group).count() if found.n >= 2 else found.n
-    if intent and size:
+        state = group_state(rows.where(group))
+    if intent and state and state.n:
         rows = rows.withColumn("final", F.when(group, F.col("final") + s.group_hoist).otherwise(F.col("final")))
-    if size < 2:
+    if state is None or state.n < 2:
         window = [r["row_id"] for r in cosine_window(rows, s)]
         if len(window) < 2:
             return rows
         group = F.col("row_id").isin(window)
-    boost = F.max(F.when(group, F.col("final") - F.col("base"))).over(Window.partitionBy())
-    rows = rows.withColumn("final", F.when(group, F.col("base") + boost).otherwise(F.col("final")))
-    winner = winning_row(rows.where(group), historical, mode)
-    return lead(rows, F.col("row_id") == winner, group, s.revision_lead)
+        state = group_state(rows.where(group))
+        hoisted = 0.0
+    else:
+        hoisted = s.group_hoist if intent else 0.0
+    # every member gets the group's largest boost, so the best of the group is its best base raised by that
+    boost = state.boost + hoisted
+    rows = rows.withColumn("final", F.when(group, F.col("base") + F.lit(boost)).otherwise(F.col("final")))
+    winner = winning_row(rows.where(group), historical, mode, state)
+    return lead(rows, F.col("row_id") == winner, group, s.revision_lead, state.base + boost)
 
 
-def winning_row(group: DataFrame, historical: bool, mode: str) -> int:
+def group_state(group: DataFrame):
+    """One row about a group: ``n``, ``keys``, ``keyed``, its best ``base`` and its largest ``boost`` so far."""
+    return group.agg(F.count("*").alias("n"), F.count_distinct("group_key").alias("keys"), F.count("group_key").alias("keyed"), F.max("base").alias("base"), F.max(F.col("final") - F.col("base")).alias("boost")).first()
+
+
+#: Revisions that one task orders when a chain's agreement with time is checked.
+REVISION_BIN = 1 << 16
+
+
+def concordant(chain: DataFrame) -> bool:
+    """Whether time never runs backwards in the (revision, row_id) order of one chain, checked by ranges of revisions."""
+    part = F.floor(F.col("revision") / REVISION_BIN).alias("part")
+    place = F.struct("revision", "row_id")
+    rows = chain.select(part, "ts", "revision", "row_id")
+    rows = rows.withColumn("ok", F.coalesce(F.col("ts") >= F.lag("ts").over(Window.partitionBy("part").orderBy("revision", "row_id")), F.lit(True)))
+    parts = rows.groupBy("part").agg(F.bool_and("ok").alias("ok"), F.min_by("ts", place).alias("first_ts"), F.max_by("ts", place).alias("last_ts"))
+    joined = F.coalesce(F.col("first_ts") >= F.lag("last_ts").over(Window.orderBy("part")), F.lit(True))  # one row a range
+    return bool(parts.select((F.col("ok") & joined).alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok")).first().ok)
+
+
+def winning_row(group: DataFrame, historical: bool, mode: str, state=None) -> int:
     """The row id of the member asked for. Revisions count only within one key and where they agree with time."""
-    before = F.lag("ts").over(Window.partitionBy(F.lit(0)).orderBy("revision", "row_id"))
-    steps = group.select("row_id", "ts", "revision", "group_key", (F.col("ts") >= before).alias("ok"))
-    state = steps.agg(F.bool_and(F.coalesce("ok", F.lit(True))).alias("ok"), F.count_distinct("group_key").alias("keys"), F.count("group_key").alias("keyed"), F.count("*").alias("n")).first()
-    counted = F.col("revision") if state.ok and state.keys == 1 and state.keyed == state.n else F.lit(0)
+    state = state or group.agg(F.count_distinct("group_key").alias("keys"), F.count("group_key").alias("keyed"), F.count("*").alias("n")).first()
+    counted = F.col("revision") if state.keys == 1 and state.keyed == state.n and concordant(group) else F.lit(0)
     order = [counted, F.col("ts"), F.col("row_id")]
     if historical and mode != "previous":
         return group.orderBy(*[c.asc() for c in order]).select("row_id").first().row_id
@@ -192,6 +231,9 @@ def similarity(facts: DataFrame, leader: list[float], column: str = "embedding")
 
 
 def temporal_prior(rows: DataFrame, weight: float, historical: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Adds ``prior``: up to ``weight`` for the latest of the candidates by (revision, ts), or for the earliest. Off by default in :func:`rank`."""
-    place = F.percent_rank().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("revision", "ts"))
+    """Adds ``prior``: up to ``weight`` for the latest of the candidates by (revision, ts), or for the earliest. Off by default in :func:`rank`.
+
+    ``by`` names the columns of a question or chain within which places count (default: the chain).
+    """
+    place = F.percent_rank().over(Window.partitionBy(*(by or ["group_key"])).orderBy("revision", "ts"))
     return rows.withColumn("prior", weight * ((1 - place) if historical else place))

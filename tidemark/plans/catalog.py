@@ -72,11 +72,20 @@ def vec_topk_filtered(spark, sf_dir):
     return _shown(V.top_k(V.scored(rows, _q0(spark, sf_dir)), "cosine", K_BEST))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q),
+@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) AS n FROM s)
     SELECT qid, vec_id, round(c, 6) AS cosine, CAST(n AS INT) AS rank FROM r WHERE n <= 10""")
 def vec_topk_batch(spark, sf_dir):
-    best = V.batch_top_k(tables.vectors(spark, sf_dir), tables.query_vectors(spark, sf_dir, list(range(20))), K_BEST, "vec_id")
+    best = V.batch_top_k(tables.vectors(spark, sf_dir), tables.every_50th(spark, sf_dir), K_BEST, "vec_id")
+    return best.select("qid", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, embeddings q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) AS n FROM s)
+    SELECT qid, vec_id, round(c, 6) AS cosine, CAST(n AS INT) AS rank FROM r WHERE n <= 10""")
+def vec_neighbours_of_all(spark, sf_dir):
+    """Every row as a query, in blocks."""
+    best = V.batch_top_k(tables.vectors(spark, sf_dir), tables.query_vectors(spark, sf_dir), K_BEST, "vec_id")
     return best.select("qid", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
@@ -120,7 +129,10 @@ def vec_pages_topk(spark, sf_dir):
     return _shown(V.paged_top_k(tables.vectors(spark, sf_dir), _q0(spark, sf_dir), K_BEST, pages=K_BEST))
 
 
-@query()
+_HALF = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+
+
+@query(f"WITH h AS (SELECT vec_id, {_HALF} AS v FROM embeddings), s AS (SELECT vec_id, list_dot_product(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM h) SELECT vec_id, round(c, 6) AS cosine FROM s ORDER BY c DESC, vec_id LIMIT 10")
 def vec_half_precision_topk(spark, sf_dir):
     rows = tables.vectors(spark, sf_dir).withColumn("embedding", V.half_precision(F.col("embedding")))
     return _shown(V.top_k(V.scored(rows, _q0(spark, sf_dir)), "cosine", K_BEST))
@@ -414,7 +426,10 @@ def merge_dedup(spark, sf_dir):
     return maintain.merge(a, b, "other", deduplicate=True, reconcile=False).select("event_id")
 
 
-@query()
+@query(f"""WITH {_HALVES}, h AS (SELECT user_id, entity, max(ts) AS h_ts, max(revision) AS h_max, min(revision) AS h_min FROM a GROUP BY user_id, entity),
+    j AS (SELECT b.*, h_ts, h_max, h_min, greatest(h_ts, max(ts) OVER (PARTITION BY b.user_id, b.entity ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS latest FROM b LEFT JOIN h USING (user_id, entity)),
+    n AS (SELECT *, sum(CASE WHEN ts >= latest THEN 1 ELSE 0 END) OVER w AS newer, sum(CASE WHEN ts >= latest THEN 0 ELSE 1 END) OVER w AS older FROM j WINDOW w AS (PARTITION BY user_id, entity ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT event_id, user_id, entity, CAST(CASE WHEN h_max IS NULL THEN revision WHEN ts >= latest THEN h_max + newer ELSE greatest(1, h_min - older) END AS INT) AS revision FROM n""")
 def merge_reconcile(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
     return maintain.merge(a, b, "other").select("event_id", "user_id", "entity", "revision")
@@ -458,12 +473,12 @@ def interleave_rounds(spark, sf_dir):
     return search.interleave(hits, K_BEST).select("sub", "vec_id", "depth")
 
 
-@query("""WITH s AS (SELECT q.vec_id AS sub, max(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 40) q WHERE e.vec_id >= 40 GROUP BY 1)
+@query("""WITH s AS (SELECT q.vec_id AS sub, max(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id GROUP BY 1)
     SELECT sub FROM s WHERE c < 0.4""")
 def unanswered_clauses(spark, sf_dir):
-    rows, asked = tables.vectors(spark, sf_dir), list(range(40))
-    hits = V.batch_top_k(rows.where("vec_id >= 40"), tables.query_vectors(spark, sf_dir, asked), K_BEST, "vec_id", floor=0.4)
-    return search.unanswered(rows.where("vec_id < 40").select(F.col("vec_id").alias("sub")), hits.withColumnRenamed("qid", "sub"))
+    rows = tables.vectors(spark, sf_dir)
+    hits = V.batch_top_k(rows, tables.every_50th(spark, sf_dir), K_BEST, "vec_id", floor=0.4).where("qid <> vec_id")
+    return search.unanswered(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("sub")), hits.withColumnRenamed("qid", "sub"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM conversations),
@@ -473,23 +488,69 @@ def context_budget(spark, sf_dir):
     return search.context_budget(read(spark, sf_dir, "conversations"), 500, ["turn"], ["conv_id"]).select("conv_id", "turn", "n_words", F.col("words_before").cast("long").alias("words_before"))
 
 
-@query()
+#: A question's vector: the sum of the first two rows of label 3, so that two statements compete for it.
+_TWO = "(SELECT list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: p[1] + p[2]) FROM (SELECT embedding FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 1) a, (SELECT embedding FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 1 OFFSET 1) b)"
+_ROW0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+
+
+def _two(spark, sf_dir) -> list[float]:
+    rows = tables.vectors(spark, sf_dir).where("label = 3").orderBy("vec_id").limit(2).collect()
+    return [float(a) + float(b) for a, b in zip(rows[0].embedding, rows[1].embedding, strict=True)]
+
+
+def _facts_cosine_sql(vector: str) -> str:
+    return f"""q AS (SELECT {vector} AS v), f AS (SELECT vec_id AS row_id, 'shelf_' || chr(97 + label) AS entity, vec_id % 2 AS u, CAST(1.7e9 + vec_id * 3600 AS DOUBLE) AS ts,
+        CAST(row_number() OVER (PARTITION BY vec_id % 2, label ORDER BY vec_id) AS INT) AS revision, list_dot_product(embedding::DOUBLE[], v) / sqrt(list_dot_product(v, v)) AS c FROM embeddings, q),
+    n AS (SELECT *, lead(ts) OVER (PARTITION BY u, entity ORDER BY revision) AS after FROM f)"""
+
+
+def _search_sql(vector: str, intent: str | None, place: int, personal: bool = True) -> str:
+    """The ranking layer for a question whose intent is one stored attribute, or none; ``place`` 1 asks for the newest member, 2 for the one before.
+
+    Holds where the answer's group has two members, or where the cosine window has but one.
+    """
+    kept = f"(SELECT {'mine IS NULL OR top - mine <= ' + str(K.INTENT_MARGIN) if intent else 'false'} FROM t)"
+    mine = f"max(c) FILTER (entity = '{intent}')" if intent else "NULL"
+    return f"""WITH {_facts_cosine_sql(vector)}, m AS (SELECT * FROM n WHERE c >= 0), t AS (SELECT max(c) AS top, {mine} AS mine FROM m),
+    p AS (SELECT *, c + CASE WHEN {kept} AND entity = '{intent}' THEN {K.INTENT_BOOST} ELSE 0 END AS f0 FROM m),
+    e AS (SELECT CASE WHEN {kept} THEN '{intent}' ELSE arg_max(entity, (f0, -row_id)) END AS name FROM p),
+    l AS (SELECT max(c) AS best, count(DISTINCT u) AS keys, max((ts, revision)) AS latest FROM p, e WHERE entity = name),
+    g AS (SELECT p.*, entity = name AND (c >= best - {K.GROUP_FLOOR} OR (keys = 1 AND (ts, revision) = latest)) AS member FROM p, e, l),
+    z AS (SELECT count(*) FILTER (member) AS size, max(c) FILTER (member) AS base, max(f0 - c) FILTER (member) + CASE WHEN {kept} THEN {K.GROUP_HOIST} ELSE 0 END AS boost FROM g),
+    w AS (SELECT row_id AS winner FROM g WHERE member ORDER BY ts DESC, row_id DESC LIMIT 1 OFFSET {place - 1}),
+    r AS (SELECT g.*, CASE WHEN member AND size >= 2 THEN c + boost WHEN member AND {kept} THEN f0 + {K.GROUP_HOIST} ELSE f0 END AS f1, size, base + boost AS best_final FROM g, z),
+    x AS (SELECT r.*, f1 + CASE WHEN size >= 2 AND row_id = (SELECT winner FROM w) THEN least(greatest(best_final - f1 + {K.LEAD_STEP}, 0), {K.REVISION_LEAD}) ELSE 0 END AS score FROM r)
+    SELECT 'doc_' || row_id AS doc_id, 'statement ' || row_id AS text, round(score, 5) AS score, round(c, 5) AS cosine, ts, revision, after IS NOT NULL AS superseded, after AS superseded_at, row_id FROM x ORDER BY x.score DESC, row_id LIMIT 10"""
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "text", F.round("score", 5).alias("score"), F.round("cosine", 5).alias("cosine"), "ts", "revision", "superseded", "superseded_at", "row_id")
+
+
+@query(_search_sql(_TWO, "shelf_d", 1))
 def search_hits(spark, sf_dir):
-    return search.search(tables.facts_vec(spark, sf_dir), "what is my current label_3?", _q0(spark, sf_dir), K_BEST)
+    return _hits(search.search(tables.facts_vec(spark, sf_dir), "what is my current shelf d?", _two(spark, sf_dir), K_BEST))
 
 
-@query()
+@query(_search_sql(_ROW0, "shelf_d", 1))
+def search_margin(spark, sf_dir):
+    """The intent loses by more than the margin and is dropped."""
+    return _hits(search.search(tables.facts_vec(spark, sf_dir), "what is my current shelf d?", _q0(spark, sf_dir), K_BEST))
+
+
+@query(_search_sql(_TWO, None, 2))
 def search_previous(spark, sf_dir):
-    return search.search(tables.facts_vec(spark, sf_dir), "what was it", _q0(spark, sf_dir), K_BEST, direction="previous")
+    return _hits(search.search(tables.facts_vec(spark, sf_dir), "what was it", _two(spark, sf_dir), K_BEST, direction="previous"))
 
 
-@query()
+@query(f"""WITH {_facts_cosine_sql(_TWO)}, b AS (SELECT arg_max(entity, (c, -row_id)) AS name, arg_max(u, (c, -row_id)) AS own FROM n WHERE c >= 0)
+    SELECT row_id, entity, ts, revision, CAST(row_number() OVER (ORDER BY revision) AS INT) AS position, after IS NOT NULL AS superseded FROM n, b WHERE entity = name AND u = own""")
 def question_history(spark, sf_dir):
-    return search.history(tables.facts_vec(spark, sf_dir), "what has it been", _q0(spark, sf_dir)).select("row_id", "entity", "ts", "revision", "position", "superseded")
+    return search.history(tables.facts_vec(spark, sf_dir), "what has it been", _two(spark, sf_dir)).select("row_id", "entity", "ts", "revision", "position", "superseded")
 
 
 def _encoded(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = read(spark, sf_dir, "conversations")
     none = F.lit(None).cast("string")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat_ws("_", F.lit("doc"), "conv_id", "turn").alias("doc_id"), "text", F.lit("document").alias("source"), F.lit("{}").alias("metadata"), F.col("turn").cast("double").alias("ts"),
@@ -518,18 +579,18 @@ def _scored_facts(spark, sf_dir):
 @query(_RANK + " SELECT vec_id, round(c + CASE WHEN label IN (2, 4) THEN 0.25 ELSE 0 END, 6) AS score FROM s")
 def intent_boost(spark, sf_dir):
     rows = _scored_facts(spark, sf_dir)
-    return rows.select(F.col("row_id").alias("vec_id"), F.round(F.col("cosine") + ranking.intent_boost(F.col("entity"), ["label_2", "label_4"]), 6).alias("score"))
+    return rows.select(F.col("row_id").alias("vec_id"), F.round(F.col("cosine") + ranking.intent_boost(F.col("entity"), ["shelf_c", "shelf_e"]), 6).alias("score"))
 
 
 @query(_RANK + " SELECT vec_id FROM s WHERE label = 2 AND c >= (SELECT max(c) FROM s WHERE label = 2) - 0.06")
 def relevance_floor(spark, sf_dir):
-    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "label_2")
+    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "shelf_c")
     return rows.where("in_group").select(F.col("row_id").alias("vec_id"))
 
 
 @query(_RANK + ", g AS (SELECT *, label = 2 AND c >= (SELECT max(c) FROM s WHERE label = 2) - 0.3 AS m FROM s), w AS (SELECT max(vec_id) FILTER (m) AS win, max(c) FILTER (m) AS top FROM g) SELECT vec_id, round(CASE WHEN vec_id = win THEN c + least(greatest(top - c + 1e-6, 0), 0.6) ELSE c END, 6) AS score FROM g, w")
 def revision_lead(spark, sf_dir):
-    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "label_2", 0.3).withColumn("final", F.col("cosine"))
+    rows = ranking.relevance_floor(_scored_facts(spark, sf_dir), F.col("entity") == "shelf_c", 0.3).withColumn("final", F.col("cosine"))
     winner = rows.where("in_group").agg(F.max_by("row_id", F.struct("ts", "revision")).alias("w")).first().w
     led = ranking.lead(rows, F.col("row_id") == winner, F.col("in_group"))
     return led.select(F.col("row_id").alias("vec_id"), F.round("final", 6).alias("score"))
@@ -620,30 +681,53 @@ def _flag_sql(name: str, test: str) -> str:
     return f"CAST(CASE WHEN {test} THEN 1 ELSE 0 END AS DOUBLE) AS {name}"
 
 
-def _gate_sql() -> str:
+def _gate_columns() -> dict[str, str]:
+    """The surface features as SQL over the columns of :data:`_GATE_FROM`, by name."""
     listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words.split() if "'" not in w) + ")"
     count = lambda words: f"len(list_filter(w, lambda x: x IN {listed(words)}))"
     said = lambda phrase: f"len(regexp_extract_all(low, '{_sql_text(phrase)}'))"
     found = lambda name, pattern, fold="": _flag_sql(name, f"regexp_matches(t, '{fold}{_sql_text(pattern)}')")
     columns = [
-        "round(ln(1 + length(t)) / 5, 6) AS log_chars", "round(ln(1 + n_tokens) / 5, 6) AS log_tokens", "round(length(regexp_replace(t, '\\s', '', 'g')) / greatest(n_tokens, 1) / 10, 6) AS avg_token_len",
+        "ln(1 + length(t)) / 5 AS log_chars", "ln(1 + n_tokens) / 5 AS log_tokens", "length(regexp_replace(t, '\\s', '', 'g')) / greatest(n_tokens, 1) / 10 AS avg_token_len",
         _flag_sql("has_question_mark", "contains(t, '?')"), _flag_sql("ends_question", "suffix(t, '?')"), _flag_sql("opens_interrogative", f"w[1] IN {listed(K.OPEN_QUESTION)}"), _flag_sql("request_cue", f"w[1] IN {listed(K.OPEN_REQUEST)} OR contains(low, 'please')"),
-        f"round(({count(K.SECOND_WORDS)} + {said("you're")} + {said('youre')}) / n, 6) AS second_person_ratio", f"round(({count(K.FIRST_WORDS)} + {said("i'm")} + {said("i've")} + {said("i'll")}) / n, 6) AS first_person_ratio",
-        f"round({count('my our mine ours')} / n, 6) AS possessive_my_ratio", found("self_predicate", K.SELF_PREDICATE, "(?i)"), "round(len(regexp_extract_all(t, '\\d')) / greatest(length(t), 1), 6) AS digit_ratio",
+        f"({count(K.SECOND_WORDS)} + {said("you're")} + {said('youre')}) / n AS second_person_ratio", f"({count(K.FIRST_WORDS)} + {said("i'm")} + {said("i've")} + {said("i'll")}) / n AS first_person_ratio",
+        f"{count('my our mine ours')} / n AS possessive_my_ratio", found("self_predicate", K.SELF_PREDICATE, "(?i)"), "len(regexp_extract_all(t, '\\d')) / greatest(length(t), 1) AS digit_ratio",
         found("has_long_number", K.LONG_NUMBER), found("has_email", K.GATE_EMAIL), _flag_sql("has_url_or_ip", f"regexp_matches(t, '{K.GATE_URL}') OR regexp_matches(t, '{K.IP}')"), _flag_sql("has_year_or_date", f"regexp_matches(t, '{K.YEAR}') OR regexp_matches(t, '{K.NUMERIC_DATE}')"),
         found("has_clock_time", K.CLOCK, "(?i)"), _flag_sql("has_month_or_weekday", f"{count(K.CALENDAR)} > 0"), found("has_currency", K.CURRENCY, "(?i)"), found("has_measure_unit", K.UNIT, "(?i)"), _flag_sql("ack_opener", f"w[1] IN {listed(K.OPEN_ACK)}"), _flag_sql("exclamation", "contains(t, '!')"),
     ]
-    return f"""WITH s AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations), l AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '\\S+')) AS n_tokens FROM s),
-        v AS (SELECT *, regexp_extract_all(low, '\\p{{L}}+') AS w, greatest(len(regexp_extract_all(low, '\\p{{L}}+')), 1) AS n FROM l) SELECT conv_id, turn, {', '.join(columns)} FROM v"""
+    capital = "lambda x: regexp_matches(x, '^[A-Z][a-z]+$')"
+    lead_in = "'(?:^|[.!?]\\s+|\\n)\\s*([\\p{L}\\p{N}_]+)'"
+    columns.append(f"(len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), {capital})) - len(list_filter(regexp_extract_all(t, {lead_in}, 1), {capital}))) / n AS proper_noun_ratio")
+    return {c.rsplit(" AS ", 1)[1]: c.rsplit(" AS ", 1)[0] for c in columns}
+
+
+_GATE_FROM = """s AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations), l AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '\\S+')) AS n_tokens FROM s),
+    v AS (SELECT *, regexp_extract_all(low, '\\p{L}+') AS w, greatest(len(regexp_extract_all(low, '\\p{L}+')), 1) AS n FROM l)"""
+
+
+def _gate_sql() -> str:
+    return f"WITH {_GATE_FROM} SELECT conv_id, turn, {', '.join(f'round({c}, 6) AS {n}' for n, c in _gate_columns().items())} FROM v"
+
+
+def _decision_sql() -> str:
+    listed = lambda words: "(" + ", ".join(f"'{w}'" for w in words.split() if "'" not in w) + ")"
+    has = lambda pattern: f"regexp_matches(t, '(?i){_sql_text(pattern)}')"
+    columns = _gate_columns()
+    margin = " + ".join(f"({weight}) * least(greatest({columns[name]}, {low}), {high})" for name, weight, low, high in K.GATE)
+    first = "coalesce(w[1], '')"
+    short = f"len(w) BETWEEN 3 AND {K.SHORT_FACT_WORDS} AND NOT contains(t, '?') AND {first} NOT IN {listed(K.OPEN_ACK)} AND {first} NOT IN {listed(K.OPEN_REQUEST)} AND NOT contains(low, 'please') AND NOT {has(K.NOT_A_FACT)} AND {has(K.SHORT_FACT)}"
+    return f"""WITH {_GATE_FROM}, d AS (SELECT conv_id, turn, CASE WHEN length(t) < 3 OR NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN 'empty_or_too_short' WHEN {has(K.FORGET)} THEN 'explicit_forget_directive'
+        WHEN {has(K.REMEMBER)} THEN 'explicit_memory_directive' WHEN {short} THEN 'short_self_declarative_fact' END AS rule, CASE WHEN t = '' THEN 1 / (1 + exp(-({K.GATE_BIAS} + {' + '.join(f'({weight}) * least(greatest(0, {low}), {high})' for _, weight, low, high in K.GATE)}))) ELSE 1 / (1 + exp(-({K.GATE_BIAS} + {margin}))) END AS p FROM v)
+    SELECT conv_id, turn, coalesce(rule, 'learned_head') AS reason, round(p, 6) AS prob, CASE WHEN rule IS NULL THEN p >= {K.GATE_THRESHOLD} ELSE rule IN ('explicit_memory_directive', 'short_self_declarative_fact') END AS should_store FROM d"""
 
 
 @query(_gate_sql())
 def gate_features(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in gate.features(F.col("text")).items() if n != "proper_noun_ratio"])
+    return rows.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in gate.features(F.col("text")).items()])
 
 
-@query()
+@query(_decision_sql())
 def gate_decision(spark, sf_dir):
     return gate.decide(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "reason", F.round("prob", 6).alias("prob"), "should_store")
 
@@ -653,9 +737,9 @@ def chunk_text(spark, sf_dir):
     return tables.document_chunks(spark, sf_dir).select("doc_id", "text")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) BETWEEN 1 AND 500")
+@query()
 def join_chunks(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(T.word_count(F.col("text")).between(1, 500))
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", T.join_column(T.chunk_column(F.col("text"))).alias("text"))
 
 
@@ -673,7 +757,7 @@ def lexical_encode(spark, sf_dir):
 @query()
 def ingest_conversations(spark, sf_dir):
     none = F.lit(None).cast("string")
-    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = read(spark, sf_dir, "conversations")
     rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat_ws("_", F.lit("doc"), "conv_id", "turn").alias("doc_id"), "text", F.lit("chat").alias("source"), F.lit("{}").alias("metadata"), F.col("turn").cast("double").alias("ts"), F.col("conv_id").cast("string").alias("user_id"), none.alias("project"), none.alias("entity"))
     return ingest_batch(rows).select("row_id", "entity", "revision")
 

@@ -52,18 +52,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").withColumn("row_id", F.col("vec_id"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int, list[float]]]:
-    """A few rows' vectors as queries."""
-    got = vectors(spark, sf_dir).where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").orderBy("vec_id").collect()
+def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int] | None = None) -> list[tuple[int, list[float]]]:
+    """Rows' vectors as queries: those of a few ids, or all. Queries are held on the driver by their nature."""
+    rows = vectors(spark, sf_dir)
+    return _as_queries(rows if ids is None else rows.where(F.col("vec_id").isin(ids)))
+
+
+def every_50th(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
+    """The query set of batch searches: every row whose id is divisible by 50."""
+    return _as_queries(vectors(spark, sf_dir).where("vec_id % 50 = 0"))
+
+
+def _as_queries(rows: DataFrame) -> list[tuple[int, list[float]]]:
+    got = rows.select("vec_id", "embedding").orderBy("vec_id").collect()
     return [(r.vec_id, [float(x) for x in r.embedding]) for r in got]
 
 
 def facts_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as facts: the attribute is the label, a chain per label and id parity, time from the id."""
+    """Vectors as facts: the attribute is named by the label ("shelf_a" for 0), a chain per label and id parity, time from the id."""
     rows = vectors(spark, sf_dir)
     facts = rows.select(
         "row_id", F.concat(F.lit("doc_"), "vec_id").alias("doc_id"), F.concat(F.lit("statement "), "vec_id").alias("text"), F.lit("chat").alias("source"), F.lit("{}").alias("metadata"), (F.lit(1.7e9) + F.col("vec_id") * 3600).alias("ts"),
-        (F.col("vec_id") % 2).cast("string").alias("user_id"), F.lit(None).cast("string").alias("project"), F.concat(F.lit("label_"), "label").alias("entity"), F.lit(True).alias("declared"), "embedding",
+        (F.col("vec_id") % 2).cast("string").alias("user_id"), F.lit(None).cast("string").alias("project"), F.concat(F.lit("shelf_"), F.char(F.col("label") + 97)).alias("entity"), F.lit(True).alias("declared"), "embedding",
     )
     facts = with_group_key(facts)
     return facts.withColumn("revision", F.row_number().over(Window.partitionBy("group_key").orderBy("row_id")).cast("int"))
