@@ -85,3 +85,76 @@ def test_store_stream_reads_appends(spark, tmp_path):
     query = store.stream().groupBy("group_key").agg(F.count("*").alias("n")).writeStream.format("memory").queryName("seen").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.sql("SELECT sum(n) AS n FROM seen").first().n == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/two"
+    one, two = FactStore(spark, path), FactStore(spark, path)
+    one.append(facts(spark, [(k, f"t{k}") for k in range(6)]))
+    turns = []
+
+    def slow(rows):  # while this rewrite runs, another writer rewrites and appends
+        if not turns:
+            turns.append(1)
+            two.append(facts(spark, [(10, "late")]))
+            two.rewrite(lambda f: f.where("row_id <> 1"))
+            two.append(facts(spark, [(11, "later")]))
+        return rows.where("row_id <> 2")
+
+    one.rewrite(slow)
+    assert {r.row_id for r in one.facts().collect()} == {0, 3, 4, 5, 10, 11} == {r.row_id for r in two.facts().collect()}
+
+
+def test_appends_during_a_rewrite_are_carried(spark, tmp_path):
+    path = f"file://{tmp_path}/carry"
+    store, other = FactStore(spark, path), FactStore(spark, path)
+    store.append(facts(spark, [(0, "a"), (1, "b")]))
+    seen = store.state()
+
+    def change(rows):
+        other.append(facts(spark, [(7, "between")]))
+        return rows.where("row_id = 0")
+
+    store.rewrite(change)
+    assert sorted(r.row_id for r in store.facts().collect()) == [0, 7]
+    assert store.reload(seen)[0] == "replaced"
+    # an appender that began before the pointer moved carries its part itself
+    number, snapshot = store._head()
+    claim, heads = other._head, iter([(number, snapshot)])
+    other._head = lambda: next(heads, None) or claim()
+    store.rewrite(lambda f: f)
+    other.append(facts(spark, [(9, "old view")]))
+    assert sorted(r.row_id for r in store.facts().collect()) == [0, 7, 9]
+
+
+def test_reload_tells_what_is_new(spark, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}/reload")
+    store.append(facts(spark, [(0, "a")]))
+    seen = store.state()
+    assert store.reload(seen)[0] == "same"
+    store.append(facts(spark, [(1, "b")]))
+    kind, rows = store.reload(seen)
+    assert kind == "appended" and [r.row_id for r in rows.collect()] == [1]
+
+
+def test_held_rows_are_seen_and_flushed(spark, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}/held")
+    store.append(facts(spark, [(0, "a")]))
+    store.hold(facts(spark, [(1, "b")]))
+    assert store.count() == 2 and store.facts(pending=False).count() == 1 and FactStore(spark, store.path).count() == 1
+    store.flush()
+    assert store.facts(pending=False).count() == 2 == FactStore(spark, store.path).count()
+
+
+def test_batch_equals_the_fold(spark):
+    said = ["my phone is 1", "it is now 2", "his is 5", "that was mine", "the sea", "my sister's phone is 3", "it changed to 4", "mine is 9", "she moved", "it is red", "my car is a van", None]
+    rng = __import__("random").Random(2)
+    rows = [(k, f"d{k}", rng.choice(said), rng.choice(["chat", "chat", "book"]), "{}", float(k), rng.choice(["u", "v", None]), None, rng.choice([None] * 8 + ["My Pet"])) for k in range(300)]
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+    want = {}
+    for user in ("u", "v", None):
+        part = frame[frame.user_id.isna() if user is None else frame.user_id == user]
+        done, _ = ingest.tag(part, None)
+        want |= {r.row_id: (r.entity if isinstance(r.entity, str) else None, r.declared) for r in done.itertuples()}
+    got = {r.row_id: (r.entity, r.declared) for r in ingest.ingest_batch(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == want and sum(e is not None for e, _ in want.values()) > 50

@@ -200,6 +200,12 @@ def _renumbered(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return touched.withColumn("revision", F.when(known, number).otherwise(F.col("revision")).cast("int")).drop("h_ts", "h_max", "h_min", "__alone", "__newer")
 
 
+def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Adds ``row_id`` from ``start`` on, ascending in ``order``, with gaps: each partition of a range partition counts for itself."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.withColumn("row_id", F.monotonically_increasing_id() + F.lit(start))
+
+
 def update(facts: DataFrame, doc_id: str, text: str | None = None, metadata: dict | None = None, source: str | None = None, embed=None) -> DataFrame:
     """The table with the first row of an id patched: revision one up, time kept; a new text is embedded by ``embed(column)``."""
     first = facts.where(F.col("doc_id") == doc_id).agg(F.min("row_id").alias("__row"))

@@ -40,16 +40,45 @@ def tag(rows: pd.DataFrame, last: str | None, personal: frozenset[str] = frozens
     return rows.assign(entity=pd.Series(entities, index=rows.index, dtype=object), declared=declared), last
 
 
-def ingest_batch(rows: DataFrame, personal_sources: str = K.PERSONAL_SOURCES) -> DataFrame:
-    """Tags and numbers a whole table: one session a user, revisions by arrival within a group."""
-    ship_package(rows.sparkSession)
-    personal = frozenset(personal_sources.split())
+def _marks(personal: frozenset[str]):
+    """What each row says by itself: the attribute it names, whether it was given, and how it would bend an inherited one."""
+
+    @F.pandas_udf("name string, declared boolean, bend string")
+    def mark(text: pd.Series, source: pd.Series, entity: pd.Series) -> pd.DataFrame:
+        rows = []
+        for said, origin, given in zip(text, source, entity, strict=True):
+            given = A.normalize_entity(given) if isinstance(given, str) else ""
+            name, bend = given or None, None
+            if name is None and origin in personal:
+                name = A.detect_entity(said)
+                if name is None and A.is_pronoun_led(said):
+                    bend = "other" if A.is_third_party(said) else "own" if A.is_first_person(said) else "same"
+            rows.append((name, bool(given), bend))
+        return pd.DataFrame(rows, columns=["name", "declared", "bend"])
+
+    return mark
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        done, _ = tag(part.sort_values("row_id", kind="stable"), None, personal)
-        return done[[c.split()[0] for c in TAGGED.split(", ")]]
 
-    tagged = with_group_key(rows.select(*_IN).groupBy("user_id").applyInPandas(fold, TAGGED))
+def ingest_batch(rows: DataFrame, personal_sources: str = K.PERSONAL_SOURCES) -> DataFrame:
+    """Tags and numbers a whole table: one session a user, revisions by arrival within a group.
+
+    Each row is read once in Arrow batches. What a follow-up inherits is the user's last named attribute,
+    bent by the last follow-up since that spoke of oneself or of others: two running values of a
+    window, in the JVM, which spills where one user has very many rows.
+    """
+    ship_package(rows.sparkSession)
+    mark = _marks(frozenset(personal_sources.split()))("text", "source", "entity")
+    marked = rows.select(*_IN).withColumn("__m", mark)
+    so_far = Window.partitionBy("user_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = F.col("__m.name").isNotNull()
+    event = F.when(named, F.lit("named")).when(F.col("__m.bend").isin("other", "own"), F.col("__m.bend"))
+    marked = marked.withColumn("__last", F.last("__m.name", ignorenulls=True).over(so_far)).withColumn("__event", F.last(event, ignorenulls=True).over(so_far))
+    bare = F.regexp_replace("__last", "^" + K.THIRD_PARTY, "")
+    bent = F.when(F.col("__event") == "other", F.concat(F.lit(K.THIRD_PARTY), bare)).when(F.col("__event") == "own", bare).otherwise(F.col("__last"))
+    inherited = F.when(F.col("__m.bend").isNotNull(), F.nullif(bent, F.lit("")))
+    names = [c.split()[0] for c in TAGGED.split(", ")]
+    tagged = marked.withColumn("entity", F.coalesce("__m.name", inherited)).withColumn("declared", F.col("__m.declared")).select(names)
+    tagged = with_group_key(tagged)
     counted = F.row_number().over(Window.partitionBy("group_key").orderBy("row_id"))
     return tagged.withColumn("revision", F.when(F.col("group_key").isNull(), F.lit(1)).otherwise(counted).cast("int"))
 

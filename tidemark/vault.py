@@ -38,10 +38,12 @@ class Vault:
         self.add_batch(rows)
         return rows.select(T.doc_id(F.col("text")).alias("id")).first().id
 
-    def add_batch(self, rows: DataFrame) -> None:
+    def add_batch(self, rows: DataFrame, flush: bool = True) -> None:
         """Adds ``(text, source, metadata map, ts, user_id, project, entity)``: chunked, embedded, tagged and numbered.
 
-        Revisions continue those stored in each group. Row ids follow the stored ones.
+        Revisions continue those stored in each group. Row ids follow the stored ones in order of time,
+        text and chunk, with gaps. Without ``flush`` the rows are held in memory until :meth:`flush`:
+        searches see them, batch searches don't.
         """
         held = self.store.facts()
         parts = rows.withColumn("text", T.strip(F.col("text"))).where("text <> ''").withColumn("parent", T.doc_id(F.col("text"))).withColumn("sha", T.doc_fingerprint(F.col("text")))
@@ -50,35 +52,50 @@ class Vault:
         none = F.create_map().cast("map<string,string>")
         meta = F.to_json(F.map_concat(F.coalesce("metadata", none), F.when(F.col("n") > 1, chunk).otherwise(none)))
         name = F.when(F.col("n") > 1, F.concat("parent", F.lit("_chunk_"), "at")).otherwise(F.col("parent"))
-        # ids are dense per batch and follow the store's; batches are small next to the store
-        order = Window.orderBy("ts", "parent", "at")
-        top = held.agg(F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("top"))
-        plain = parts.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(order) - 1).alias("row_id"), name.alias("doc_id"), F.col("piece").alias("text"), "source", meta.alias("metadata"), "ts", "user_id", "project", "entity")
+        plain = parts.select(name.alias("doc_id"), F.col("piece").alias("text"), "source", meta.alias("metadata"), "ts", "user_id", "project", "entity", "parent", "at")
+        plain = maintain.numbered(plain, ["ts", "parent", "at"], self.store.next_row()).drop("parent", "at")
         done = ingest_batch(plain)
         known = revisions.group_extremes(held).select("group_key", "max_revision")
         done = done.join(known, "group_key", "left").withColumn("revision", (F.col("revision") + F.coalesce("max_revision", F.lit(0))).cast("int")).drop("max_revision")
-        self.store.append(done.withColumn("embedding", embed_column(F.col("text"), self.embedder)))
+        done = done.withColumn("embedding", embed_column(F.col("text"), self.embedder))
+        if flush:
+            self.store.append(done)
+        else:
+            self.store.hold(done.persist())
+
+    def flush(self) -> None:
+        self.store.flush()
 
     def ingest_directory(self, path: str, **options) -> int:
-        """Adds the text files under a folder as line windows; files whose content is stored already are skipped."""
+        """Adds the text files under a folder as line windows; how many rows the store then has.
+
+        Files whose content is stored already are skipped. New files are appended; only where a stored file has
+        changed is the store rewritten, without that file's old chunks.
+        """
         held = self.store.facts()
         files = read_directory(self.spark, path, **options)
         parent = F.concat(F.lit("doc_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 10))
         fresh = maintain.new_documents(files.withColumn("parent_id", parent), held).drop("parent_id", "sha")
-        chunks = file_chunks(fresh)
-        before = held.where(F.get_json_object("metadata", "$.file_path").isNotNull())
-        stale = before.join(chunks.select(F.get_json_object("metadata", "$.parent_id").alias("p")).distinct(), F.get_json_object("metadata", "$.parent_id") == F.col("p"), "left_semi")
-        kept = held.join(stale.select("row_id"), "row_id", "left_anti")
-        top = held.agg(F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("top"))
         none = F.lit(None).cast("string")
-        rows = chunks.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("doc_id")) - 1).alias("row_id"), "doc_id", "text", "source", "metadata", F.lit(time.time()).alias("ts"), F.lit(1).alias("revision"), none.alias("user_id"), none.alias("project"), none.alias("entity"), none.alias("group_key"), F.lit(False).alias("declared"), embed_column(F.col("text"), self.embedder).alias("embedding"))
-        names = [f.name for f in FACTS]
-        self.store.replace(kept.select(names).unionByName(rows.select(names)))
+        rows = maintain.numbered(file_chunks(fresh), ["doc_id"], self.store.next_row())
+        rows = rows.select("row_id", "doc_id", "text", "source", "metadata", F.lit(time.time()).alias("ts"), F.lit(1).alias("revision"), none.alias("user_id"), none.alias("project"), none.alias("entity"), none.alias("group_key"), F.lit(False).alias("declared"), embed_column(F.col("text"), self.embedder).alias("embedding"))
+        rows = rows.persist()
+        try:
+            parents = rows.select(F.get_json_object("metadata", "$.parent_id").alias("p")).distinct()
+            stale = (F.get_json_object("metadata", "$.file_path").isNotNull()) & (F.get_json_object("metadata", "$.parent_id") == F.col("p"))
+            if held.join(parents, stale, "left_semi").isEmpty():
+                if not rows.isEmpty():
+                    self.store.append(rows)
+            else:
+                names = [f.name for f in FACTS]
+                self.store.rewrite(lambda facts: facts.join(parents, stale, "left_anti").select(names).unionByName(rows.select(names)))
+        finally:
+            rows.unpersist()
         return self.store.count()
 
     def update(self, doc_id: str, **patch) -> None:
         embed = lambda text: embed_column(text, self.embedder)
-        self.store.replace(maintain.update(self.store.facts(), doc_id, embed=embed, **patch))
+        self.store.rewrite(lambda facts: maintain.update(facts, doc_id, embed=embed, **patch))
 
     def delete(self, **criteria) -> int:
         return self.store.delete(**criteria)
@@ -89,7 +106,7 @@ class Vault:
         facts = self.store.facts()
         gone = facts.where(F.col("text").isin(list(found))).count() if found else 0
         if gone:
-            self.store.replace(facts.where(~F.col("text").isin(list(found))))
+            self.store.rewrite(lambda facts: facts.where(~F.col("text").isin(list(found))))
         return gone
 
     def forget_superseded(self, **rules) -> DataFrame:
@@ -97,23 +114,23 @@ class Vault:
 
     def prune(self, **rules) -> int:
         """Drops old rows; the bytes of text freed."""
-        facts = self.store.facts()
-        dropped = maintain.prune(facts, rules.pop("now", time.time()), **rules)
+        now = rules.pop("now", time.time())
+        dropped = maintain.prune(self.store.facts(), now, **rules)
         freed = dropped.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         if freed:
-            self.store.replace(facts.join(dropped.select("row_id"), "row_id", "left_anti"))
+            self.store.rewrite(lambda facts: facts.join(maintain.prune(facts, now, **rules).select("row_id"), "row_id", "left_anti"))
         return freed
 
     def merge(self, other: Vault, **options) -> dict:
         return self.store.merge(other.store.facts(), other.store.path, **options)
 
     def unmerge(self, key: str, target: Vault | None = None) -> int:
-        match, rest = maintain.unmerge(self.store.facts(), key)
+        match, _ = maintain.unmerge(self.store.facts(), key)
         n = match.count()
         if n:
             if target is not None:
                 target.store.append(match)
-            self.store.replace(rest)
+            self.store.rewrite(lambda facts: maintain.unmerge(facts, key)[1])
         return n
 
     def export(self, target: Vault, **criteria) -> int:
@@ -132,7 +149,7 @@ class Vault:
         return {names[value]: n for value, n in counts.items()}
 
     def compact(self, partitions: int = 8, recluster: bool = False) -> None:
-        self.store.compact(partitions, V.cells(self.store.facts())[0] if recluster else None)
+        self.store.compact(partitions, (lambda facts: V.cells(facts)[0]) if recluster else None)
 
     # -- reads -------------------------------------------------------------------------------
     def get(self, doc_id: str) -> DataFrame:
@@ -155,7 +172,7 @@ class Vault:
 
     def search_batch(self, vectors: list, k: int = 3) -> DataFrame:
         units = [(i, V.checked_query(v)) for i, v in enumerate(vectors)]
-        return V.batch_top_k(self.store.facts(), [(i, u) for i, u in units if u], k)
+        return V.batch_top_k(self.store.facts(pending=False), [(i, u) for i, u in units if u], k)
 
     def search_multi(self, others: list[Vault], question: str, k: int = 3) -> DataFrame:
         unit = V.checked_query(self.embedder.embed(question))
@@ -202,4 +219,6 @@ class Vault:
         return "\n".join(lines)
 
     def close(self) -> None:
+        """Stores what is held and refuses further writes."""
+        self.store.flush()
         self.store.close()
