@@ -146,8 +146,10 @@ def rank(candidates: DataFrame, question: str, names: list[str], direction: str
     """
     s = settings or Settings()
     personal = bool(names)
-    intent, known = intents_of(question, names, owners) if personal else (None, [])
     rows = candidates
+    if not personal and not A.is_explicit_history(direction):
+        return rows.withColumn("final", F.col("base"))
+    intent, known = intents_of(question, names, owners) if personal else (None, [])
     boosted = F.col("base") + intent_boost(F.col("entity"), known, s.intent_boost)
     mine = F.max(F.when(F.col("entity").isin(known), F.col("cosine"))) if known else F.lit(None).cast("double")
     # the best row with and without the boost: which of them counts is known only after the margin
@@ -156,8 +158,6 @@ def rank(candidates: DataFrame, question: str, names: list[str], direction: str
     if known and first.mine is not None and first.top - first.mine > s.intent_margin:
         intent, known, boosted, best = None, [], F.col("base"), first.plain
     rows = rows.withColumn("final", boosted)
-    if not personal and not A.is_explicit_history(direction):
-        return rows
     top = chosen_entity(best, first.top, first.mine, intent, known, s.intent_margin)
     members = A.matching_names(top, names)
     tagged = F.col("entity").isin(members) if members else F.lit(False)

@@ -7,6 +7,8 @@ rows are shuffled. Ties go to the lower ``row_id`` everywhere.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -159,18 +161,32 @@ def screen_basis(facts: DataFrame, d_out: int, column: str = "embedding") -> np.
 
 
 def with_screen(facts: DataFrame, basis: np.ndarray, column: str = "embedding") -> DataFrame:
-    """Adds the screen of each row: ``head``, its projection, and ``rest``, the length of what the projection leaves."""
-    parts = [dot(F.col(column), literal_vector(basis[:, k])) for k in range(basis.shape[1])]
-    shaped = facts.withColumn("head", F.array(*parts))
-    return shaped.withColumn("rest", F.sqrt(F.greatest(dot(F.col(column), F.col(column)) - dot(F.col("head"), F.col("head")), F.lit(0.0))))
+    """Adds the screen of each row: ``head``, its projection, and ``rest``, the length of what the projection leaves.
+
+    One matrix product an Arrow batch; a null vector has a null screen.
+    """
+    held = facts.sparkSession.sparkContext.broadcast(basis)
+
+    @F.pandas_udf("head array<double>, rest double")
+    def screen(rows: pd.Series) -> pd.DataFrame:
+        known = rows.notna().to_numpy()
+        x = np.stack(rows[known].to_list()).astype(np.float64) if known.any() else np.zeros((0, held.value.shape[0]))
+        head = x @ held.value
+        rest = np.sqrt(np.maximum((x * x).sum(axis=1) - (head * head).sum(axis=1), 0.0))
+        found = iter(zip(head.tolist(), rest.tolist(), strict=True))
+        return pd.DataFrame([next(found) if k else (None, None) for k in known], columns=["head", "rest"])
+
+    shaped = facts.withColumn("__screen", screen(column))
+    return shaped.withColumn("head", F.col("__screen.head")).withColumn("rest", F.col("__screen.rest")).drop("__screen")
 
 
-def screened_top_k(screen: DataFrame, query, basis: np.ndarray, k: int, key: str = "row_id", column: str = "embedding", seed_rows: int = 128, slack: float = 1e-9) -> DataFrame:
+def screened_top_k(screen: DataFrame, query, basis: np.ndarray, k: int, key: str = "row_id", column: str = "embedding", seed_rows: int = 128, slack: float = 1e-9, most: float = 0.35) -> DataFrame:
     """Exact top-k through the screen.
 
     ``head . q_head + rest * |q_rest|`` bounds a row's cosine from above. The k-th exact cosine of the
     ``seed_rows`` rows with the best bounds is a floor for the answer, so rows bounded below it are
-    dropped before their whole vectors are read. The answer equals that of a full scan.
+    dropped before their whole vectors are read. Where more than the share ``most`` of the rows stays
+    above the floor, the screen spares nothing and all rows are scanned. The answer equals that of a full scan.
     """
     q = np.asarray(query, np.float64)
     head = basis.T @ q
@@ -179,15 +195,27 @@ def screened_top_k(screen: DataFrame, query, basis: np.ndarray, k: int, key: str
     seed = scored(bounded.orderBy(F.col("bound").desc(), F.col(key).asc()).limit(max(seed_rows, k)), query, column)
     # one number: the k-th best exact cosine of the seed
     kth = seed.orderBy(F.col("cosine").desc()).limit(k).agg(F.min("cosine").alias("floor"), F.count("*").alias("n")).first()
-    live = bounded.where(F.col("bound") >= kth.floor - slack) if kth.n == k else bounded
+    live = screen
+    if kth.n == k:
+        above = F.col("bound") >= kth.floor - slack
+        share = bounded.agg(F.avg(above.cast("double")).alias("share")).first().share
+        live = bounded.where(above) if share is not None and share <= most else screen
     return top_k(scored(live, query, column), "cosine", k, key).select(key, "cosine")
 
 
-def cells(facts: DataFrame, target: int = 25, seed: int = 7, iterations: int = 10, column: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """Rows with their ``cell``, and the cell centres, from spherical k-means with ceil(n / target) cells."""
+#: Cells at most: their centres are held on the driver and the beam is a list of them.
+MAX_CELLS = 4096
+#: Rows below which a scan is cheaper than a beam, and how many of an attribute's newest rows are always read.
+ROUTED_FROM, NEWEST = 50_000, 512
+#: The share of true neighbours that a beam must hold for a layout to be used.
+COVERAGE = 0.9
+
+
+def cells(facts: DataFrame, target: int = 25, seed: int = 7, iterations: int = 10, column: str = "embedding", most: int = MAX_CELLS) -> tuple[DataFrame, np.ndarray]:
+    """Rows with their ``cell``, and the cell centres, from spherical k-means with ceil(n / target) cells, at most ``most``."""
     n = facts.count()
     rows = facts.withColumn("__v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
-    model = KMeans(featuresCol="__v", predictionCol="cell", k=max(2, -(-n // target)), seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(rows)
+    model = KMeans(featuresCol="__v", predictionCol="cell", k=min(most, max(2, -(-n // target))), seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(rows)
     centres = np.array(model.clusterCenters())
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return model.transform(rows).drop("__v"), centres
@@ -199,20 +227,65 @@ def beam(centres: np.ndarray, query, share: float = 0.25, least: int = 4) -> lis
     return np.argsort(-(centres @ np.asarray(query)), kind="stable")[:width].tolist()
 
 
-def routed_top_k(celled: DataFrame, centres: np.ndarray, query, k: int, share: float = 0.25, key: str = "row_id", column: str = "embedding") -> DataFrame:
-    """Top-k over the beam's cells only (a partition filter where the table is laid out by ``cell``)."""
-    rows = celled if share >= 1 else celled.where(F.col("cell").isin(beam(centres, query, share)))
+def routed_top_k(celled: DataFrame, centres: np.ndarray, query, k: int, share: float = 0.25, key: str = "row_id", column: str = "embedding", newer: DataFrame | None = None) -> DataFrame:
+    """Top-k over the beam's cells only (a partition filter where the table is laid out by ``cell``) and all ``newer`` rows, which no cell holds."""
+    rows = celled.where(F.col("cell").isin(beam(centres, query, share))).select(key, column)
+    rows = rows if newer is None else rows.unionByName(newer.select(key, column))
     return top_k(scored(rows, query, column), "cosine", k, key).select(key, "cosine")
 
 
+def share_for(celled: DataFrame, centres: np.ndarray, coverage: float = COVERAGE, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), **options) -> float:
+    """The least of ``shares`` whose beams hold so many of the true neighbours of sampled rows."""
+    return next((s for s in shares if (nn_coverage(celled, centres, s, **options).first().coverage or 0.0) >= coverage), 1.0)
+
+
+@dataclass
+class Layout:
+    """A table laid out by cells: its rows with ``cell``, the centres, the highest key that it holds, and the beam's share."""
+
+    celled: DataFrame
+    centres: np.ndarray
+    top: int
+    share: float
+
+
+def layout(facts: DataFrame, key: str = "row_id", column: str = "embedding", coverage: float = COVERAGE, share: float = 0.25) -> Layout | None:
+    """Cells for a table, or None if a beam of ``share`` of them holds too few of the true neighbours."""
+    celled, centres = cells(facts, column=column)
+    if (nn_coverage(celled, centres, share, key=key, column=column).first().coverage or 0.0) < coverage:
+        return None
+    return Layout(celled, centres, celled.agg(F.max(key).alias("top")).first().top or 0, share)
+
+
+def mode(n: int, found: Layout | None, router: str = "auto", filtered: bool = False) -> str:
+    """``cells`` or ``scan``: cells only with a layout, an unfiltered question and, on ``auto``, a table large enough."""
+    if router not in ("auto", "on", "off"):
+        raise ValueError(f"router must be auto, on or off, not {router!r}")
+    if found is None or filtered or router == "off":
+        return "scan"
+    return "cells" if router == "on" or n > ROUTED_FROM else "scan"
+
+
+def auto_top_k(facts: DataFrame, found: Layout | None, query, k: int, router: str = "auto", filtered: bool = False, entities: list[str] | None = None, key: str = "row_id", column: str = "embedding") -> DataFrame:
+    """Top-k by the mode that fits: a scan, or a beam with all rows newer than the layout and the newest of the asked attributes."""
+    if mode(facts.count() if router == "auto" else 0, found, router, filtered) == "scan":
+        return top_k(scored(facts.select(key, column), query, column), "cosine", k, key).select(key, "cosine")
+    newer = facts.where(F.col(key) > found.top).select(key, column)
+    if entities:
+        newer = newer.unionByName(facts.where(F.col("entity").isin(entities)).orderBy(F.col(key).desc()).limit(NEWEST).select(key, column))
+    wide = routed_top_k(found.celled, found.centres, query, k + NEWEST, found.share, key, column, newer)
+    return top_k(wide.dropDuplicates([key]), "cosine", k, key)
+
+
 def recluster(celled: DataFrame, partitions: int, key: str = "row_id") -> DataFrame:
     """Rows laid out by cell, then key."""
     return celled.repartitionByRange(partitions, "cell", key).sortWithinPartitions("cell", key)
 
 
-def nn_coverage(celled: DataFrame, centres: np.ndarray, share: float, sample: int = 200, neighbours: int = 5, key: str = "row_id", column: str = "embedding") -> DataFrame:
-    """One row: the share of sampled rows' true nearest neighbours that lie in the cells of their beams."""
-    picked = [(r[key], list(r[column])) for r in celled.select(key, column).orderBy(F.xxhash64(F.col(key)), key).limit(sample).collect()]
+def nn_coverage(celled: DataFrame, centres: np.ndarray, share: float, sample: int = 200, neighbours: int = 5, key: str = "row_id", column: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """One row: the share of sampled rows' (or ``queries``') true nearest neighbours that lie in the cells of their beams."""
+    chosen = celled.orderBy(F.xxhash64(F.col(key)), key).limit(sample) if queries is None else queries
+    picked = [(r[key], list(r[column])) for r in chosen.select(key, column).collect()]
     near = batch_top_k(celled, picked, neighbours + 1, key, column).where(F.col("qid") != F.col(key))
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("n") <= neighbours)
     beams = celled.sparkSession.createDataFrame([(q, beam(centres, v, share)) for q, v in picked], "qid long, beam array<int>")

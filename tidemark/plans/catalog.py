@@ -146,8 +146,35 @@ def vec_cells_routed(spark, sf_dir):
 
 @query()
 def vec_nn_coverage(spark, sf_dir):
-    celled, centres = V.cells(tables.vectors(spark, sf_dir))
-    return V.nn_coverage(celled, centres, 0.25)
+    rows = tables.vectors(spark, sf_dir)
+    celled, centres = V.cells(rows)
+    return V.nn_coverage(celled, centres, 0.25, queries=rows.where("vec_id % 50 = 0"))
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def vec_cells_recall(spark, sf_dir):
+    """Every 50th row asks a beam wide enough for the coverage gate; its ten best are compared with those of a scan."""
+    rows = tables.vectors(spark, sf_dir)
+    celled, centres = V.cells(rows)
+    asked, share = tables.every_50th(spark, sf_dir), V.share_for(celled, centres, neighbours=K_BEST)
+    beams = spark.createDataFrame([(q, V.beam(centres, v, share)) for q, v in asked], "qid long, beam array<int>")
+    exact = V.batch_top_k(rows, asked, K_BEST, "vec_id").join(celled.select("vec_id", "cell"), "vec_id").join(F.broadcast(beams), "qid")
+    return exact.agg(F.countDistinct("qid").alias("n_queries"), (F.avg(F.array_contains("beam", F.col("cell")).cast("double")) >= V.COVERAGE).alias("recall_reached"))
+
+
+@query(_TOPK)
+def vec_auto_topk(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir)
+    return _shown(V.auto_top_k(rows, V.layout(rows), _q0(spark, sf_dir), K_BEST))
+
+
+@query(_TOPK)
+def vec_newer_rows_topk(spark, sf_dir):
+    """A layout that holds the older half of the table: the newer half is read besides."""
+    rows = tables.vectors(spark, sf_dir)
+    middle = rows.agg(F.max("vec_id").alias("top")).first().top // 2
+    celled, centres = V.cells(rows.where(F.col("vec_id") <= middle))
+    return _shown(V.auto_top_k(rows, V.Layout(celled, centres, middle, 1.0), _q0(spark, sf_dir), K_BEST, router="on"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings")
