@@ -246,7 +246,7 @@ def edit(a, b):
     return row[-1]
 
 
-def plain_lines(docs, min_words=3, near_words=8):
+def plain_lines(docs, min_words=1, near_words=8):
     seen, out = [], {}
     for i, text in sorted(docs):
         kept, exact, near = [], 0, 0
@@ -285,6 +285,10 @@ def test_line_dedup(spark):
     got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = plain_lines(docs)
     assert sum(n for _, _, n in want.values()) > 20 and got == want
+    # text ids are ordered as texts
+    named = [(f"d{i:03d}", t) for i, t in docs]
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+    assert got == {f"d{i:03d}": v for i, v in want.items()}
 
 
 def test_lines_one_edit_apart_share_a_half_and_a_variant():
@@ -441,6 +445,9 @@ def test_pii_base_spans_equal_the_patterns(tables, texts):
 
 def test_pii_anchors(spark):
     text = "Konto: DE89 3704 0044 0532 0130 00, account no 12345678, IBAN GB00 0000, http://bob:hunter2@host.org/x"
+    cased = "Social Security number: 078-05-1120, PASSPORT no C01X00T47 L898902C, Passport: AB123456; IBan de89370400440532013000"
+    found = pii.spans(cased, pii._automaton())
+    assert [cased[a:b] for a, b in found["account"]] == ["078-05-1120", "AB123456", "de89370400440532013000"]
     found = pii.spans(text, pii._automaton())
     assert [text[a:b] for a, b in found["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678"]
     assert [text[a:b] for a, b in found["login_url"]] == ["http://bob:hunter2@host.org"]

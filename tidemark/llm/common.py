@@ -21,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests) is one chosen here."""
+    """The folder that all executors share: the one that the session names.
+
+    Where it names none, a local session (as in tests) gets one; on a cluster a machine-local folder would
+    lose data, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tidemark")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -46,13 +52,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete what the operators of this application have written to the shared folder; call it once results are stored."""
-    folders = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    for folder in folders:
+def clear_scratch(spark: SparkSession, keep_last: int = 0) -> int:
+    """Delete what the operators of this application have written to the shared folder, but for the last ``keep_last`` folders.
+
+    Call it once results are stored.
+    """
+    folders = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    cut = len(folders) - keep_last
+    for folder in folders[:cut]:
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return len(folders)
+    _SCRATCH[spark.sparkContext.applicationId] = folders[cut:]
+    return cut
 
 
 def text_bytes(docs: DataFrame, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicate line removal by a deletion-neighbourhood join.
 
-A line is its words, A-Z lower-cased. Two lines are near if one edit of a word (replaced, added or
-taken out) makes them equal; lines of fewer than ``near_words`` words are compared exactly, lines of
-fewer than ``min_words`` words are left alone. Of lines that are equal or near, the earliest by
+A line is its words, A-Z lower-cased; lines without a word are left alone. Two lines are near if one edit
+of a word (replaced, added or taken out) makes them equal; for lines of fewer than ``near_words``
+words, of which one word is too large a part, the bound is no edit. Of lines that are equal or near, the earliest by
 ``(doc_id, line)`` stays: a line goes if an earlier line equals it or is within the bound of it.
 
 Equal lines collapse first, so everything after works on distinct lines. Each distinct line then
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import arrow_type, materialize
 from tidemark.runtime import ship_package
 
-MIN_WORDS = 3
+MIN_WORDS = 1
 NEAR_WORDS = 8
 _LAST = (1 << 63) - 1
+_LAST_TEXT = chr(0x10FFFF)
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
@@ -92,6 +93,7 @@ def _norm(line: bytes) -> list[bytes]:
 
 def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """``(row_key, ord, line, h, halves)`` of every line with at least ``min_words`` words."""
+    kind, ord_type = dict(rows.dtypes)["ord"], arrow_type(rows, "ord")
 
     def run(batches):
         for batch in batches:
@@ -108,13 +110,15 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
                             halves += half_keys(words)
                         sizes.append(len(halves))
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(halves, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ords, pa.int64()), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists], ["row_key", "ord", "line", "h", "halves"])
+            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves"])
 
-    return rows.mapInArrow(run, "row_key long, ord long, line int, h long, halves array<long>")
+    return rows.mapInArrow(run, f"row_key long, ord {kind}, line int, h long, halves array<long>")
 
 
 def _candidate_texts(rows: DataFrame) -> DataFrame:
     """``(h, ord, row_key, line, text)`` of the wanted lines of rows ``(row_key, ord, text, wanted)``."""
+    kinds = (pa.int64(), arrow_type(rows, "ord"), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches):
         for batch in batches:
@@ -125,9 +129,9 @@ def _candidate_texts(rows: DataFrame) -> DataFrame:
                     norm = b" ".join(_norm(lines[at]))
                     for col, value in zip(cols, (_hash(norm), ordinal, key, at, norm), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "ord", "row_key", "line", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ord", "row_key", "line", "norm"])
 
-    return rows.mapInArrow(run, "h long, ord long, row_key long, line int, norm binary")
+    return rows.mapInArrow(run, f"h long, ord {dict(rows.dtypes)['ord']}, row_key long, line int, norm binary")
 
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
@@ -192,8 +196,10 @@ def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row_key``, a hash of id and text, and ``ord``, the id's place (null: last)."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    """``docs`` with ``row_key``, a hash of id and text, and ``ord``, the id's place (null: last): a number, or a text in code point order."""
+    text_ids = dict(docs.dtypes)["doc_id"] == "string"
+    place = F.coalesce("doc_id", F.lit(_LAST_TEXT)) if text_ids else F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("ord", place)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:

@@ -35,8 +35,10 @@ _DIGIT = re.compile(r"[0-9]")
 _ACCOUNT = re.compile(r"[\s:#=\".-]{0,4}(?:no|nr|num|number)?[\s:#=\".]{0,4}([A-Za-z]{0,2}[0-9][0-9A-Za-z -]{4,38})", re.ASCII | re.IGNORECASE)
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[^\s/?#\"'<>]+", re.ASCII)
 
-#: Identifier cues (fixed values).
+#: Identifier cues (fixed values). Passport numbers are shorter and may begin with letters.
 CUES = ("account", "acct", "iban", "ssn", "social security", "routing", "passport", "konto", "kontonummer", "compte", "cuenta")
+_PASSPORT = re.compile(r"[\s:#=\".-]{0,4}(?:no|nr|num|number)?[\s:#=\".]{0,4}([A-Za-z]{0,2}[0-9]{6,9})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -44,8 +46,7 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("@", 1))
     found.add_word("://", ("://", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, (cue, len(cue)))
     found.make_automaton()
     return found
 
@@ -78,8 +79,10 @@ def _email(text: str, at: int, since: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
-def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The account number right after a cue that ends at ``at``: 8 to 17 digits, or an IBAN that checks."""
+def _account(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The number right after a cue that ends at ``at``: 8 to 17 digits, an IBAN that checks, or after its cue a passport's."""
+    if cue == "passport" and (found := _PASSPORT.match(text, at)):
+        return found.span(1)
     found = _ACCOUNT.match(text, at)
     if not found:
         return None
@@ -101,7 +104,8 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
     """Spans by kind in code points, end exclusive, in order; within a kind they don't overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*KINDS, *MORE_KINDS)}
     mail_end = account_end = login_end = 0
-    for last, (kind, size) in anchors.iter(text):
+    # A-Z lower-cased, one character for one, so that every way of writing a cue is found
+    for last, (kind, size) in anchors.iter(text.translate(_LOWER)):
         if kind == "@":
             if found := _email(text, last, mail_end):
                 out["email"].append(found)
@@ -118,7 +122,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
             before = last - size
             if before >= 0 and text[before].isalnum() or last + 1 <= account_end:
                 continue
-            if found := _account(text, last + 1):
+            if found := _account(text, last + 1, kind):
                 out["account"].append(found)
                 account_end = found[1]
     if _DIGIT.search(text):

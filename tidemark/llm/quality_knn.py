@@ -73,21 +73,28 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: int = SAMPLE, rank: int = RANK) -> Model:
-    """Learn from labelled rows outside the held-out fold, at most ``sample // 2`` of either label by a hash of the id."""
+    """Learn from labelled rows outside the held-out fold, at most ``sample // 2`` of either label by a hash of the id.
+
+    Null ids and labels are left out; of rows that repeat an id the one with the least text hash is used;
+    ids may be of any type.
+    """
     known = labels.where("doc_id is not null and quality is not null").where(~in_fold(F.col("doc_id"), modulus))
     one = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     part = lambda k: one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     picked = part(0).union(part(1))
     # bounded by ``sample`` ids, whatever the tables hold
-    rows = text_bytes(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "doc_id", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = text_bytes(rows.withColumn("place", F.xxhash64("doc_id")), "place", "label")
 
     def run(batches):
         terms = Terms()
         for batch in batches:
             found = [term_counts(t, terms) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in found], pa.binary())], ["doc_id", "label", "ids", "weights"])
+            ids, weights = (pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in ((0, "<i4"), (1, "<f4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, weights], ["place", "label", "ids", "weights"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, ids binary, weights binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = sorted(rows.mapInArrow(run, "place long, label int, ids binary, weights binary").collect(), key=lambda r: (r.place, r.label, bytes(r.ids)))
     n = len(got)
     x = np.zeros((n, TERMS), np.float32)
     for k, r in enumerate(got):
