@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
+from tidemark.llm import decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, shingles, simhash, url_filter
 from tidemark.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -299,7 +299,57 @@ def test_lines_one_edit_apart_share_a_half_and_a_variant():
         at = rng.randrange(len(b))
         rng.choice([lambda: b.insert(at, b"x"), lambda: b.__setitem__(at, b"y")])()
         assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
-        assert set(line_dedup.variants(a)) & set(line_dedup.variants(b)) and line_dedup.within_one(a, b) and edit(a, b) == 1
+        assert set(line_dedup.variants(a)) & set(line_dedup.variants(b)) and line_dedup.near(a, b) and edit(a, b) == 1
+
+
+def test_word_edit_distance_is_exact():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [b"%d" % rng.randrange(4) for _ in range(rng.randrange(0, 12))]
+        b = list(a) if rng.random() < 0.5 else [b"%d" % rng.randrange(4) for _ in range(rng.randrange(0, 12))]
+        for _ in range(rng.randrange(4)):
+            if b:
+                rng.choice([lambda: b.insert(rng.randrange(len(b)), b"x"), lambda: b.pop(rng.randrange(len(b))), lambda: b.__setitem__(rng.randrange(len(b)), b"y")])()
+        for most in range(5):
+            assert line_dedup.within(a, b, most) == (edit(a, b) <= most)
+
+
+def near_copy(rng, words, edits, vocabulary):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        rng.choice([lambda: words.insert(at, rng.choice(vocabulary)), lambda: words.pop(at), lambda: words.__setitem__(at, rng.choice(vocabulary))])()
+    return words
+
+
+def test_near_long_lines_share_a_key():
+    rng = random.Random(4)
+    for few in (3, 2000):  # also lines that repeat a few words over and over
+        vocabulary = [b"w%d" % k for k in range(few)]
+        for n in [*range(80, 130, 3), 200, 399, 401, 900, 6000]:
+            a = [rng.choice(vocabulary) for _ in range(n)]
+            b = near_copy(rng, a, line_dedup.bound(n), vocabulary)
+            if min(len(a), len(b)) >= line_dedup.LONG and line_dedup.near(a, b):
+                assert set(line_dedup.long_keys(a, {}).tolist()) & set(line_dedup.long_keys(b, {}).tolist()), n
+
+
+def test_long_lines_allow_more_edits(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "LATE_BLOCK", 3)  # so that several blocks are compared
+    monkeypatch.setattr(shingles, "ALL_BLOCK", 4)
+    monkeypatch.setattr(shingles, "PIVOTS", 1)
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(400)]
+    shared = rng.choices(vocabulary, k=60)
+    lines = []
+    for n in (80, 97, 120, 147, 300):
+        base = [*shared, *rng.choices(vocabulary, k=n - 60)]  # all begin with one passage
+        lines += [base, *(near_copy(rng, base, rng.randrange(1, line_dedup.bound(n) + 3), vocabulary) for _ in range(7))]
+    rng.shuffle(lines)
+    docs = [(k, " ".join(x) + "\nshort line") for k, x in enumerate(lines)]
+    ids, coded = range(len(lines)), [[w.encode() for w in x] for x in lines]
+    root = groups(ids, [(a, b) for a in ids for b in ids if a < b and (edit(coded[a], coded[b]) <= line_dedup.bound(max(len(coded[a]), len(coded[b]))))])
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k for k in ids if " ".join(lines[k]) in got[k]} == {k for k in ids if root[k] == k} and 5 <= len({*root.values()}) < len(lines) - 10
 
 
 def test_best_edit_is_exact():

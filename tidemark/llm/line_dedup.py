@@ -16,6 +16,16 @@ one whole line (equal lines have collapsed), which is compared with the least of
 each of those with it. No pairs are emitted within a key.
 Every line that met an earlier one is then verified against its text by word edit distance.
 
+The bound grows with a line: one word edit below ``2 * EDIT_WORDS`` words, then one for every ``EDIT_WORDS``.
+Deleting each choice of several words would give very many variants, so the neighbourhood of a long
+line is emitted by its parts: a line of N words with N / 40 edits keeps a run of 26 words at least
+without an edit. Winnowing (of every 14 neighbouring 13-word runs the one with the least hash) picks
+places by content alone, and any 26 words hold a whole choice, so two such lines share a key. Keys name the line's
+length to 5 %; of very long lines about ``LONG_KEYS`` keys are kept, again by hash. Lines that meet
+are verified by word edit distance; of long lines that are linked, directly or through others,
+the earliest stays. Within a key all are compared with a few members and only what that leaves
+unconnected in blocks (:mod:`tidemark.llm.shingles`).
+
 Emitting a variant per word for a whole corpus would cost as many rows as it has words. A lossless
 test spares lines that cannot have a partner: of two lines one word edit apart, either the first half
 or the rest is untouched, so lines whose halves (4 keys a line) no other line shares emit nothing.
@@ -23,6 +33,8 @@ or the rest is untouched, so lines whose halves (4 keys a line) no other line sh
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,11 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import shingles
 from tidemark.llm.common import arrow_type, materialize
 from tidemark.runtime import ship_package
 
 MIN_WORDS = 1
 NEAR_WORDS = 8
+#: Words of a line for each edit, and of the runs and windows that choose a long line's keys.
+EDIT_WORDS = 40
+RUN, CHOICE = 13, 14
+LONG_KEYS = 64
 _LAST = (1 << 63) - 1
 _LAST_TEXT = chr(0x10FFFF)
 
@@ -75,29 +92,89 @@ def variants(words: list[bytes]) -> list[int]:
     return out
 
 
-def within_one(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether the word edit distance is at most one."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def bound(words: int) -> int:
+    """The edits within which a line of so many words is near a shorter one or an equally long one."""
+    return max(1, words // EDIT_WORDS)
+
+
+#: Lines from here on may be near to one with a bound of two edits.
+LONG = 2 * EDIT_WORDS - 2
+
+
+def within(a: list[bytes], b: list[bytes], most: int) -> bool:
+    """Whether the word edit distance is at most ``most``: furthest reach along each diagonal, edit by edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return False
-    at = 0
-    while at < len(a) and a[at] == b[at]:
-        at += 1
-    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :]
+    none = -(n + m) - 2
+    reach: dict[int, int] = {}
+    for edits in range(most + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            at = max(reach.get(d - 1, none), reach.get(d, none) + 1, reach.get(d + 1, none) + 1) if edits else 0
+            at = min(at, n, m - d)
+            if at < max(0, -d):
+                continue
+            while at < n and at + d < m and a[at] == b[at + d]:
+                at += 1
+            if d == m - n and at == n:
+                return True
+            now[d] = at
+        reach = now
+    return False
+
+
+def near(a: list[bytes], b: list[bytes]) -> bool:
+    return within(a, b, bound(max(len(a), len(b))))
+
+
+def long_keys(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Keys of a line of at least ``LONG`` words, of which two near lines share at least one."""
+    if len(known) > 400_000:
+        known.clear()
+    codes = np.array([known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
+    runs = np.zeros(len(codes) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(runs)]
+    runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    runs ^= runs >> np.uint64(32)
+    chosen = np.unique(np.lib.stride_tricks.sliding_window_view(runs, CHOICE).min(axis=1))
+    # near lines differ by 2.5 % in length, so of two neighbouring steps of 5 % they share one
+    step = int(math.log(len(words)) / math.log(1.05))
+    out = []
+    for band in (step, step + 1):
+        expected = 2 * 1.05**band / (CHOICE + 1)
+        limit = np.uint64(min(1.0, LONG_KEYS / expected) * ((1 << 64) - 1025))
+        kept = chosen[chosen <= limit] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band)
+        out.append((kept ^ (kept >> np.uint64(29))).view(np.int64))
+    return np.unique(np.concatenate(out))
+
+
+def word_tokens(words: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the words, each occurrence of a word as a value of its own."""
+    seen: dict[bytes, int] = {}
+    out = np.empty(len(words), np.uint64)
+    for k, w in enumerate(words):
+        n = seen[w] = seen.get(w, -1) + 1
+        out[k] = xxhash.xxh64_intdigest(w, n)
+    return np.sort(out)
 
 
 def _norm(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+_NONE = np.empty(0, np.int64)
+
+
 def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """``(row_key, ord, line, h, halves)`` of every line with at least ``min_words`` words."""
+    """``(row_key, ord, line, h, halves, parts)`` of every line with at least ``min_words`` words; ``parts`` are a long line's keys."""
     kind, ord_type = dict(rows.dtypes)["ord"], arrow_type(rows, "ord")
 
     def run(batches):
+        known: dict[bytes, int] = {}
         for batch in batches:
-            keys, ords, lines, hashes, halves, sizes = [], [], [], [], [], [0]
+            keys, ords, lines, hashes, halves, sizes, parts = [], [], [], [], [], [0], []
             for key, ordinal, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 for at, line in enumerate(text.split(b"\n")):
                     words = _norm(line)
@@ -106,14 +183,15 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
                         ords.append(ordinal)
                         lines.append(at)
                         hashes.append(_hash(b" ".join(words)))
-                        if len(words) >= near_words:
+                        if near_words <= len(words) < 2 * EDIT_WORDS:
                             halves += half_keys(words)
                         sizes.append(len(halves))
+                        parts.append(long_keys(words, known) if len(words) >= LONG else _NONE)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(halves, pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves"])
+            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists, pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves", "parts"])
 
-    return rows.mapInArrow(run, f"row_key long, ord {kind}, line int, h long, halves array<long>")
+    return rows.mapInArrow(run, f"row_key long, ord {kind}, line int, h long, halves array<long>, parts array<long>")
 
 
 def _candidate_texts(rows: DataFrame) -> DataFrame:
@@ -158,41 +236,73 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     rows = _keyed(docs).select("row_key", "ord", F.col("text").cast("binary").alias("text")).where("text is not null")
     sigs = materialize(signatures(rows, min_words, near_words), "signatures")
     place = F.struct("ord", "row_key", "line")
-    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves")), "classes")
+    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts")), "classes")
     # a half is shared if two different lines have it; sums of bare hashes are all that is shuffled here
     halves = classes.where(F.size("halves") > 0).select("h", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("h").distinct()
+    met = materialize(shingles.meetings(classes.where(F.size("parts") > 0).select(F.col("h").alias("sig"), F.explode("parts").alias("key"))), "met_long")
+    wanted = halves.join(shared, "half", "left_semi").select("h").union(met.select("sig")).distinct()
     by_row = classes.select("h", "first").join(wanted, "h", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
     lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines")
     # so too for the variants: the few keys that two lines share are found first, then who has them
-    cloud = _neighbourhoods(lines)
+    cloud = _neighbourhoods(lines.where(~_is_long()))
     common = cloud.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
     cloud = materialize(cloud.join(common, "key", "left_semi").join(lines.select("h", place.alias("place")), "h"), "met")
     one = F.struct("place", "h")
     keys = cloud.groupBy("key").agg(F.min(F.when(F.col("whole"), one)).alias("line_itself"), F.min(F.when(~F.col("whole"), one)).alias("least"))
     partner = F.when(~F.col("whole") & F.col("line_itself").isNotNull(), F.col("line_itself")).otherwise(F.col("least"))
-    met = cloud.join(keys, "key").select("h", "place", partner.alias("partner"))
-    met = met.where(F.col("partner.place") < F.col("place")).select("h", F.col("partner.h").alias("other")).distinct()
-    near = materialize(_verified(met, lines), "near")
-    flagged = sigs.select("row_key", "ord", "line", "h").join(classes.select("h", "first"), "h").join(near, "h", "left")
+    short = cloud.join(keys, "key").select("h", "place", partner.alias("partner"))
+    short = short.where(F.col("partner.place") < F.col("place")).select("h", F.col("partner.h").alias("other")).distinct()
+    late = materialize(_verified(short, lines).select("h").union(_late_long(met, lines, place)).distinct().withColumn("near", F.lit(True)), "near")
+    flagged = sigs.select("row_key", "ord", "line", "h").join(classes.select("h", "first"), "h").join(late, "h", "left")
     first = F.struct("ord", "row_key", "line") == F.col("first")
     reason = F.when(~first, F.lit("exact")).when(F.col("near"), F.lit("near"))
     return flagged.select("row_key", "ord", "line", reason.alias("reason")).where("reason is not null")
 
 
+def _is_long():
+    """Whether a normalised line is compared by its parts only."""
+    return F.size(F.split(F.col("norm").cast("string"), " ")) >= 2 * EDIT_WORDS
+
+
 def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(h, near)`` of lines whose text is within one word edit of the earlier line that they met."""
+    """The pairs ``(h, other)`` whose lines are near each other."""
     texts = lines.select("h", "norm")
-    pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("other_norm")), "other").select("h", "norm", "other_norm")
+    pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("other_norm")), "other").select("h", "other", "norm", "other_norm")
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = pa.array([near(x.split(b" "), y.split(b" ")) for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["h", "other"]).filter(keep)
+
+    return pairs.mapInArrow(run, "h long, other long")
+
+
+def _late_long(met: DataFrame, lines: DataFrame, place) -> DataFrame:
+    """``(h)`` of the long lines that are linked to an earlier one."""
+    long = lines.join(met.select(F.col("sig").alias("h")).distinct(), "h", "left_semi")
 
     def run(batches):
+        known: dict[bytes, int] = {}
         for batch in batches:
-            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keep = pa.array([within_one(x.split(b" "), y.split(b" ")) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["h"])
+            words = [x.split(b" ") for x in batch.column(1).to_pylist()]
+            found, keys = [word_tokens(w).tobytes() for w in words], [long_keys(w, known).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(keys, pa.binary())], ["sig", "norm", "found", "keys"])
+
+    sets = materialize(long.select("h", "norm").mapInArrow(run, "sig long, norm binary, found binary, keys binary"), "long")
+
+    def pivoted(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs.select(F.col("a").alias("h"), F.col("b").alias("other")), lines).select(F.col("h").alias("a"), F.col("other").alias("b"))
+
+    def enough(size, sizes, both):  # an edit spoils one word of the longer line at most
+        most = np.maximum(size, sizes)
+        return both >= most - np.maximum(1, most // EDIT_WORDS)
 
-    return pairs.mapInArrow(run, "h long").distinct().withColumn("near", F.lit(True))
+    roots = shingles.linked(met, sets, pivoted, enough, lambda a, b: near(a.split(b" "), b.split(b" ")))
+    placed = roots.join(long.select(F.col("h").alias("node"), place.alias("place")), "node")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    return placed.join(first, "root").where(F.col("place") > F.col("first")).select(F.col("node").alias("h"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -88,14 +88,14 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """``(sig, found, bands)`` of rows ``(sig, text)``: the shingles and the keys as bytes."""
+    """``(sig, found, keys)`` of rows ``(sig, text)``: the shingles and the keys as bytes."""
 
     def run(batches):
         for batch in batches:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([band_keys(f).tobytes() for f in found], pa.binary())], ["sig", "found", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([band_keys(f).tobytes() for f in found], pa.binary())], ["sig", "found", "keys"])
 
-    return rows.mapInArrow(run, "sig long, found binary, bands binary")
+    return rows.mapInArrow(run, "sig long, found binary, keys binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -111,7 +111,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _met(keys: DataFrame) -> DataFrame:
+def meetings(keys: DataFrame) -> DataFrame:
     """``(key, sig, pivots)`` of the keys that several sets share, with ``PIVOTS`` members of the key chosen by hash."""
     place = lambda turn: F.struct(F.xxhash64(F.lit(turn), "key", "sig").alias("at"), F.col("sig"))
     pivots = [F.min(place(turn)).alias(f"p{turn}") for turn in range(PIVOTS)]
@@ -121,7 +121,7 @@ def _met(keys: DataFrame) -> DataFrame:
     return keys.join(shared.select("key", chosen.alias("pivots")), "key").select("key", "sig", "pivots")
 
 
-def _stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
+def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
     """``(key, sig, root, late, n_late, n_all)`` of keys whose members are not all connected.
 
     ``late`` marks the members outside the key's commonest root. Every pair that is not connected has
@@ -134,12 +134,32 @@ def _stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(of_key, "key").select("key", "sig", "root", (F.col("root") != F.col("main")).alias("late"), "n_late", "n_all")
 
 
-def _compared(open_: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+def overlaps(found: list[np.ndarray], asks: np.ndarray):
+    """For each member that does not ask: its place and how many values it shares with each member that asks.
+
+    ``found`` are sorted arrays of distinct values. One search a member, against the values of all askers.
+    """
+    left = np.flatnonzero(asks)
+    sizes = np.array([len(found[k]) for k in left], np.int64)
+    members = np.concatenate([found[k] for k in left]) if len(left) else np.empty(0, np.uint64)
+    owners = np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(members, kind="stable")
+    members, owners = members[order], owners[order]
+    for k in np.flatnonzero(~asks).tolist():
+        low, high = np.searchsorted(members, found[k], "left"), np.searchsorted(members, found[k], "right")
+        hit = np.flatnonzero(high > low)
+        spans = [owners[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]
+        yield k, left, sizes, np.bincount(np.concatenate(spans), minlength=len(left)) if spans else np.zeros(len(left), np.int64)
+
+
+def compared(open_: DataFrame, sets: DataFrame, similar_sizes, verified=None) -> DataFrame:
     """The similar pairs ``(a, b)`` of unconnected members of a key, by blocks of late members against blocks of all.
 
-    No pair is emitted before it is verified: a block holds at most about ``LATE_BLOCK`` late members and
+    ``sets`` has ``(sig, found, keys)`` and a column ``norm`` if ``verified`` is given. A pair passes where
+    ``similar_sizes(size, sizes, shared)`` holds for its numbers of values, and ``verified(norm, norm)`` then.
+    No pair is emitted before that: a block holds at most about ``LATE_BLOCK`` late members and
     ``ALL_BLOCK`` others, whatever the key's size. A pair that shares several keys is compared in the
-    first of them only.
+    least of them only.
     """
     late_blocks = F.ceil(F.col("n_late") / LATE_BLOCK).cast("int")
     all_blocks = F.ceil(F.col("n_all") / ALL_BLOCK).cast("int")
@@ -151,34 +171,42 @@ def _compared(open_: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
     def run(block: pa.Table) -> pa.Table:
         key = block.column("key")[0].as_py()
-        asks = np.array(block.column("asks").to_pylist(), bool)
+        asks, late = (np.array(block.column(c).to_pylist(), bool) for c in ("asks", "late"))
         sig, root = (block.column(c).to_numpy() for c in ("sig", "root"))
-        late = np.array(block.column("late").to_pylist(), bool)
         found = [np.frombuffer(x, np.uint64) for x in block.column("found").to_pylist()]
-        bands = np.stack([np.frombuffer(x, np.int64) for x in block.column("bands").to_pylist()])
-        left = np.flatnonzero(asks)
-        sizes = np.array([len(found[k]) for k in left], np.int64)
-        members = np.concatenate([found[k] for k in left]) if len(left) else np.empty(0, np.uint64)
-        owners = np.repeat(np.arange(len(left)), sizes)
-        order = np.argsort(members, kind="stable")
-        members, owners = members[order], owners[order]
+        keys = [np.frombuffer(x, np.int64) for x in block.column("keys").to_pylist()]
+        norms = block.column("norm").to_pylist() if verified else None
         out: list[tuple[int, int]] = []
-        for k in np.flatnonzero(~asks).tolist():
-            low, high = np.searchsorted(members, found[k], "left"), np.searchsorted(members, found[k], "right")
-            hit = np.flatnonzero(high > low)
-            spans = [owners[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]
-            both = np.bincount(np.concatenate(spans), minlength=len(left)) if spans else np.zeros(len(left), np.int64)
-            fits = (least.denominator * both >= least.numerator * (sizes + len(found[k]) - both)) & (root[left] != root[k])
-            for j in np.flatnonzero(fits).tolist():
+        for k, left, sizes, both in overlaps(found, asks):
+            for j in np.flatnonzero(similar_sizes(len(found[k]), sizes, both) & (root[left] != root[k])).tolist():
                 a = int(left[j])
-                # both late: seen from either side, kept from one; and only in the first key that they share
-                if (not late[k] or sig[a] < sig[k]) and bands[a][np.argmax(bands[a] == bands[k])] == key:
+                # both late: seen from either side, kept from one; and only in the least key that they share
+                if late[k] and sig[a] > sig[k] or np.intersect1d(keys[a], keys[k]).min() != key:
+                    continue
+                if verified is None or verified(norms[a], norms[k]):
                     out.append((int(sig[a]), int(sig[k])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return rows.groupBy("key", "late_block", "all_block").applyInArrow(run, "a long, b long")
 
 
+def linked(met: DataFrame, sets: DataFrame, pivoted, similar_sizes, verified=None) -> DataFrame:
+    """``(node, root)`` of members of shared keys that are linked, directly or through others.
+
+    ``pivoted(pairs)`` gives those of the pairs ``(a, b)`` of members and pivots that are similar; members
+    that these leave unconnected are :func:`compared`.
+    """
+    offered = met.select("sig", F.explode("pivots").alias("pivot")).where("pivot <> sig")
+    offered = offered.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    first = materialize(pivoted(offered), "first")
+    roots = materialize(components(first), "roots")
+    open_ = materialize(stragglers(met, roots), "open")
+    if open_.isEmpty():
+        return roots
+    second = materialize(compared(open_, sets, similar_sizes, verified), "second")
+    return roots if second.isEmpty() else components(first.union(second))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """One row per input row: ``doc_id, component_id``.
 
@@ -190,20 +218,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     rows = text_bytes(keyed, "row_key", "doc_id")
     sigs = materialize(_signatures(rows, size), "signatures")
     keys = sigs.groupBy("sig").agg(F.first("keys").alias("keys")).select("sig", F.explode("keys").alias("key"))
-    met = materialize(_met(keys), "met")
+    met = materialize(meetings(keys), "met")
     owners = sigs.join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key"))
     sets = rows.join(owners, "row_key").dropDuplicates(["sig"]).select("sig", "text")
     sets = materialize(_sets(sets, size), "sets")
-    offered = met.select("sig", F.explode("pivots").alias("pivot")).where("pivot <> sig")
-    offered = offered.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-    first = materialize(_verified(offered, sets, least), "first")
-    roots = materialize(components(first), "roots")
-    open_ = materialize(_stragglers(met, roots), "open")
-    joined = roots
-    if not open_.isEmpty():
-        second = materialize(_compared(open_, sets, least), "second")
-        if not second.isEmpty():
-            joined = components(first.union(second))
+    enough = lambda size, sizes, both: least.denominator * both >= least.numerator * (sizes + size - both)
+    joined = linked(met, sets, lambda pairs: _verified(pairs, sets, least), enough)
     classes = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     classes = materialize(classes, "classes")
     owner = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
