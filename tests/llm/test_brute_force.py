@@ -78,7 +78,7 @@ def test_components_of_long_chains(spark):
     assert got == groups({x for e in edges for x in e}, edges)
 
 
-def test_quality_counts(tables, texts):
+def test_quality_counts(tables, texts, rules_model):
     def plain(text):
         words = WORD.findall(text)
         seen, dup = set(), 0
@@ -90,16 +90,14 @@ def test_quality_counts(tables, texts):
         covered = {k + j for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for j in range(3)}
         return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
-    model = quality_rules.train(tables["documents"], tables["labels"])
-    for r in quality_rules.judge(tables["documents"], model).collect():
+    for r in quality_rules.judge(tables["documents"], rules_model).collect():
         want = plain(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
 
 
-def test_quality_rules_keep_the_good(tables):
-    model = quality_rules.train(tables["documents"], tables["labels"])
-    judged = quality_rules.judge(tables["documents"], model).join(tables["labels"], "doc_id").where("NOT base_failed").collect()
+def test_quality_rules_keep_the_good(tables, rules_model):
+    judged = quality_rules.judge(tables["documents"], rules_model).join(tables["labels"], "doc_id").where("NOT base_failed").collect()
     assert all(r.kept for r in judged if r.quality == 1)
     assert np.mean([not r.kept for r in judged if r.quality == 0]) > 0.7
 
@@ -322,15 +320,19 @@ def near_copy(rng, words, edits, vocabulary):
     return words
 
 
-def test_near_long_lines_share_a_key():
+def test_near_long_lines_share_a_part():
     rng = random.Random(4)
     for few in (3, 2000):  # also lines that repeat a few words over and over
         vocabulary = [b"w%d" % k for k in range(few)]
-        for n in [*range(80, 130, 3), 200, 399, 401, 900, 6000]:
+        lines = []
+        for n in [*range(96, 150, 3), 200, 399, 401, 900, 6000]:
             a = [rng.choice(vocabulary) for _ in range(n)]
             b = near_copy(rng, a, line_dedup.bound(n), vocabulary)
             if min(len(a), len(b)) >= line_dedup.LONG and line_dedup.near(a, b):
-                assert set(line_dedup.long_keys(a, {}).tolist()) & set(line_dedup.long_keys(b, {}).tolist()), n
+                lines += [a, b]
+        parts = line_dedup.long_parts(lines, {})
+        assert len(lines) > 20 and all(set(x.tolist()) & set(y.tolist()) for x, y in zip(parts[::2], parts[1::2], strict=True))
+        assert all(x.tolist() == line_dedup.long_parts([words], {})[0].tolist() for x, words in zip(parts, lines, strict=True))
 
 
 def test_long_lines_allow_more_edits(spark, monkeypatch):
@@ -341,7 +343,7 @@ def test_long_lines_allow_more_edits(spark, monkeypatch):
     vocabulary = [f"w{k}" for k in range(400)]
     shared = rng.choices(vocabulary, k=60)
     lines = []
-    for n in (80, 97, 120, 147, 300):
+    for n in (96, 97, 120, 147, 300):
         base = [*shared, *rng.choices(vocabulary, k=n - 60)]  # all begin with one passage
         lines += [base, *(near_copy(rng, base, rng.randrange(1, line_dedup.bound(n) + 3), vocabulary) for _ in range(7))]
     rng.shuffle(lines)
@@ -569,8 +571,8 @@ FINDINGS = [
 ]
 
 
-def test_secret_forest_on_held_out_findings(spark):
-    model = secrets.train(secrets.labelled_findings(spark))
+def test_secret_forest_on_held_out_findings(spark, secret_model):
+    model = secret_model
     rows = spark.createDataFrame([(k, t, "src/main.py") for k, (_, t) in enumerate(FINDINGS)], "doc_id long, text string, source string")
     got = {r.doc_id for r in secrets.scan(rows, model).collect()}
     right = [(k in got) == bool(label) for k, (label, _) in enumerate(FINDINGS)]
@@ -582,11 +584,10 @@ def test_secret_forest_on_held_out_findings(spark):
     assert both / sum(r.prediction for r in scored) >= 0.97 and both / sum(r.label for r in scored) >= 0.97
 
 
-def test_url_rules_against_plain_ones(spark, tables):
+def test_url_rules_against_plain_ones(tables, url_model):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-    model = url_filter.train(url_filter.labelled_urls(spark))
     urls = {r.page_id: r.url for r in tables["pages"].collect()}
-    for r in url_filter.judge(tables["pages"], rules, model).collect():
+    for r in url_filter.judge(tables["pages"], rules, url_model).collect():
         _, sep, rest = urls[r.page_id].partition("://")
         host = lower(re.split("[/?#]", rest)[0]) if sep else ""
         path = re.split("[?#]", rest[len(host) :])[0] if sep else ""
@@ -604,10 +605,9 @@ UNWANTED = (
 )
 
 
-def test_url_classifier_on_held_out_hosts(spark):
-    model = url_filter.train(url_filter.labelled_urls(spark))
+def test_url_classifier_on_held_out_hosts(spark, url_model):
     rows = [(k, "https://" + u) for k, u in enumerate(ORDINARY + UNWANTED)]
-    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [], model).collect()}
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [], url_model).collect()}
     blocked_right = sum(got[k] for k in range(len(ORDINARY), len(rows)))
     blocked_wrong = sum(got[k] for k in range(len(ORDINARY)))
     assert blocked_right / len(UNWANTED) >= 0.8 and blocked_right / max(blocked_right + blocked_wrong, 1) >= 0.9

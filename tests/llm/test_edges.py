@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, simhash, url_filter
+from tidemark.llm import common, decontam, line_dedup, lm_score, mixing, pii, quality_knn, quality_rules, secrets, shingles, simhash, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ("fp", "rep", "root", "size", "rate", "rank", "bin", "h", "ord", "row_key", "gone", "near", "rest", "c0", "label", "score", "held_out", "taken", "tag", "extra", "block", "pieces", "whole", "candidate", "__key", "__learn", "content_share", "kept", "n_lines")
@@ -27,18 +27,35 @@ def labels(spark):
 
 
 @pytest.fixture(scope="module")
-def models(spark, docs, labels):
+def models(spark, docs, labels, secret_model):
     return {
-        "rules": quality_rules.train(docs, labels), "knn": quality_knn.train(docs, labels), "secrets": secrets.train(secrets.labelled_findings(spark, 600), 6, 4),
+        "rules": quality_rules.train(docs, labels), "knn": quality_knn.train(docs, labels), "secrets": secret_model,
         "items": spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (None, "some words with no id at all")], "item_id long, text string"),
     }
 
 
 RUNS = {
     "decontam": lambda d, m: decontam.find(d, m["items"]), "decontam_drop": lambda d, m: decontam.drop_contaminated(d, m["items"]), "knn": lambda d, m: quality_knn.score(d, m["knn"]), "lm": lambda d, m: lm_score.score(d),
-    "lines": lambda d, m: line_dedup.dedup(d), "secrets": lambda d, m: secrets.scan(d, m["secrets"]), "simhash": lambda d, m: simhash.near_duplicates(d), "keep_one": lambda d, m: simhash.keep_one(d),
+    "lines": lambda d, m: line_dedup.dedup(d), "secrets": lambda d, m: secrets.scan(d, m["secrets"]), "simhash": lambda d, m: simhash.near_duplicates(d), "keep_one": lambda d, m: shingles.keep_one(d),
     "rules": lambda d, m: quality_rules.judge(d, m["rules"]), "rules_filter": lambda d, m: quality_rules.filter_documents(d, m["rules"]), "mixing": lambda d, m: mixing.mix(d), "pii": lambda d, m: pii.find(d), "redact": lambda d, m: pii.redact(d),
 }
+#: What each gives for the rows above, by id; of several rows with an id, and of rows that are equal, in sorted order.
+FOX = "the quick brown fox jumps over the lazy"
+LONG = 80_000  # words of the long text
+WANT = {
+    "decontam": (("item_id", "edits"), {1: [(1, 0)] * 2, None: [(1, 1)]}),
+    "lm": (("n_tokens", "held_out"), {1: [(10, False)] * 2, 2: [(1, False)], None: [(1, True), (10, True)], 3: [(1, False)], 4: [(1, False)], 5: [(LONG + 1, False)], 6: [(2, False)], 7: [(7, False)]}),
+    "lines": (("n_exact", "n_near", "text"), {1: [(0, 0, f"{FOX} dog")] * 2, 2: [(0, 0, None)], None: [(0, 0, None), (0, 1, "")], 3: [(0, 0, "")], 4: [(0, 0, "   \n\t ")]}),
+    "simhash": (("component_id",), {2: [(2,)], 3: [(2,)], 4: [(2,)], 1: [(1,)] * 2, 5: [(5,)], 6: [(6,)], 7: [(7,)]}),
+    "rules": (("n_words", "n_dup_lines", "base_failed", "kept"), {1: [(9, 0, True, False)] * 2, 2: [(0, 0, True, False)], None: [(0, 0, True, False), (9, 0, True, False)], 3: [(0, 0, True, False)], 4: [(0, 0, True, False)], 5: [(LONG, 19_999, True, False)], 6: [(1, 0, True, False)]}),
+    "mixing": (("size", "source_size"), {1: [(9, LONG + 18)] * 2, 2: [(0, 9)], None: [(0, 9), (9, 9)], 3: [(0, 0)], 4: [(0, 0)], 5: [(LONG, LONG + 18)], 6: [(1, 7)], 7: [(6, 7)]}),
+    "pii": (("n_email", "n_card", "spans"), {1: [(0, 0, "")] * 2, 2: [(0, 0, "")], None: [(0, 0, "")] * 2, 3: [(0, 0, "")], 4: [(0, 0, "")], 5: [(0, 0, "")], 6: [(0, 0, "")], 7: [(1, 0, "email:5:12")]}),
+    "secrets": (("kind",), {7: [("assigned_value",)]}),
+    "keep_one": (("text",), {1: [(f"{FOX} dog",)] * 2, None: [(None,), (f"{FOX} cat",)], 2: [(None,)], 7: [("mail a@b.org token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" end",)], 3: [], 4: []}),
+    "decontam_drop": (("doc_id",), {1: [], None: [(None,)], 2: [(2,)], 3: [(3,)]}),
+    "rules_filter": (("doc_id",), {1: [], 2: [], None: [], 5: []}),
+    "redact": (("text",), {2: [(None,)], 7: [("mail <EMAIL> token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" end",)], None: [(None,), (f"{FOX} cat",)]}),
+}
 PER_ROW = {"knn", "lm", "lines", "simhash", "rules", "mixing", "pii", "redact"}
 
 
@@ -47,8 +64,11 @@ def test_awkward_rows(docs, models, name):
     out = RUNS[name](docs, models).collect()
     if name in PER_ROW:
         assert len(out) == docs.count()
-        for row in (r.asDict() for r in out):
-            assert set(row) >= {"doc_id"}
+    if name in WANT:
+        columns, want = WANT[name]
+        key = lambda row: [(x is not None, str(x)) for x in row]
+        for i, rows in want.items():
+            assert sorted((tuple(r[c] for c in columns) for r in out if r.doc_id == i), key=key) == sorted(rows, key=key), i
     if name in ("lines", "rules_filter", "keep_one", "decontam_drop", "redact") and out:
         assert set(SCHEMA.split()[::2]) <= set(out[0].asDict()) and out[0].asDict().get("fp", "clash") == "clash"
 
@@ -66,16 +86,16 @@ def test_empty_training_tables(spark, docs, labels):
     assert decontam.find(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_url_edges(spark):
+def test_url_edges(spark, url_model):
     rows = [(1, None), (2, ""), (3, "no scheme here"), (4, "HTTP://Www.Example.COM/EN/x?y#z"), (5, "http://a.com"), (6, "x://y://z/q"), (None, "http://b.net/fr/1"), (7, "http:///path"), (7, "http:///path"), (8, "http://é.com/" + "p" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "__host", "label", "probability", "html")})
-    model = url_filter.train(url_filter.labelled_urls(spark))
+    model = url_model
     rules = [("allow", "com/"), ("block", "net/fr/")]
     got = {r.page_id: r for r in url_filter.judge(pages, rules, model).collect()}
     assert (got[1].host, got[1].path, got[1].rule) == ("", "", None) and got[1].verdict in ("allow", "block")
     assert (got[4].host, got[4].path, got[4].rule, got[4].verdict) == ("www.example.com", "/EN/x", "com/", "allow")
     assert (got[5].host, got[5].path, got[5].rule) == ("a.com", "", None)
-    assert (got[6].host, got[6].path) == ("y:", "//z/q") and got[None].verdict == "block" and got[7].host == ""
+    assert (got[6].host, got[6].path) == ("y:", "//z/q") and got[None].verdict == "block" and got[7].host == "" and got[1].verdict == got[2].verdict == got[3].verdict
     assert url_filter.judge(pages.where(F.lit(False)), rules, model).collect() == []
 
 
@@ -83,3 +103,28 @@ def test_scratch_is_cleared(spark, docs):
     folder = common.shared_dir(spark).removeprefix("file:")
     common.materialize(docs.limit(1), "kept")
     assert any(n.startswith("tidemark-") for n in os.listdir(folder)) and common.clear_scratch(spark) > 0 and common.clear_scratch(spark) == 0
+
+
+def test_ties_are_settled_the_same_way_each_time(spark, models):
+    """Equal texts with different ids, equal ids with different texts, in any order of rows."""
+    rows = [(3, "one two three four five six seven eight\nnine", "s"), (1, "one two three four five six seven eight\nten", "s"), (1, "One two three four five six seven eight", "s"), (2, "a b", "s"), (2, "c d", "s"), (4, "one two three four five six seven EIGHT nine", "s")]
+    runs = [[], []]
+    for k, part in enumerate((rows, rows[::-1])):
+        frame = spark.createDataFrame(part, "doc_id long, text string, source string").repartition(2 + k)
+        runs[k].append(sorted((r.doc_id, r.text, r.n_exact, r.n_near) for r in line_dedup.dedup(frame).collect()))
+        runs[k].append(sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(frame).collect()))
+        runs[k].append(sorted((r.doc_id, round(r.score, 9)) for r in lm_score.score(frame).collect()))
+        runs[k].append(sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame).collect()))
+        runs[k].append(sorted((r.doc_id, round(r.score, 6)) for r in quality_knn.score(frame, models["knn"]).collect()))
+    assert runs[0] == runs[1]
+    # of the equal lines one of document 1 stays; the longer line of document 4 is one added word away from it
+    assert sum(n for *_, n, _ in runs[0][0]) == 2 and sum(n for *_, n in runs[0][0]) == 1
+
+
+def test_text_ids(spark, labels):
+    docs = spark.createDataFrame([("a", "good words here " * 20), ("b", "BUY!! NOW!! " * 20), ("c", None)], "doc_id string, text string")
+    marks = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    assert {r.doc_id for r in quality_rules.judge(docs, quality_rules.train(docs, marks)).collect()} == {"a", "b", "c"}
+    assert {r.doc_id for r in quality_knn.score(docs, quality_knn.train(docs, marks)).collect()} == {"a", "b", "c"}
+    assert {r.doc_id for r in lm_score.score(docs).collect()} == {"a", "b", "c"}
+    assert {r.doc_id for r in line_dedup.dedup(docs).collect()} == {"a", "b", "c"}

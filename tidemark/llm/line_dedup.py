@@ -18,12 +18,12 @@ Every line that met an earlier one is then verified against its text by word edi
 
 The bound grows with a line: one word edit below ``2 * EDIT_WORDS`` words, then one for every ``EDIT_WORDS``.
 Deleting each choice of several words would give very many variants, so the neighbourhood of a long
-line is emitted by its parts: a line of N words with N / 40 edits keeps a run of 26 words at least
-without an edit. Winnowing (of every 14 neighbouring 13-word runs the one with the least hash) picks
-places by content alone, and any 26 words hold a whole choice, so two such lines share a key. Keys name the line's
-length to 5 %; of very long lines about ``LONG_KEYS`` keys are kept, again by hash. Lines that meet
-are verified by word edit distance; of long lines that are linked, directly or through others,
-the earliest stays. Within a key all are compared with a few members and only what that leaves
+line is emitted by its parts: a line of N words with N / 48 edits keeps a run of 32 words at least
+without an edit. Winnowing (of every 26 neighbouring 7-word runs the one with the least hash) picks
+places by content alone, and any 32 words hold a whole choice, so two such lines share a part; of very
+long lines about ``LONG_KEYS`` parts are kept, again by hash. Lines that share a part and agree in length to about
+5 % are verified by word edit distance; of long lines that are linked, directly or through others,
+the earliest stays. Within a part all are compared with a few members and only what that leaves
 unconnected in blocks (:mod:`tidemark.llm.shingles`).
 
 Emitting a variant per word for a whole corpus would cost as many rows as it has words. A lossless
@@ -48,9 +48,9 @@ from tidemark.runtime import ship_package
 
 MIN_WORDS = 1
 NEAR_WORDS = 8
-#: Words of a line for each edit, and of the runs and windows that choose a long line's keys.
-EDIT_WORDS = 40
-RUN, CHOICE = 13, 14
+#: Words of a line for each edit, and the runs and windows that choose a long line's parts.
+EDIT_WORDS = 48
+RUN, CHOICE = 7, 26
 LONG_KEYS = 64
 _LAST = (1 << 63) - 1
 _LAST_TEXT = chr(0x10FFFF)
@@ -128,26 +128,37 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     return within(a, b, bound(max(len(a), len(b))))
 
 
-def long_keys(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Keys of a line of at least ``LONG`` words, of which two near lines share at least one."""
+def long_parts(lines: list[list[bytes]], known: dict[bytes, int]) -> list[np.ndarray]:
+    """Parts of lines of at least ``LONG`` words each, of which two near lines share at least one. ``known``: hashes of words."""
+    if not lines:
+        return []
     if len(known) > 400_000:
         known.clear()
-    codes = np.array([known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
+    sizes = np.array([len(words) for words in lines])
+    codes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for words in lines for w in words], np.uint64)
     runs = np.zeros(len(codes) - RUN + 1, np.uint64)
     for k in range(RUN):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(runs)]
     runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     runs ^= runs >> np.uint64(32)
-    chosen = np.unique(np.lib.stride_tricks.sliding_window_view(runs, CHOICE).min(axis=1))
-    # near lines differ by 2.5 % in length, so of two neighbouring steps of 5 % they share one
-    step = int(math.log(len(words)) / math.log(1.05))
-    out = []
-    for band in (step, step + 1):
-        expected = 2 * 1.05**band / (CHOICE + 1)
-        limit = np.uint64(min(1.0, LONG_KEYS / expected) * ((1 << 64) - 1025))
-        kept = chosen[chosen <= limit] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band)
-        out.append((kept ^ (kept >> np.uint64(29))).view(np.int64))
-    return np.unique(np.concatenate(out))
+    # the least of CHOICE neighbours, from the least of 16 and of the last CHOICE - 16
+    least, wide = runs, 1
+    while 2 * wide <= CHOICE:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    least = np.minimum(least[: len(least) - (CHOICE - wide)], least[CHOICE - wide :])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(lines)), sizes)[: len(least)]
+    whole = np.arange(len(least)) + RUN + CHOICE - 1 <= ends[owner]
+    limit = np.minimum(1.0, LONG_KEYS * (CHOICE + 1) / (2.0 * sizes))
+    limit = (limit * float((1 << 64) - 2048)).astype(np.uint64)
+    whole &= least <= limit[owner]
+    owner, least = owner[whole], least[whole]
+    fresh = np.ones(len(least), bool)  # neighbours mostly choose the same run
+    fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    owner, least = owner[fresh], least[fresh]
+    cuts = np.searchsorted(owner, np.arange(1, len(lines)))
+    return [np.unique(x).view(np.int64) for x in np.split(least, cuts)]
 
 
 def word_tokens(words: list[bytes]) -> np.ndarray:
@@ -168,13 +179,13 @@ _NONE = np.empty(0, np.int64)
 
 
 def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """``(row_key, ord, line, h, halves, parts)`` of every line with at least ``min_words`` words; ``parts`` are a long line's keys."""
+    """``(row_key, ord, line, h, halves, parts, n_words)`` of every line with at least ``min_words`` words; ``parts`` are those of a long line."""
     kind, ord_type = dict(rows.dtypes)["ord"], arrow_type(rows, "ord")
 
     def run(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
-            keys, ords, lines, hashes, halves, sizes, parts = [], [], [], [], [], [0], []
+            keys, ords, lines, hashes, halves, sizes, counts, long = [], [], [], [], [], [0], [], []
             for key, ordinal, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 for at, line in enumerate(text.split(b"\n")):
                     words = _norm(line)
@@ -186,12 +197,16 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
                         if near_words <= len(words) < 2 * EDIT_WORDS:
                             halves += half_keys(words)
                         sizes.append(len(halves))
-                        parts.append(long_keys(words, known) if len(words) >= LONG else _NONE)
+                        counts.append(len(words))
+                        if len(words) >= LONG:
+                            long.append(words)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(halves, pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists, pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves", "parts"])
+            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists]
+            found = iter(long_parts(long, known))
+            columns += [pa.array([next(found) if n >= LONG else _NONE for n in counts], pa.list_(pa.int64())), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves", "parts", "n_words"])
 
-    return rows.mapInArrow(run, f"row_key long, ord {kind}, line int, h long, halves array<long>, parts array<long>")
+    return rows.mapInArrow(run, f"row_key long, ord {kind}, line int, h long, halves array<long>, parts array<long>, n_words int")
 
 
 def _candidate_texts(rows: DataFrame) -> DataFrame:
@@ -236,11 +251,11 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     rows = _keyed(docs).select("row_key", "ord", F.col("text").cast("binary").alias("text")).where("text is not null")
     sigs = materialize(signatures(rows, min_words, near_words), "signatures")
     place = F.struct("ord", "row_key", "line")
-    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts")), "classes")
+    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts"), F.first("n_words").alias("n_words")), "classes")
     # a half is shared if two different lines have it; sums of bare hashes are all that is shuffled here
     halves = classes.where(F.size("halves") > 0).select("h", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("half")
-    met = materialize(shingles.meetings(classes.where(F.size("parts") > 0).select(F.col("h").alias("sig"), F.explode("parts").alias("key"))), "met_long")
+    met = materialize(_long_meetings(classes), "met_long")
     wanted = halves.join(shared, "half", "left_semi").select("h").union(met.select("sig")).distinct()
     by_row = classes.select("h", "first").join(wanted, "h", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
     lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines")
@@ -279,18 +294,27 @@ def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "h long, other long")
 
 
+def _long_meetings(classes: DataFrame) -> DataFrame:
+    """``(key, sig, pivots)`` of the long lines that share a part and are of about one length."""
+    parts = classes.where(F.size("parts") > 0).select(F.col("h").alias("sig"), "n_words", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    some = parts.join(shared, "part", "left_semi")
+    # near lines differ by little over 2 % in length, so of two neighbouring steps of 5 % they share one
+    step = F.floor(F.log(F.col("n_words").cast("double")) / math.log(1.05))
+    return shingles.meetings(some.select("sig", "part", F.explode(F.array(step, step + 1)).alias("step")).select("sig", F.xxhash64("part", "step").alias("key")))
+
+
 def _late_long(met: DataFrame, lines: DataFrame, place) -> DataFrame:
     """``(h)`` of the long lines that are linked to an earlier one."""
-    long = lines.join(met.select(F.col("sig").alias("h")).distinct(), "h", "left_semi")
+    keys = met.groupBy(F.col("sig").alias("h")).agg(F.collect_set("key").alias("keys"))  # at most about 2 * LONG_KEYS
+    long = lines.join(keys, "h")
 
     def run(batches):
-        known: dict[bytes, int] = {}
         for batch in batches:
-            words = [x.split(b" ") for x in batch.column(1).to_pylist()]
-            found, keys = [word_tokens(w).tobytes() for w in words], [long_keys(w, known).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(keys, pa.binary())], ["sig", "norm", "found", "keys"])
+            found = pa.array([word_tokens(x.split(b" ")).tobytes() for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["sig", "norm", "keys", "found"])
 
-    sets = materialize(long.select("h", "norm").mapInArrow(run, "sig long, norm binary, found binary, keys binary"), "long")
+    sets = materialize(long.select("h", "norm", "keys").mapInArrow(run, "sig long, norm binary, keys array<long>, found binary"), "long")
 
     def pivoted(pairs: DataFrame) -> DataFrame:
         return _verified(pairs.select(F.col("a").alias("h"), F.col("b").alias("other")), lines).select(F.col("h").alias("a"), F.col("other").alias("b"))

@@ -112,13 +112,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
 
 def meetings(keys: DataFrame) -> DataFrame:
-    """``(key, sig, pivots)`` of the keys that several sets share, with ``PIVOTS`` members of the key chosen by hash."""
-    place = lambda turn: F.struct(F.xxhash64(F.lit(turn), "key", "sig").alias("at"), F.col("sig"))
-    pivots = [F.min(place(turn)).alias(f"p{turn}") for turn in range(PIVOTS)]
-    # few keys are shared; only bare hashes are shuffled to find them
-    shared = keys.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("top"), *pivots).where("low <> top")
-    chosen = F.array_distinct(F.array(*[F.col(f"p{turn}.sig") for turn in range(PIVOTS)]))
-    return keys.join(shared.select("key", chosen.alias("pivots")), "key").select("key", "sig", "pivots")
+    """``(key, sig, pivots)`` of the keys that several sets share, with ``PIVOTS`` members of the key chosen by hash.
+
+    ``keys(sig, key)`` lists a key of a set once. Few keys are shared: they are found by bare counts
+    first, and only their members take part in the choice of pivots.
+    """
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = materialize(keys.join(shared, "key", "left_semi").select("key", "sig"), "shared")
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(turn), "key", "sig").alias("at"), F.col("sig"))).alias(f"p{turn}") for turn in range(PIVOTS)]
+    chosen = met.groupBy("key").agg(*pivots).select("key", F.array_distinct(F.array(*[F.col(f"p{turn}.sig") for turn in range(PIVOTS)])).alias("pivots"))
+    return met.join(chosen, "key").select("key", "sig", "pivots")
 
 
 def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def overlaps(found: list[np.ndarray], asks: np.ndarray):
 def compared(open_: DataFrame, sets: DataFrame, similar_sizes, verified=None) -> DataFrame:
     """The similar pairs ``(a, b)`` of unconnected members of a key, by blocks of late members against blocks of all.
 
-    ``sets`` has ``(sig, found, keys)`` and a column ``norm`` if ``verified`` is given. A pair passes where
+    ``sets`` has ``(sig, found, keys)``, keys as an array or as bytes, and a column ``norm`` if ``verified`` is given. A pair passes where
     ``similar_sizes(size, sizes, shared)`` holds for its numbers of values, and ``verified(norm, norm)`` then.
     No pair is emitted before that: a block holds at most about ``LATE_BLOCK`` late members and
     ``ALL_BLOCK`` others, whatever the key's size. A pair that shares several keys is compared in the
@@ -174,7 +177,7 @@ def compared(open_: DataFrame, sets: DataFrame, similar_sizes, verified=None) ->
         asks, late = (np.array(block.column(c).to_pylist(), bool) for c in ("asks", "late"))
         sig, root = (block.column(c).to_numpy() for c in ("sig", "root"))
         found = [np.frombuffer(x, np.uint64) for x in block.column("found").to_pylist()]
-        keys = [np.frombuffer(x, np.int64) for x in block.column("keys").to_pylist()]
+        keys = [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.array(x, np.int64) for x in block.column("keys").to_pylist()]
         norms = block.column("norm").to_pylist() if verified else None
         out: list[tuple[int, int]] = []
         for k, left, sizes, both in overlaps(found, asks):
