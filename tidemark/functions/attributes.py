@@ -6,6 +6,8 @@ questions and distinct attribute names are few and handled on the driver.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
 
@@ -45,31 +47,33 @@ def _singular(word: str) -> str:
 
 
 def _trimmed(words: list[str]) -> list[str]:
-    end = len(words)
-    while end and words[end - 1] in _TRIM:
-        end -= 1
-    return words[:end]
+    """Without the function words and adverbs at the end."""
+    return words[: max((k + 1 for k, w in enumerate(words) if w not in _TRIM), default=0)]
+
+
+def _role_first(low: str) -> str:
+    """ "colleague ann lee's desk phone" as "colleague desk phone": the role before the name, then the attribute."""
+    inner = _RE["INNER_POSSESSIVE"].search(low)
+    return low if inner is None else f"{next(iter(re.findall(_LATIN + '+', inner['lead'])), inner['owner'])} {inner['attr']}"
+
+
+#: What becomes of the words of a slot, in order.
+_SLOT_STEPS = (
+    lambda words: list(itertools.dropwhile(lambda w: w in _REVISION - _KEPT, words)),
+    lambda words: _trimmed(_trimmed(words)[:3]),
+    lambda words: ["alternate", *words[1:]] if words[:1] == ["other"] else words,  # "other_" is kept for the facts of other people
+    lambda words: [*words[:-1], *map(_singular, words[-1:])],
+    lambda words: [] if {*words[:1], *words[-1:]} & _EMPTY else words,
+)
 
 
 def normalize_slot(phrase) -> str | None:
     """The attribute that a noun phrase after a possessive names, or None if it names none."""
-    low = fold(phrase).strip().lower()
-    inner = _RE["INNER_POSSESSIVE"].search(low)
-    if inner:  # "colleague ann lee's desk phone": the role before the name, then the attribute
-        owner = (re.findall(_LATIN + "+", inner["lead"]) or [inner["owner"]])[0]
-        low = f"{owner} {inner['attr']}"
-    words = [w for w in normalize_entity(low).split("_") if w]
-    start = next((k for k, w in enumerate(words) if w not in _REVISION or w in _KEPT), len(words))
-    words = _trimmed(_trimmed(words[start:])[:3])
-    if not words:
-        return None
-    if words[0] == "other":
-        words[0] = "alternate"  # "other_" is kept for the facts of other people
-    words[-1] = _singular(words[-1])
-    if words[0] in _EMPTY or words[-1] in _EMPTY:
-        return None
+    words = [w for w in normalize_entity(_role_first(fold(phrase).strip().lower())).split("_") if w]
+    for step in _SLOT_STEPS:
+        words = step(words)
     name = "_".join(words)
-    return _CLASS_OF.get(name, name)
+    return _CLASS_OF.get(name, name) or None
 
 
 def proper_names(text) -> frozenset[str]:
@@ -125,21 +129,44 @@ def _narrows(slot: str, kind: str) -> bool:
     return bool(quals) if head == kind else kind == "credential" and _singular(words[-1]) in _CREDENTIAL
 
 
+class _Statement:
+    """What a statement shows; each part is worked out when a rule asks for it."""
+
+    def __init__(self, text):
+        self.whole = fold(text)
+        self.low, self.names = self.whole.lower(), proper_names(self.whole)
+
+    @functools.cached_property
+    def shape(self) -> str | None:
+        return _shape(self.whole, self.low)
+
+    @functools.cached_property
+    def slot(self) -> str | None:
+        return _slot(self.low, self.names, owned_only=False)
+
+    @functools.cached_property
+    def owned(self) -> str | None:
+        return _slot(self.low, self.names, owned_only=True)
+
+
+#: Which attribute a statement is about: the first of these that gives a name.
+_NAMING_RULES = (
+    # a frame's verb fits several attributes, and the owned slot says which
+    lambda s: s.owned if s.shape in _FRAMES and s.owned and not entities_match(s.owned, s.shape) else None,
+    # a slot that is a narrower case of what the shape shows
+    lambda s: s.slot if s.shape and s.shape not in _FRAMES and s.slot not in (None, s.shape) and _narrows(s.slot, s.shape) else None,
+    lambda s: s.shape,
+    lambda s: s.slot,
+)
+
+
 def detect_entity(text) -> str | None:
     """The attribute that a statement is about, ``other_``-prefixed if it is somebody else's, or None."""
     if not text:
         return None
-    whole = fold(text)
-    low, names = whole.lower(), proper_names(whole)
-    kind, slot = _shape(whole, low), _slot(low, names, owned_only=False)
-    found = kind or slot
-    if kind in _FRAMES:
-        owned = _slot(low, names, owned_only=True)
-        if owned and not entities_match(owned, kind):
-            found = owned  # the slot says which attribute the frame's verb is about
-    elif kind and slot and slot != kind and _narrows(slot, kind):
-        found = slot
-    return (K.THIRD_PARTY + found if is_third_party(whole) else found) if found else None
+    seen = _Statement(text)
+    found = next(filter(None, (rule(seen) for rule in _NAMING_RULES)), None)
+    return K.THIRD_PARTY + found if found and is_third_party(seen.whole) else found
 
 
 def strip_other(name) -> str:
@@ -155,16 +182,24 @@ def is_first_person(text) -> bool:
     return bool(_RE["FIRST_PERSON"].search(fold(text).lower()))
 
 
+def _binding_possessive(low: str) -> str | None:
+    """The possessive that binds the attribute, by the first pattern that shows one."""
+    shown = (m["poss"].strip() for m in (p.search(low) for p in _BINDING) if m and m["poss"])
+    return next(filter(None, shown), None)
+
+
+#: Whose an attribute is: of the first test that applies, the verdict "somebody else's".
+_OWNER_RULES = (
+    (lambda low: not _RE["OTHERS_POSSESSIVE"].search(low), lambda low: False),
+    (lambda low: _binding_possessive(low), lambda low: _binding_possessive(low) not in _set(K.OWN_POSSESSIVES)),
+    (lambda low: True, lambda low: not _RE["FIRST_PERSON"].search(low)),
+)
+
+
 def is_third_party(text) -> bool:
     """Whether the attribute belongs to somebody else: by the possessive that binds it, else by the whole sentence."""
     low = fold(text).lower()
-    if not _RE["OTHERS_POSSESSIVE"].search(low):
-        return False
-    for pattern in _BINDING:
-        m = pattern.search(low)
-        if m and (m["poss"] or "").strip():
-            return m["poss"].strip() not in _set(K.OWN_POSSESSIVES)
-    return not _RE["FIRST_PERSON"].search(low)
+    return next(verdict(low) for applies, verdict in _OWNER_RULES if applies(low))
 
 
 def inherit_entity(previous, text) -> str | None:

@@ -28,26 +28,35 @@ def intervals(facts: DataFrame, key: str = _KEY) -> DataFrame:
     return facts.where(F.col(key).isNotNull()).select(key, "entity", "ts", (F.col("ts") - before).alias("gap"))
 
 
+def _extremes() -> list:
+    return [F.first("entity").alias("entity"), F.count("*").alias("n_revisions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+
+
+def _aged(chains: DataFrame, now: float, min_revisions: int) -> DataFrame:
+    """Chains long enough, with their age and their mean interval: the intervals of a chain add up to its span."""
+    chains = chains.where(F.col("n_revisions") >= min_revisions).withColumn("age", F.lit(float(now)) - F.col("last_ts"))
+    chains = chains.withColumn("gap_sum", F.col("last_ts") - F.col("first_ts")).withColumn("gap_count", F.col("n_revisions") - 1)
+    return chains.withColumn("mean_interval", F.when(F.col("gap_count") > 0, F.col("gap_sum") / F.col("gap_count")))
+
+
 def volatility(facts: DataFrame, now: float, min_revisions: int = 2, key: str = _KEY, with_intervals: bool = False) -> DataFrame:
     """One row a chain of at least ``min_revisions`` rows, its age and intervals, the longest unchanged first.
 
-    A chunk counts as a row of its own, with an interval of zero to the chunks of its document.
+    A chunk counts as a row of its own, with an interval of zero to the chunks of its document. The median
+    needs every interval of a chain in order; all else is sums and extremes (:func:`staleness` uses only those).
     """
     listed = [F.array_sort(F.collect_list("gap")).alias("intervals")] if with_intervals else []
-    chains = intervals(facts, key).groupBy(key).agg(
-        F.first("entity").alias("entity"), F.count("*").alias("n_revisions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.avg("gap").alias("mean_interval"), F.median("gap").alias("median_interval"), F.sum("gap").alias("gap_sum"), F.count("gap").alias("gap_count"), *listed,
-    )
-    return chains.where(F.col("n_revisions") >= min_revisions).withColumn("age", F.lit(float(now)) - F.col("last_ts")).orderBy(F.col("age").desc(), key)
+    chains = intervals(facts, key).groupBy(key).agg(*_extremes(), F.median("gap").alias("median_interval"), *listed)
+    return _aged(chains, now, min_revisions).orderBy(F.col("age").desc(), key)
 
 
 def staleness(facts: DataFrame, now: float, shrink: float = 1.0, min_revisions: int = 2, assume_memoryless: bool = False, key: str = _KEY) -> DataFrame:
-    """:func:`volatility` with a rate of change shrunk towards that of chains of the same attribute, and what follows from it.
+    """A chain's age with its rate of change, shrunk towards that of chains of the same attribute, and what follows from it.
 
-    ``p_superseded`` is null unless the process may be taken as memoryless. The pool of an attribute
-    is a sum over its chains, so nothing but two sums a chain is shuffled.
+    ``p_superseded`` is null unless the process may be taken as memoryless. Chains are partial aggregates,
+    without a window; the pool of an attribute is a sum over its chains.
     """
-    chains = volatility(facts, now, min_revisions, key)
+    chains = _aged(facts.where(F.col(key).isNotNull()).groupBy(key).agg(*_extremes()), now, min_revisions)
     inverse = lambda s, n: F.when(s > 0, n / s)  # noqa: E731  one over the mean
     pool = chains.groupBy("entity").agg(F.sum("gap_sum").alias("pool_sum"), F.sum("gap_count").alias("pool_count"))
     whole = pool.agg(F.sum("pool_sum").alias("all_sum"), F.sum("pool_count").alias("all_count"))
