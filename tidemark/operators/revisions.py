@@ -12,10 +12,25 @@ from pyspark.sql import functions as F
 _KEY = "group_key"
 
 
-def auto_revision(facts: DataFrame, key: str = _KEY, arrival: str = "row_id") -> DataFrame:
-    """``revision`` by arrival within the chain, from 1; rows of no chain get 1."""
-    counted = F.row_number().over(Window.partitionBy(key).orderBy(arrival))
-    return facts.withColumn("revision", F.when(F.col(key).isNull(), F.lit(1)).otherwise(counted).cast("int"))
+def auto_revision(facts: DataFrame, key: str = _KEY, arrival: str = "row_id", given: str | None = None, base: str | None = None) -> DataFrame:
+    """``revision`` by arrival within the chain: one more than the highest before it, from 1; rows of no chain get 1.
+
+    A row with a number in the column ``given`` keeps it, and numbering goes on from the highest so far;
+    ``base`` names a column with the chain's highest stored revision. With A the automatic rows so far, an
+    automatic row has A + max(base, the largest given - A before it): two running values, no fold.
+    """
+    by = Window.partitionBy(key).orderBy(arrival)
+    start = F.lit(0) if base is None else F.coalesce(F.col(base), F.lit(0))
+    if given is None:
+        number = start + F.row_number().over(by)
+    else:
+        so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        automatic = F.sum(F.col(given).isNull().cast("int")).over(so_far)
+        facts = facts.withColumn("__auto", automatic)
+        highest = F.max(F.col(given) - F.col("__auto")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+        number = F.coalesce(F.col(given), F.col("__auto") + F.greatest(start, F.coalesce(highest, F.lit(0))))
+    alone = F.lit(1) if given is None else F.coalesce(F.col(given), F.lit(1))
+    return facts.withColumn("revision", F.when(F.col(key).isNull(), alone).otherwise(number).cast("int")).drop("__auto")
 
 
 def concordance(facts: DataFrame, key: str = _KEY) -> DataFrame:

@@ -193,6 +193,18 @@ def facts_revision(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", "user_id", "entity", "revision")
 
 
+_GIVEN = "CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 11 + 1 AS INT) END"
+
+
+@query(f"""WITH RECURSIVE {events_sql()}, o AS (SELECT event_id, user_id, entity, {_GIVEN} AS given, row_number() OVER (PARTITION BY user_id, entity ORDER BY row_id) AS n FROM facts),
+    r AS (SELECT event_id, user_id, entity, n, coalesce(given, 1) AS revision, coalesce(given, 1) AS top FROM o WHERE n = 1
+    UNION ALL SELECT o.event_id, o.user_id, o.entity, o.n, coalesce(given, top + 1), greatest(top, coalesce(given, top + 1)) FROM r JOIN o ON o.user_id = r.user_id AND o.entity = r.entity AND o.n = r.n + 1)
+    SELECT event_id, CAST(revision AS INT) AS revision FROM r""")
+def facts_mixed_revision(spark, sf_dir):
+    """Every seventh row brings its own revision."""
+    return revisions.auto_revision(events(spark, sf_dir).withColumn("given", F.expr(_GIVEN)), given="given").select("event_id", "revision")
+
+
 @query(_with(", l AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY user_id, entity ORDER BY revision) AS ok FROM facts) SELECT user_id, entity, count(*) AS n, bool_and(coalesce(ok, true)) AS concordant FROM l GROUP BY user_id, entity", backfilled=True))
 def facts_concordance(spark, sf_dir):
     parts = F.split("group_key", "\u001f")
