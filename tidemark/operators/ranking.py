@@ -37,9 +37,34 @@ class Settings:
     personal_sources: tuple[str, ...] = field(default_factory=lambda: tuple(K.PERSONAL_SOURCES.split()))
 
 
-def entity_names(facts: DataFrame) -> list[str]:
-    """The distinct attribute names of a store, in order. There are few: names are classes and short slots."""
-    return sorted(r[0] for r in facts.where(F.col("entity").isNotNull() & (F.col("entity") != "")).select("entity").distinct().collect())
+class Names:
+    """The attribute names of a store. They may be many, so only those that match a wanted name are ever brought to the driver."""
+
+    def __init__(self, facts: DataFrame):
+        self.rows = facts.where(F.col("entity").isNotNull() & (F.col("entity") != "")).select("entity")
+        self._any: bool | None = None
+        self._found: dict[str, list[str]] = {}
+
+    def __bool__(self) -> bool:
+        if self._any is None:
+            self._any = not self.rows.isEmpty()
+        return self._any
+
+    def matching(self, *wanted: str | None) -> list[list[str]]:
+        """The stored names that mean the same as each wanted one, in order; one pass for all that are not known yet."""
+        new = [w for w in dict.fromkeys(wanted) if w and w not in self._found]
+        if new:
+            ship_package(self.rows.sparkSession)
+
+            def run(batches):
+                for batch in batches:
+                    names = batch.column(0).to_pylist()
+                    pairs = [(w, n) for w in new for n in A.matching_names(w, names)]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.string())], ["wanted", "name"])
+
+            got = self.rows.distinct().mapInArrow(run, "wanted string, name string").collect()
+            self._found |= {w: sorted(r.name for r in got if r.wanted == w) for w in new}
+        return [self._found[w] if w else [] for w in wanted]
 
 
 def question_words(question: str) -> frozenset[str]:
@@ -68,11 +93,11 @@ def owner_names(facts: DataFrame, question: str) -> frozenset[str]:
     return frozenset(r.word for r in texts.mapInArrow(run, "word string").distinct().collect())
 
 
-def intents_of(question: str, names: list[str], owners: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
+def intents_of(question: str, names: Names, owners: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
     """The attribute that a question is about and the stored names that match it: the first guess the store knows, else the first."""
     guesses = A.query_intents(question, bool(question_words(question) & owners))
-    for guess in guesses:
-        if known := A.matching_names(guess, names):
+    for guess, known in zip(guesses, names.matching(*guesses), strict=True):
+        if known:
             return guess, known
     return (guesses[0], []) if guesses else (None, [])
 
@@ -138,7 +163,7 @@ def top_entity(rows: DataFrame, intent: str | None, known: list[str], margin: fl
     return chosen_entity(got.entity, got.top, got.mine, intent, known, margin)
 
 
-def rank(candidates: DataFrame, question: str, names: list[str], direction: str = "current", owners: frozenset[str] = frozenset(), settings: Settings | None = None) -> DataFrame:
+def rank(candidates: DataFrame, question: str, names: Names, direction: str = "current", owners: frozenset[str] = frozenset(), settings: Settings | None = None) -> DataFrame:
     """Adds ``final`` to masked candidates ``(row_id, cosine, base, entity, group_key, revision, ts, declared, source, text, embedding)``.
 
     Everything that depends on all candidates is a scalar of one of at most four aggregates; no window
@@ -159,7 +184,7 @@ def rank(candidates: DataFrame, question: str, names: list[str], direction: str
         intent, known, boosted, best = None, [], F.col("base"), first.plain
     rows = rows.withColumn("final", boosted)
     top = chosen_entity(best, first.top, first.mine, intent, known, s.intent_margin)
-    members = A.matching_names(top, names)
+    members = names.matching(top)[0]
     tagged = F.col("entity").isin(members) if members else F.lit(False)
     by_wording = A.temporal_question(question, direction, intent, personal)
     found = rows.where(tagged).agg(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import attributes as A
 from tidemark.functions import fixed as K
 from tidemark.functions.text import decompose_query, word_count
 from tidemark.operators import ranking, revisions
@@ -33,9 +32,9 @@ def search(facts: DataFrame, question: str, query, k: int = 3, min_score: float
     unit = checked_query(query)
     if unit is None or k <= 0:
         return facts.where(F.lit(False)).select(*[F.lit(None).cast("double").alias(c) if c in ("score", "cosine", "superseded_at") else F.lit(None).cast("boolean").alias(c) if c == "superseded" else F.col(c) for c in HIT])
-    names = ranking.entity_names(facts)
+    names = ranking.Names(facts)
     rows = candidates(facts, unit, min_score, as_of, where, score_mode)
-    ranked = ranking.rank(rows, question, names, direction, ranking.owner_names(facts, question) if "name" in names else frozenset(), settings)
+    ranked = ranking.rank(rows, question, names, direction, ranking.owner_names(facts, question), settings)
     best = top_k(ranked.withColumnRenamed("final", "score"), "score", k)
     # k rows: their chains are found by a broadcast of k keys
     chains = facts.join(F.broadcast(best.where(F.col("group_key").isNotNull()).select("group_key").distinct()), "group_key", "left_semi")
@@ -121,13 +120,13 @@ def history(facts: DataFrame, question: str, query, max_len: int | None = None,
     unit = checked_query(query)
     rows = candidates(facts, unit, -2.0) if unit else facts.withColumn("cosine", F.lit(0.0)).withColumn("base", F.lit(0.0)).where(F.lit(False))
     masked = rows.where(F.col("base") >= min_score)
-    names = ranking.entity_names(facts)
+    names = ranking.Names(facts)
     intent, known = ranking.intents_of(question, names) if names else (None, [])
     best = masked.orderBy(F.col("base").desc(), "row_id").limit(1).select("row_id", "group_key").collect()
     if not best:
         return rows.withColumn("superseded", F.lit(False))
     top = ranking.top_entity(masked.withColumn("final", F.col("base")), intent, known, s.intent_margin)
-    members = A.matching_names(top, names)
+    members = names.matching(top)[0]
     group = rows.where(F.col("entity").isin(members)) if members else rows.where(F.lit(False))
     if group.limit(2).count() < 2:
         window = [r["row_id"] for r in ranking.cosine_window(masked, s)]
