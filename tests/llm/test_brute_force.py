@@ -330,9 +330,10 @@ def test_near_long_lines_share_a_part():
             b = near_copy(rng, a, line_dedup.bound(n), vocabulary)
             if min(len(a), len(b)) >= line_dedup.LONG and line_dedup.near(a, b):
                 lines += [a, b]
-        parts = line_dedup.long_parts(lines, {})
+        norms = [b" ".join(x) for x in lines]
+        parts = line_dedup.long_parts(norms)
         assert len(lines) > 20 and all(set(x.tolist()) & set(y.tolist()) for x, y in zip(parts[::2], parts[1::2], strict=True))
-        assert all(x.tolist() == line_dedup.long_parts([words], {})[0].tolist() for x, words in zip(parts, lines, strict=True))
+        assert all(x.tolist() == line_dedup.long_parts([norm])[0].tolist() for x, norm in zip(parts, norms, strict=True))
 
 
 def test_long_lines_allow_more_edits(spark, monkeypatch):

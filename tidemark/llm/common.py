@@ -82,15 +82,22 @@ def in_fold(doc_id, modulus: int):
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == 0
 
 
+#: Edges that one task takes in a round of :func:`components`.
+EDGES_A_TASK = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row ``(node, root)``, root the least node reachable.
 
     Min-label hooking with pointer jumping, so rounds grow with the logarithm of a component's
     diameter. Every step is a join or a partially aggregated minimum, nothing is collected; each
     round is written to the shared folder, and only the number of changed labels reaches the driver.
+    Rounds use as many tasks as the number of edges calls for, as most tables of links are small.
     """
     sym = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = materialize(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels0")
+    tasks = sym.count() // EDGES_A_TASK + 1
+    kept = lambda df, tag: materialize(df.coalesce(tasks), tag)
+    labels = kept(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels0")
     turn = 0
     while True:
         turn += 1
@@ -98,9 +105,10 @@ def components(edges: DataFrame) -> DataFrame:
         at_a = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         seen = sym.join(at_b, "b").join(at_a, "a")
         offers = seen.select(F.explode(F.array("a", "root_a")).alias("node"), "root_b").groupBy("node").agg(F.min("root_b").alias("offer"))
-        hooked = materialize(labels.join(offers, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root")), f"hooked{turn}")
+        hooked = labels.join(offers, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root"))
+        hooked = kept(hooked, f"hooked{turn}")
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        labels = materialize(hooked.join(above, "root", "left").select("node", "was", F.least("root", F.coalesce("upper", "root")).alias("root")), f"labels{turn}")
+        labels = kept(hooked.join(above, "root", "left").select("node", "was", F.least("root", F.coalesce("upper", "root")).alias("root")), f"labels{turn}")
         if labels.where("root <> was").isEmpty():
             return labels.select("node", "root")
         labels = labels.select("node", "root")

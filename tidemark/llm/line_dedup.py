@@ -33,6 +33,7 @@ or the rest is untouched, so lines whose halves (4 keys a line) no other line sh
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -128,37 +129,63 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     return within(a, b, bound(max(len(a), len(b))))
 
 
-def long_parts(lines: list[list[bytes]], known: dict[bytes, int]) -> list[np.ndarray]:
-    """Parts of lines of at least ``LONG`` words each, of which two near lines share at least one. ``known``: hashes of words."""
-    if not lines:
-        return []
-    if len(known) > 400_000:
-        known.clear()
-    sizes = np.array([len(words) for words in lines])
-    codes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for words in lines for w in words], np.uint64)
-    runs = np.zeros(len(codes) - RUN + 1, np.uint64)
-    for k in range(RUN):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(runs)]
+_CHUNK = 1 << 20  # bytes of lines that are hashed at once
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+@functools.cache
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, _CHUNK + 1), _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
+
+
+def long_parts(lines: list[bytes]) -> list[np.ndarray]:
+    """Parts of normalised lines of at least ``LONG`` words each, of which two near lines share at least one."""
+    out, at = [], 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and (to == at or size + len(lines[to]) < _CHUNK):
+            size += len(lines[to]) + 1
+            to += 1
+        out += _parts_of(lines[at:to])
+        at = to
+    return out
+
+
+def _parts_of(lines: list[bytes]) -> list[np.ndarray]:
+    flat = b" ".join(lines)
+    codes = np.frombuffer(flat, np.uint8)
+    gaps = np.flatnonzero(codes == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(flat)]])
+    sizes = np.array([x.count(b" ") + 1 for x in lines])
+    # the hash of a stretch of bytes from prefix sums of a polynomial, moved to power zero
+    size = len(flat)
+    up, back = _chunk_powers() if size <= _CHUNK else (_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size))
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(np.multiply(codes, up[:size], dtype=np.uint64), out=sums[1:])
+    n = len(starts) - RUN + 1
+    runs = (sums[ends[RUN - 1 :]] - sums[starts[:n]]) * back[starts[:n]]
     runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     runs ^= runs >> np.uint64(32)
-    # the least of CHOICE neighbours, from the least of 16 and of the last CHOICE - 16
+    # the least of CHOICE neighbours, by doubling
     least, wide = runs, 1
     while 2 * wide <= CHOICE:
         least = np.minimum(least[:-wide], least[wide:])
         wide *= 2
     least = np.minimum(least[: len(least) - (CHOICE - wide)], least[CHOICE - wide :])
-    ends = np.cumsum(sizes)
+    last = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(lines)), sizes)[: len(least)]
-    whole = np.arange(len(least)) + RUN + CHOICE - 1 <= ends[owner]
+    whole = np.arange(len(least)) + RUN + CHOICE - 1 <= last[owner]
     limit = np.minimum(1.0, LONG_KEYS * (CHOICE + 1) / (2.0 * sizes))
-    limit = (limit * float((1 << 64) - 2048)).astype(np.uint64)
-    whole &= least <= limit[owner]
+    whole &= least <= (limit * float((1 << 64) - 2048)).astype(np.uint64)[owner]
     owner, least = owner[whole], least[whole]
     fresh = np.ones(len(least), bool)  # neighbours mostly choose the same run
     fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     owner, least = owner[fresh], least[fresh]
-    cuts = np.searchsorted(owner, np.arange(1, len(lines)))
-    return [np.unique(x).view(np.int64) for x in np.split(least, cuts)]
+    return [np.unique(x).view(np.int64) for x in np.split(least, np.searchsorted(owner, np.arange(1, len(lines))))]
 
 
 def word_tokens(words: list[bytes]) -> np.ndarray:
@@ -183,7 +210,6 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
     kind, ord_type = dict(rows.dtypes)["ord"], arrow_type(rows, "ord")
 
     def run(batches):
-        known: dict[bytes, int] = {}
         for batch in batches:
             keys, ords, lines, hashes, halves, sizes, counts, long = [], [], [], [], [], [0], [], []
             for key, ordinal, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
@@ -193,16 +219,17 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
                         keys.append(key)
                         ords.append(ordinal)
                         lines.append(at)
-                        hashes.append(_hash(b" ".join(words)))
+                        norm = b" ".join(words)
+                        hashes.append(_hash(norm))
                         if near_words <= len(words) < 2 * EDIT_WORDS:
                             halves += half_keys(words)
                         sizes.append(len(halves))
                         counts.append(len(words))
                         if len(words) >= LONG:
-                            long.append(words)
+                            long.append(norm)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(halves, pa.int64()))
             columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists]
-            found = iter(long_parts(long, known))
+            found = iter(long_parts(long))
             columns += [pa.array([next(found) if n >= LONG else _NONE for n in counts], pa.list_(pa.int64())), pa.array(counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves", "parts", "n_words"])
 

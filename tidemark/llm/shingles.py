@@ -26,7 +26,7 @@ from tidemark.llm.common import components, materialize, text_bytes
 SEED = 42
 BANDS, ROWS = 40, 5
 #: Members that all others of a key are compared with first, and the sizes of blocks of the comparison that follows.
-PIVOTS = 3
+PIVOTS = 6
 LATE_BLOCK, ALL_BLOCK = 128, 2048
 _CHUNK = 1 << 12
 _rng = np.random.default_rng(7)
@@ -125,12 +125,14 @@ def meetings(keys: DataFrame) -> DataFrame:
 
 
 def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(key, sig, root, late, n_late, n_all)`` of keys whose members are not all connected.
+    """``(key, sig, root, late, n_late, n_all)`` of keys whose members are not all connected nor all compared.
 
     ``late`` marks the members outside the key's commonest root. Every pair that is not connected has
-    one of them on a side.
+    one of them on a side. All members have been compared with the pivots, so keys with fewer than two
+    other members are done.
     """
-    rooted = met.select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
+    left = met.groupBy("key").agg((F.count("*") - F.size(F.first("pivots"))).alias("others")).where("others > 1").select("key")
+    rooted = met.select("key", "sig").join(left, "key", "left_semi").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
     counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     of_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n_all"), F.count("*").alias("n_roots")).where("n_roots > 1")
     of_key = of_key.select("key", F.col("main.root").alias("main"), (F.col("n_all") - F.col("main.n")).alias("n_late"), "n_all")
