@@ -21,8 +21,8 @@ Deleting each choice of several words would give very many variants, so the neig
 line is emitted by its parts: a line of N words with N / 48 edits keeps a run of 32 words at least
 without an edit. Winnowing (of every 26 neighbouring 7-word runs the one with the least hash) picks
 places by content alone, and any 32 words hold a whole choice, so two such lines share a part; of very
-long lines about ``LONG_KEYS`` parts are kept, again by hash. Lines that share a part and agree in length to about
-5 % are verified by word edit distance; of long lines that are linked, directly or through others,
+long lines about ``LONG_KEYS`` parts are kept, again by hash. Lines that share a part and agree in length to a few
+per cent are verified by word edit distance; of long lines that are linked, directly or through others,
 the earliest stays. Within a part all are compared with a few members and only what that leaves
 unconnected in blocks (:mod:`tidemark.llm.shingles`).
 
@@ -326,8 +326,8 @@ def _long_meetings(classes: DataFrame) -> DataFrame:
     parts = classes.where(F.size("parts") > 0).select(F.col("h").alias("sig"), "n_words", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     some = parts.join(shared, "part", "left_semi")
-    # near lines differ by little over 2 % in length, so of two neighbouring steps of 5 % they share one
-    step = F.floor(F.log(F.col("n_words").cast("double")) / math.log(1.05))
+    # near lines differ by at most 2 in 96 words, so of two neighbouring steps of 2.5 % they share one
+    step = F.floor(F.log(F.col("n_words").cast("double")) / math.log(1.025))
     return shingles.meetings(some.select("sig", "part", F.explode(F.array(step, step + 1)).alias("step")).select("sig", F.xxhash64("part", "step").alias("key")))
 
 

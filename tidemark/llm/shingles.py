@@ -112,16 +112,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
 
 def meetings(keys: DataFrame) -> DataFrame:
-    """``(key, sig, pivots)`` of the keys that several sets share, with ``PIVOTS`` members of the key chosen by hash.
+    """``(key, sig, pivots, others)`` of the keys that several sets share: ``PIVOTS`` members chosen by hash, and how many more there are.
 
     ``keys(sig, key)`` lists a key of a set once. Few keys are shared: they are found by bare counts
-    first, and only their members take part in the choice of pivots.
+    first, and only their members take part in the choice of pivots. A pivot is the least member after an
+    exclusive or with a hash of the key, which can be undone, so the choice is a minimum of plain numbers.
     """
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = materialize(keys.join(shared, "key", "left_semi").select("key", "sig"), "shared")
-    pivots = [F.min(F.struct(F.xxhash64(F.lit(turn), "key", "sig").alias("at"), F.col("sig"))).alias(f"p{turn}") for turn in range(PIVOTS)]
-    chosen = met.groupBy("key").agg(*pivots).select("key", F.array_distinct(F.array(*[F.col(f"p{turn}.sig") for turn in range(PIVOTS)])).alias("pivots"))
-    return met.join(chosen, "key").select("key", "sig", "pivots")
+    mask = lambda turn: F.xxhash64(F.lit(turn), "key")
+    chosen = met.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.col("sig").bitwiseXOR(mask(turn))).alias(f"p{turn}") for turn in range(PIVOTS)])
+    pivots = F.array_distinct(F.array(*[F.col(f"p{turn}").bitwiseXOR(mask(turn)) for turn in range(PIVOTS)]))
+    chosen = chosen.select("key", "n", pivots.alias("pivots"))
+    return met.join(chosen, "key").select("key", "sig", "pivots", (F.col("n") - F.size("pivots")).alias("others"))
 
 
 def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -131,8 +134,7 @@ def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
     one of them on a side. All members have been compared with the pivots, so keys with fewer than two
     other members are done.
     """
-    left = met.groupBy("key").agg((F.count("*") - F.size(F.first("pivots"))).alias("others")).where("others > 1").select("key")
-    rooted = met.select("key", "sig").join(left, "key", "left_semi").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
+    rooted = met.where("others > 1").select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
     counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     of_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n_all"), F.count("*").alias("n_roots")).where("n_roots > 1")
     of_key = of_key.select("key", F.col("main.root").alias("main"), (F.col("n_all") - F.col("main.n")).alias("n_late"), "n_all")
