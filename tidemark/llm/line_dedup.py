@@ -237,21 +237,22 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
 
 
 def _candidate_texts(rows: DataFrame) -> DataFrame:
-    """``(h, ord, row_key, line, text)`` of the wanted lines of rows ``(row_key, ord, text, wanted)``."""
-    kinds = (pa.int64(), arrow_type(rows, "ord"), pa.int64(), pa.int32(), pa.binary())
+    """``(h, ord, row_key, line, norm, n_words)`` of the wanted lines of rows ``(row_key, ord, text, wanted)``."""
+    kinds = (pa.int64(), arrow_type(rows, "ord"), pa.int64(), pa.int32(), pa.binary(), pa.int32())
 
     def run(batches):
         for batch in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for key, ordinal, text, wanted in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 lines = text.split(b"\n")
                 for at in sorted(set(wanted)):
-                    norm = b" ".join(_norm(lines[at]))
-                    for col, value in zip(cols, (_hash(norm), ordinal, key, at, norm), strict=True):
+                    words = _norm(lines[at])
+                    norm = b" ".join(words)
+                    for col, value in zip(cols, (_hash(norm), ordinal, key, at, norm, len(words)), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ord", "row_key", "line", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ord", "row_key", "line", "norm", "n_words"])
 
-    return rows.mapInArrow(run, f"h long, ord {dict(rows.dtypes)['ord']}, row_key long, line int, norm binary")
+    return rows.mapInArrow(run, f"h long, ord {dict(rows.dtypes)['ord']}, row_key long, line int, norm binary, n_words int")
 
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
@@ -279,15 +280,15 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     sigs = materialize(signatures(rows, min_words, near_words), "signatures")
     place = F.struct("ord", "row_key", "line")
     classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts"), F.first("n_words").alias("n_words")), "classes")
-    # a half is shared if two different lines have it; sums of bare hashes are all that is shuffled here
+    # a half is shared if two different lines have it; counts of bare hashes are all that is shuffled here
     halves = classes.where(F.size("halves") > 0).select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("half")
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     met = materialize(_long_meetings(classes), "met_long")
     wanted = halves.join(shared, "half", "left_semi").select("h").union(met.select("sig")).distinct()
     by_row = classes.select("h", "first").join(wanted, "h", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
     lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines")
     # so too for the variants: the few keys that two lines share are found first, then who has them
-    cloud = _neighbourhoods(lines.where(~_is_long()))
+    cloud = _neighbourhoods(lines.where(F.col("n_words") < 2 * EDIT_WORDS))
     common = cloud.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
     cloud = materialize(cloud.join(common, "key", "left_semi").join(lines.select("h", place.alias("place")), "h"), "met")
     one = F.struct("place", "h")
@@ -302,15 +303,15 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     return flagged.select("row_key", "ord", "line", reason.alias("reason")).where("reason is not null")
 
 
-def _is_long():
-    """Whether a normalised line is compared by its parts only."""
-    return F.size(F.split(F.col("norm").cast("string"), " ")) >= 2 * EDIT_WORDS
-
-
 def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs ``(h, other)`` whose lines are near each other."""
+    sizes = lines.select("h", "n_words")
+    sized = met.join(sizes, "h").join(sizes.select(F.col("h").alias("other"), F.col("n_words").alias("other_words")), "other")
+    allowed = F.greatest(F.lit(1), F.floor(F.greatest("n_words", "other_words") / EDIT_WORDS))
+    # texts are fetched only for pairs whose lengths are within the bound
+    close = sized.where(F.abs(F.col("n_words") - F.col("other_words")) <= allowed).select("h", "other")
     texts = lines.select("h", "norm")
-    pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("other_norm")), "other").select("h", "other", "norm", "other_norm")
+    pairs = close.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("norm").alias("other_norm")), "other").select("h", "other", "norm", "other_norm")
 
     def run(batches):
         for batch in batches:
