@@ -243,8 +243,8 @@ def concordant(chain: DataFrame) -> bool:
 def winning_row(group: DataFrame, historical: bool, mode: str, state=None) -> int:
     """The row id of the member asked for. Revisions count only within one key and where they agree with time."""
     state = state or group.agg(F.count_distinct("group_key").alias("keys"), F.count("group_key").alias("keyed"), F.count("*").alias("n")).first()
-    counted = F.col("revision") if state.keys == 1 and state.keyed == state.n and concordant(group) else F.lit(0)
-    order = [counted, F.col("ts"), F.col("row_id")]
+    counted = state.keys == 1 and state.keyed == state.n and concordant(group)
+    order = [F.col(c) for c in (["revision"] if counted else []) + ["ts", "row_id"]]
     if historical and mode != "previous":
         return group.orderBy(*[c.asc() for c in order]).select("row_id").first().row_id
     newest = [r.row_id for r in group.orderBy(*[c.desc() for c in order]).select("row_id").limit(2).collect()]
