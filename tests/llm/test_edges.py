@@ -44,7 +44,7 @@ FOX = "the quick brown fox jumps over the lazy"
 LONG = 80_000  # words of the long text
 WANT = {
     "decontam": (("item_id", "edits"), {1: [(1, 0)] * 2, None: [(1, 1)]}),
-    "lm": (("n_tokens", "held_out"), {1: [(10, False)] * 2, 2: [(1, False)], None: [(1, True), (10, True)], 3: [(1, False)], 4: [(1, False)], 5: [(LONG + 1, False)], 6: [(2, False)], 7: [(7, False)]}),
+    "lm": (("n_tokens",), {1: [(10,)] * 2, 2: [(1,)], None: [(1,), (10,)], 3: [(1,)], 4: [(1,)], 5: [(LONG + 1,)], 6: [(2,)], 7: [(7,)]}),
     "lines": (("n_exact", "n_near", "text"), {1: [(0, 0, f"{FOX} dog")] * 2, 2: [(0, 0, None)], None: [(0, 0, None), (0, 1, "")], 3: [(0, 0, "")], 4: [(0, 0, "   \n\t ")]}),
     "simhash": (("component_id",), {2: [(2,)], 3: [(2,)], 4: [(2,)], 1: [(1,)] * 2, 5: [(5,)], 6: [(6,)], 7: [(7,)]}),
     "rules": (("n_words", "n_dup_lines", "base_failed", "kept"), {1: [(9, 0, True, False)] * 2, 2: [(0, 0, True, False)], None: [(0, 0, True, False), (9, 0, True, False)], 3: [(0, 0, True, False)], 4: [(0, 0, True, False)], 5: [(LONG, 19_999, True, False)], 6: [(1, 0, True, False)]}),
