@@ -40,15 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Whether Spark drops the shuffle files of a query when it ends, not whenever the driver collects its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
 
-    The folder stays until :func:`clear_scratch`, as results may still read it.
+    The folder stays until :func:`clear_scratch`, as results may still read it. ``drop_shuffles``: what was
+    shuffled on the way goes from the disks as soon as the table is written.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    df.write.parquet(f"{folder}/{tag}")
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    try:
+        spark.conf.set(_DROP_SHUFFLES, "true" if drop_shuffles else before)
+        df.write.parquet(f"{folder}/{tag}")
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
 
 

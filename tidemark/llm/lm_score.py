@@ -357,7 +357,8 @@ def score(docs: DataFrame, modulus: int = 10) -> DataFrame:
     # as many partitions as there are buckets and blocks, so that a task holds a few of them at every size
     asked = _requests(blocks, buckets).repartition(sum(buckets.values()), "kind", "bucket")
     schema = "kind int, bucket int, block long, others binary, stats array<struct<bin: int, n: long, total: long>>"
-    answers = materialize(asked.groupBy("kind", "bucket").applyInArrow(_answer, schema), "answers")
+    # the lists are the largest thing on the disks, and nothing reads them again
+    answers = materialize(asked.groupBy("kind", "bucket").applyInArrow(_answer, schema), "answers", drop_shuffles=True)
     held = answers.where("stats is not null").select(F.inline("stats")).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     # at most _BINS rows a kind
     by_kind = {kind: {r.bin % _BINS: r for r in held if r.bin // _BINS == kind} for kind in _KINDS}
