@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are at Jaccard 0.8 or more: the one with the least id."""
+    """One document of each group of near-duplicates: SimHashes at most two bits apart, or five-word shingles at Jaccard 0.8 or more; the one with the least id."""
     return shingles.keep_one(docs)
 
 

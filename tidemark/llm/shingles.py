@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: banded MinHash, then exact verification.
+"""Near-duplicates by SimHash balls and by the Jaccard similarity of word shingles (banded MinHash, exact verification).
+
+Two relations link documents, and classes follow both: fingerprints at most two bits apart, by the ball
+hashing of ``simhash``, and sets of shingles at a similarity of 0.8 or more. Neither holds the other: most
+pairs at 0.8 differ in more bits than a ball can hold, and long texts with scattered edits fall below 0.8
+of five-word shingles while their fingerprints hardly change.
 
 A document is the set of its 5-word shingles (A-Z lower-cased; a shorter text is one shingle). Equal sets
 collapse first. Each distinct set then emits ``BANDS`` keys, each of ``ROWS`` minima of hashed shingles;
@@ -21,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import components, materialize, text_bytes
 
 SEED = 42
@@ -70,21 +76,22 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return both >= least * (low + high - both)
 
 
-def _signatures(rows: DataFrame, size: int) -> DataFrame:
-    """``(row_key, doc_id, sig, keys)``: a hash of each row's set and the keys of its bands."""
+def _signatures(rows: DataFrame, size: int, fp_size: int) -> DataFrame:
+    """``(row_key, doc_id, sig, fp, keys)``: a hash of each row's set, the text's fingerprint and the keys of the set's bands."""
 
     def run(batches):
         for batch in batches:
-            sigs, keys = [], []
+            sigs, fps, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text, size)
+                fps.append(simhash.fingerprint(text, fp_size))
                 sigs.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(band_keys(found))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sigs, np.uint64).view(np.int64)), lists], ["row_key", "doc_id", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sigs, fps)], lists], ["row_key", "doc_id", "sig", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"row_key long, doc_id {dict(rows.dtypes)['doc_id']}, sig long, keys array<long>")
+    return rows.mapInArrow(run, f"row_key long, doc_id {dict(rows.dtypes)['doc_id']}, sig long, fp long, keys array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -214,16 +221,28 @@ def linked(met: DataFrame, sets: DataFrame, pivoted, similar_sizes, verified=Non
     return roots if second.isEmpty() else components(first.union(second))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+def met_in_balls(classes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``(node, root)`` of the roots of ``classes`` that fingerprints of ``sigs`` join.
+
+    A ball that several roots meet in links each of them with the least.
+    """
+    held = sigs.select("sig", "fp").distinct().join(classes.select("sig", "root"), "sig").join(simhash.balls(sigs), "fp").select("ball", "root").distinct()
+    held = materialize(held, "held")
+    several = held.groupBy("ball").agg(F.min("root").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return components(held.join(several, "ball").select(F.col("root").alias("a"), F.col("least").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5), fp_size: int = 3) -> DataFrame:
     """One row per input row: ``doc_id, component_id``.
 
-    Rows link where their sets of shingles have a Jaccard similarity of ``least`` or more (texts without
+    Rows link where the SimHashes of their ``fp_size``-word shingles differ in at most 2 bits, or where
+    their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more (texts without
     words: with each other); ``component_id`` is the least ``doc_id`` reachable (null only if no row
     reachable has an id). Bands are chosen for 0.8; a lower ``least`` finds fewer of its pairs.
     """
     keyed = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows = text_bytes(keyed, "row_key", "doc_id")
-    sigs = materialize(_signatures(rows, size), "signatures")
+    sigs = materialize(_signatures(rows, size, fp_size), "signatures")
     keys = sigs.groupBy("sig").agg(F.first("keys").alias("keys")).select("sig", F.explode("keys").alias("key"))
     met = materialize(meetings(keys), "met")
     owners = sigs.join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("row_key").alias("row_key"))
@@ -233,6 +252,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     joined = linked(met, sets, lambda pairs: _verified(pairs, sets, least), enough)
     classes = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     classes = materialize(classes, "classes")
+    merged = met_in_balls(classes, sigs).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    classes = materialize(classes.join(merged, "root", "left").select("sig", "rep", F.coalesce("upper", "root").alias("root")), "merged")
     owner = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     return sigs.select("doc_id", "sig").join(classes.join(owner, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
 

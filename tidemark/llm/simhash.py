@@ -69,6 +69,12 @@ def links(fps: DataFrame) -> DataFrame:
     return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
+def balls(fps: DataFrame) -> DataFrame:
+    """``(fp, ball)`` of every distinct fingerprint: those linked, directly or through others, share a ball."""
+    roots = materialize(components(links(fps)), "balls").select(F.col("node").alias("fp"), "root")
+    return fps.select("fp").distinct().join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("ball"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
