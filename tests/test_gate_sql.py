@@ -8,7 +8,7 @@ from tidemark.functions import gate
 from tidemark.plans import catalog
 
 TEXTS = [
-    "teüim tag", "der imü tag", "im tag", "beü my name is so", "I live in Österreich", "ärmy dog was here", "über 5kgö und 12:30ü", "öforget that", "zuöremember this", "éi had to go, i work", "www.üx.de", "ü2024ä", "naï12/03ö",
+    "teüim tag", "der imü tag", "im tag", "beü my name is so", "I live in Österreich", "ärmy dog was here", "über 5kgö und 12:30ü", "öforget that", "zuöremember this", "éi had to go, i work", "www.üx.de", "ü2024ä", "naï12/03ö", "e\u0301im tag", "a\u0301 im i\u0301m",
     " ".join(["abcde"] * 61 + ["abcdef"] * 3), " ".join(["abcde"] * 51 + ["abcdef"] * 13), "ok", "",
 ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed as K
 from tidemark.functions.text import strip
 
-_WORD = r"(?U)[^\W\d_]+"
+_WORD = r"\p{L}+"
 _OTHER_LETTER = r"[\p{L}\p{N}\p{M}&&[^\x00-\x7F]]"
 _any = lambda words: "^(?:" + "|".join(words.split()) + ")$"
 
