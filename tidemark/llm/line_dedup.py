@@ -28,7 +28,7 @@ unconnected in blocks (:mod:`tidemark.llm.shingles`).
 
 Emitting a variant per word for a whole corpus would cost as many rows as it has words. A lossless
 test spares lines that cannot have a partner: of two lines one word edit apart, either the first half
-or the rest is untouched, so lines whose halves (4 keys a line) no other line shares emit nothing.
+or the rest is untouched, so lines whose halves (3 keys a line) no other line shares emit nothing.
 """
 
 from __future__ import annotations
@@ -57,40 +57,44 @@ _LAST = (1 << 63) - 1
 _LAST_TEXT = chr(0x10FFFF)
 
 
-def _hash(data: bytes, seed: int = 0) -> int:
-    """Signed 64-bit XXH64."""
-    h = xxhash.xxh64_intdigest(data, seed)
-    return h - (1 << 64) if h >> 63 else h
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+_digest = xxhash.xxh64_intdigest
+
+
+def _signed(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, np.uint64).view(np.int64))
 
 
 def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of which two lines one word edit apart share at least one.
+    """Keys (unsigned) of which two lines one word edit apart share at least one.
 
     For a pair whose longer line has N words, an edit in its first N//2 words leaves the last
     N - N//2 words of both alone, and one after them leaves the first N//2. A line of n words is the
-    longer line for N = n and the shorter for N = n + 1; N is part of the key.
+    longer line for N = n and the shorter for N = n + 1; for one of the two N its first words are as
+    many as for the other, and so are its last words for the other, so three keys do.
     """
-    n, out = len(words), []
-    for longer in (n, n + 1):
-        half = longer // 2
-        out.append(_hash(b" ".join(words[:half]), 2 * longer))
-        out.append(_hash(b" ".join(words[n - (longer - half) :]), 2 * longer + 1))
-    return out
+    n = len(words)
+    half = n // 2
+    head, tail = b" ".join(words[:half]), b" ".join(words[half:])
+    if n % 2:
+        return [_digest(head, 2), _digest(head + b" " + words[half], 2), _digest(tail, 3)]
+    return [_digest(head, 2), _digest(tail, 3), _digest(words[half - 1] + b" " + tail, 3)]
 
 
-def variants(words: list[bytes]) -> list[int]:
-    """Hashed keys of the deletion neighbourhood: that of the whole line, then for each word a D and an S key."""
+def variants(words: list[bytes]) -> np.ndarray:
+    """Hashed keys of the deletion neighbourhood: that of the whole line, then the D key of each word, then the S keys."""
     n = len(words)
     norm = b" ".join(words)
-    out = [_hash(norm, 1)]
+    out = [_digest(norm, 1)]
     at = 0
     for k, w in enumerate(words):
         end = at + len(w)
-        rest = norm[: at - 1] + norm[end:] if k else norm[end + 1 :]
-        out.append(_hash(rest, 1))
-        out.append(_hash(rest, 2 + ((n << 20) | k)))
+        out.append(_digest(norm[: at - 1] + norm[end:] if k else norm[end + 1 :], 1))
         at = end + 1
-    return out
+    keys = np.array(out, np.uint64)
+    # an S key is the D key and the word's place among how many, mixed one to one
+    placed = (keys[1:] ^ ((np.uint64(n) << np.uint64(32)) + np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(_BASE)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.concatenate([keys, placed ^ (placed >> np.uint64(32))]).view(np.int64)
 
 
 def bound(words: int) -> int:
@@ -130,7 +134,6 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
 
 
 _CHUNK = 1 << 20  # bytes of lines that are hashed at once
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -213,22 +216,22 @@ def signatures(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
         for batch in batches:
             keys, ords, lines, hashes, halves, sizes, counts, long = [], [], [], [], [], [0], [], []
             for key, ordinal, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                for at, line in enumerate(text.split(b"\n")):
-                    words = _norm(line)
+                for at, line in enumerate(text.lower().split(b"\n")):
+                    words = line.split()
                     if len(words) >= min_words:
                         keys.append(key)
                         ords.append(ordinal)
                         lines.append(at)
                         norm = b" ".join(words)
-                        hashes.append(_hash(norm))
+                        hashes.append(_digest(norm))
                         if near_words <= len(words) < 2 * EDIT_WORDS:
                             halves += half_keys(words)
                         sizes.append(len(halves))
                         counts.append(len(words))
                         if len(words) >= LONG:
                             long.append(norm)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(halves, pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), lists]
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), _signed(halves))
+            columns = [pa.array(keys, pa.int64()), pa.array(ords, ord_type), pa.array(lines, pa.int32()), _signed(hashes), lists]
             found = iter(long_parts(long))
             columns += [pa.array([next(found) if n >= LONG else _NONE for n in counts], pa.list_(pa.int64())), pa.array(counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "ord", "line", "h", "halves", "parts", "n_words"])
@@ -248,9 +251,9 @@ def _candidate_texts(rows: DataFrame) -> DataFrame:
                 for at in sorted(set(wanted)):
                     words = _norm(lines[at])
                     norm = b" ".join(words)
-                    for col, value in zip(cols, (_hash(norm), ordinal, key, at, norm, len(words)), strict=True):
+                    for col, value in zip(cols, (_digest(norm), ordinal, key, at, norm, len(words)), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ord", "row_key", "line", "norm", "n_words"])
+            yield pa.RecordBatch.from_arrays([_signed(cols[0]), *[pa.array(c, t) for c, t in zip(cols[1:], kinds[1:], strict=True)]], ["h", "ord", "row_key", "line", "norm", "n_words"])
 
     return rows.mapInArrow(run, f"h long, ord {dict(rows.dtypes)['ord']}, row_key long, line int, norm binary, n_words int")
 
@@ -263,7 +266,7 @@ def _neighbourhoods(lines: DataFrame) -> DataFrame:
             heads, keys, whole = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
             for k, norm in enumerate(batch.column(1).to_pylist()):
                 found = variants(norm.split(b" "))
-                keys.append(np.array(found, np.int64))
+                keys.append(found)
                 heads.append(np.full(len(found), k))
                 whole.append(np.arange(len(found)) == 0)
             at = pa.array(np.concatenate(heads))
@@ -279,30 +282,44 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR
     rows = _keyed(docs).select("row_key", "ord", F.col("text").cast("binary").alias("text")).where("text is not null")
     sigs = materialize(signatures(rows, min_words, near_words), "signatures")
     place = F.struct("ord", "row_key", "line")
-    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts"), F.first("n_words").alias("n_words")), "classes")
-    # a half is shared if two different lines have it; counts of bare hashes are all that is shuffled here
-    halves = classes.where(F.size("halves") > 0).select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    met = materialize(_long_meetings(classes), "met_long")
-    wanted = halves.join(shared, "half", "left_semi").select("h").union(met.select("sig")).distinct()
+    classes = materialize(sigs.groupBy("h").agg(F.min(place).alias("first"), F.min_by("halves", place).alias("halves"), F.min_by("parts", place).alias("parts"), F.first("n_words").alias("n_words"), F.count("*").alias("n")), "classes", drop_shuffles=True)
+    # a half is shared if two different lines have it; bare hashes are all that is shuffled here, and once
+    halves = _several(classes.where(F.size("halves") > 0).select("h", F.explode("halves").alias("key")))
+    met = materialize(_long_meetings(classes), "met_long", drop_shuffles=True)
+    wanted = halves.select("h").union(met.select("sig")).distinct()
     by_row = classes.select("h", "first").join(wanted, "h", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list("first.line").alias("wanted"))
-    lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines")
+    lines = materialize(_candidate_texts(rows.join(by_row, "row_key").select("row_key", "ord", "text", "wanted")).dropDuplicates(["h", "ord", "row_key", "line"]), "lines", drop_shuffles=True)
     # so too for the variants: the few keys that two lines share are found first, then who has them
-    cloud = _neighbourhoods(lines.where(F.col("n_words") < 2 * EDIT_WORDS))
-    common = cloud.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
-    cloud = materialize(cloud.join(common, "key", "left_semi").join(lines.select("h", place.alias("place")), "h"), "met")
+    cloud = _several(_neighbourhoods(lines.where(F.col("n_words") < 2 * EDIT_WORDS)))
+    cloud = materialize(cloud.join(lines.select("h", place.alias("place")), "h"), "met", drop_shuffles=True)
     one = F.struct("place", "h")
     keys = cloud.groupBy("key").agg(F.min(F.when(F.col("whole"), one)).alias("line_itself"), F.min(F.when(~F.col("whole"), one)).alias("least"))
     partner = F.when(~F.col("whole") & F.col("line_itself").isNotNull(), F.col("line_itself")).otherwise(F.col("least"))
     short = cloud.join(keys, "key").select("h", "place", partner.alias("partner"))
     short = short.where(F.col("partner.place") < F.col("place")).select("h", F.col("partner.h").alias("other")).distinct()
-    late = materialize(_verified(short, lines).select("h").union(_late_long(met, lines, place)).distinct().withColumn("near", F.lit(True)), "near")
-    flagged = sigs.select("row_key", "ord", "line", "h").join(classes.select("h", "first"), "h").join(late, "h", "left")
+    late = materialize(_verified(short, lines).select("h").union(_late_long(met, lines, place)).distinct().withColumn("near", F.lit(True)), "near", drop_shuffles=True)
+    # most lines are the only one of their class and near no earlier one: none of these can go
+    marked = classes.select("h", "first", "n").join(late, "h", "left").where("n > 1 or near").select("h", "first", "near")
+    flagged = sigs.select("row_key", "ord", "line", "h").join(marked.hint("shuffle_hash"), "h")
     first = F.struct("ord", "row_key", "line") == F.col("first")
     reason = F.when(~first, F.lit("exact")).when(F.col("near"), F.lit("near"))
     return flagged.select("row_key", "ord", "line", reason.alias("reason")).where("reason is not null")
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows ``(key, h, ...)`` whose key two different lines have.
+
+    Counts and rows read one and the same shuffle, so rows are made and dealt out once; memory holds the few shared keys
+    of a partition. For Spark to see that the shuffles are one, both sides ask for all columns and no null key or hash
+    (there are none), whatever is asked of the result.
+    """
+    more = [c for c in rows.columns if c not in ("key", "h")]
+    dealt = rows.where("key is not null and h is not null").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top"), *[F.max(c).alias(f"most_{c}") for c in more])
+    shared = shared.where(" and ".join(["low <> top", *[f"most_{c} is not null" for c in more]])).select("key")
+    return dealt.join(shared.hint("shuffle_hash"), "key").select(rows.columns)  # a semi-join would go below its shuffle
+
+
 def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs ``(h, other)`` whose lines are near each other."""
     sizes = lines.select("h", "n_words")
@@ -324,9 +341,8 @@ def _verified(met: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _long_meetings(classes: DataFrame) -> DataFrame:
     """``(key, sig, pivots)`` of the long lines that share a part and are of about one length."""
-    parts = classes.where(F.size("parts") > 0).select(F.col("h").alias("sig"), "n_words", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    some = parts.join(shared, "part", "left_semi")
+    parts = classes.where(F.size("parts") > 0).select("h", "n_words", F.explode("parts").alias("key"))
+    some = _several(parts).select(F.col("h").alias("sig"), "n_words", F.col("key").alias("part"))
     # near lines differ by at most 2 in 96 words, so of two neighbouring steps of 2.5 % they share one
     step = F.floor(F.log(F.col("n_words").cast("double")) / math.log(1.025))
     return shingles.meetings(some.select("sig", "part", F.explode(F.array(step, step + 1)).alias("step")).select("sig", F.xxhash64("part", "step").alias("key")))
@@ -342,7 +358,7 @@ def _late_long(met: DataFrame, lines: DataFrame, place) -> DataFrame:
             found = pa.array([word_tokens(x.split(b" ")).tobytes() for x in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["sig", "norm", "keys", "found"])
 
-    sets = materialize(long.select("h", "norm", "keys").mapInArrow(run, "sig long, norm binary, keys array<long>, found binary"), "long")
+    sets = materialize(long.select("h", "norm", "keys").mapInArrow(run, "sig long, norm binary, keys array<long>, found binary"), "long", drop_shuffles=True)
 
     def pivoted(pairs: DataFrame) -> DataFrame:
         return _verified(pairs.select(F.col("a").alias("h"), F.col("b").alias("other")), lines).select(F.col("h").alias("a"), F.col("other").alias("b"))

@@ -35,6 +35,8 @@ BANDS, ROWS = 40, 5
 PIVOTS = 6
 LATE_BLOCK, ALL_BLOCK = 128, 2048
 _CHUNK = 1 << 12
+#: Columns and cells of the matrices that count shared values.
+_COLUMNS, _CELLS = 1 << 12, 1 << 21
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, (1 << 64) - 1, BANDS * ROWS, dtype=np.uint64)
@@ -126,7 +128,7 @@ def meetings(keys: DataFrame) -> DataFrame:
     exclusive or with a hash of the key, which can be undone, so the choice is a minimum of plain numbers.
     """
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = materialize(keys.join(shared, "key", "left_semi").select("key", "sig"), "shared")
+    met = materialize(keys.join(shared, "key", "left_semi").select("key", "sig"), "shared", drop_shuffles=True)
     mask = lambda turn: F.xxhash64(F.lit(turn), "key")
     chosen = met.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.col("sig").bitwiseXOR(mask(turn))).alias(f"p{turn}") for turn in range(PIVOTS)])
     pivots = F.array_distinct(F.array(*[F.col(f"p{turn}").bitwiseXOR(mask(turn)) for turn in range(PIVOTS)]))
@@ -148,22 +150,39 @@ def stragglers(met: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(of_key, "key").select("key", "sig", "root", (F.col("root") != F.col("main")).alias("late"), "n_late", "n_all")
 
 
-def overlaps(found: list[np.ndarray], asks: np.ndarray):
-    """For each member that does not ask: its place and how many values it shares with each member that asks.
+def shared_values(asked: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``others`` shares with each of ``asked``, all arrays of distinct values: a row for each of ``others``.
 
-    ``found`` are sorted arrays of distinct values. One search a member, against the values of all askers.
+    A product of incidence matrices over the values on both sides, ``_COLUMNS`` values and ``_CELLS`` cells at a time.
     """
-    left = np.flatnonzero(asks)
-    sizes = np.array([len(found[k]) for k in left], np.int64)
-    members = np.concatenate([found[k] for k in left]) if len(left) else np.empty(0, np.uint64)
-    owners = np.repeat(np.arange(len(left)), sizes)
-    order = np.argsort(members, kind="stable")
-    members, owners = members[order], owners[order]
-    for k in np.flatnonzero(~asks).tolist():
-        low, high = np.searchsorted(members, found[k], "left"), np.searchsorted(members, found[k], "right")
-        hit = np.flatnonzero(high > low)
-        spans = [owners[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]
-        yield k, left, sizes, np.bincount(np.concatenate(spans), minlength=len(left)) if spans else np.zeros(len(left), np.int64)
+    out = np.zeros((len(others), len(asked)), np.int64)
+    if not out.size:
+        return out
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    values, askers = flat(asked)
+    columns, values = np.unique(values, return_inverse=True)
+    if not len(columns):
+        return out
+    height = max(1, _CELLS // _COLUMNS)
+    for top in range(0, len(others), height):
+        held, owners = flat(others[top : top + height])
+        place = np.minimum(np.searchsorted(columns, held), len(columns) - 1)
+        there = columns[place] == held
+        place, owners = place[there], owners[there]
+        used, place = np.unique(place, return_inverse=True)  # most values are on one side only
+        where = np.full(len(columns), -1)
+        where[used] = np.arange(len(used))
+        spots = where[values]
+        rows = min(height, len(others) - top)
+        for left in range(0, len(used), _COLUMNS):
+            width = min(_COLUMNS, len(used) - left)
+            a, b = np.zeros((len(asked), width), np.float32), np.zeros((rows, width), np.float32)
+            some = (spots >= left) & (spots < left + width)
+            a[askers[some], spots[some] - left] = 1
+            some = (place >= left) & (place < left + width)
+            b[owners[some], place[some] - left] = 1
+            out[top : top + rows] += (b @ a.T).astype(np.int64)
+    return out
 
 
 def compared(open_: DataFrame, sets: DataFrame, similar_sizes, verified=None) -> DataFrame:
@@ -191,14 +210,22 @@ def compared(open_: DataFrame, sets: DataFrame, similar_sizes, verified=None) ->
         keys = [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.array(x, np.int64) for x in block.column("keys").to_pylist()]
         norms = block.column("norm").to_pylist() if verified else None
         out: list[tuple[int, int]] = []
-        for k, left, sizes, both in overlaps(found, asks):
-            for j in np.flatnonzero(similar_sizes(len(found[k]), sizes, both) & (root[left] != root[k])).tolist():
-                a = int(left[j])
-                # both late: seen from either side, kept from one; and only in the least key that they share
-                if late[k] and sig[a] > sig[k] or np.intersect1d(keys[a], keys[k]).min() != key:
-                    continue
-                if verified is None or verified(norms[a], norms[k]):
-                    out.append((int(sig[a]), int(sig[k])))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        # in the least of the keys that a pair shares: none below this one is on both sides
+        lower = [x[x < key] for x in keys]
+        open_pairs = (root[right][:, None] != root[left]) & (shared_values([lower[k] for k in left], [lower[k] for k in right]) == 0)
+        # both late: seen from either side, kept from one
+        open_pairs &= ~(late[right][:, None] & (sig[left] > sig[right][:, None]))
+        sizes = np.array([len(x) for x in found], np.int64)
+        # as many shared values as can be: sizes alone leave out many
+        open_pairs &= similar_sizes(sizes[right][:, None], sizes[left], np.minimum(sizes[right][:, None], sizes[left]))
+        left, right, open_pairs = left[open_pairs.any(axis=0)], right[open_pairs.any(axis=1)], open_pairs[open_pairs.any(axis=1)][:, open_pairs.any(axis=0)]
+        both = shared_values([found[k] for k in left], [found[k] for k in right])
+        open_pairs &= similar_sizes(sizes[right][:, None], sizes[left], both)
+        for i, j in np.argwhere(open_pairs).tolist():
+            k, a = int(right[i]), int(left[j])
+            if verified is None or verified(norms[a], norms[k]):
+                out.append((int(sig[a]), int(sig[k])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return rows.groupBy("key", "late_block", "all_block").applyInArrow(run, "a long, b long")
@@ -212,12 +239,12 @@ def linked(met: DataFrame, sets: DataFrame, pivoted, similar_sizes, verified=Non
     """
     offered = met.select("sig", F.explode("pivots").alias("pivot")).where("pivot <> sig")
     offered = offered.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-    first = materialize(pivoted(offered), "first")
+    first = materialize(pivoted(offered), "first", drop_shuffles=True)
     roots = materialize(components(first), "roots")
-    open_ = materialize(stragglers(met, roots), "open")
+    open_ = materialize(stragglers(met, roots), "open", drop_shuffles=True)
     if open_.isEmpty():
         return roots
-    second = materialize(compared(open_, sets, similar_sizes, verified), "second")
+    second = materialize(compared(open_, sets, similar_sizes, verified), "second", drop_shuffles=True)
     return roots if second.isEmpty() else components(first.union(second))
 
 
